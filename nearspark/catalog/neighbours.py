@@ -19,7 +19,7 @@ from nearspark.operators.sampling import random_split
 from nearspark.operators.vote import majority_vote
 from nearspark.plans.jobs import classify_1nn as score_1nn
 from nearspark.plans.jobs import classify_knn
-from nearspark.session import scratch_root
+from nearspark.session import cut_lineage, scratch_root
 from nearspark.sources import store
 
 # ---- fixtures: (id, features, label) tables and their SQL -------------------------------------------------------
@@ -71,11 +71,11 @@ def parts(spark, sf_dir):
 
 
 def lineitems(spark, sf_dir):
-    """All line items with a dense id, four inputs and the return flag as class code."""
-    rows = with_row_id(table(spark, sf_dir, "lineitem"), LINEITEM_KEY, "id")
-    rows = E.encode_label(rows, E.label_dictionary(rows, "l_returnflag"), "l_returnflag", "label")
+    """All line items with a dense id, four inputs and the return flag as class code; numbered and written once."""
+    items = table(spark, sf_dir, "lineitem")
+    rows = E.encode_label(items, E.label_dictionary(items, "l_returnflag"), "l_returnflag", "label")
     inputs = features_of("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    return rows.select("id", inputs.alias("features"), "label")
+    return cut_lineage(with_row_id(rows, LINEITEM_KEY, "id").select("id", inputs.alias("features"), "label"))
 
 
 def split(df):

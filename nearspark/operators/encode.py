@@ -5,8 +5,9 @@ Dictionaries are tables; the joins carry no broadcast hint, so Spark broadcasts
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from nearspark.operators.rowid import with_row_id
 
@@ -16,13 +17,20 @@ UNKNOWN = "unknown"
 
 def attribute_values(df: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct values ``(name, value)`` of each column."""
+    if len(columns) == 1:
+        named = df.select(F.col(columns[0]).cast("string").alias("value"))
+        return named.where(F.col("value").isNotNull()).distinct().select(F.lit(columns[0]).alias("name"), "value")
     named = [F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns]
     return df.select(F.inline(F.array(*named))).where(F.col("value").isNotNull()).distinct()
 
 
-def build_dictionary(df: DataFrame, columns: list[str]) -> DataFrame:
+def build_dictionary(df: DataFrame, columns: list[str], window_rows: int = 200_000) -> DataFrame:
     """``(name, value, code)`` with codes 0, 1, ... per column by ascending value."""
-    numbered = with_row_id(attribute_values(df, columns), ["name", "value"])
+    values = attribute_values(df, columns)
+    if values.count() <= window_rows:
+        code = F.row_number().over(Window.partitionBy("name").orderBy("value")) - 1
+        return values.select("name", "value", code.alias("code"))
+    numbered = with_row_id(values, ["name", "value"])  # more values than one task should sort
     first = numbered.groupBy("name").agg(F.min("row_id").alias("first"))  # one row per column
     coded = numbered.join(F.broadcast(first), "name")
     return coded.select("name", "value", (F.col("row_id") - F.col("first")).cast("int").alias("code"))
@@ -71,6 +79,3 @@ def recode(df: DataFrame, from_labels: DataFrame, to_labels: DataFrame, code: st
 def number_of_values(dictionary: DataFrame) -> DataFrame:
     return dictionary.groupBy("name").agg(F.count("*").alias("n_values"))
 
-
-def is_unseen(code: Column) -> Column:
-    return code == UNSEEN

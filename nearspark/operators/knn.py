@@ -90,7 +90,8 @@ def knn_join(
         found = train.sparkSession.createDataFrame([], FOUND)
     else:
         job = _Job(q, t, k, first[0], exclude_self, bool(by), limits)
-        found = job.run(plan)
+        # sizes of the inputs as they are: an upper bound that needs no vectors, only file footers for a plain scan
+        found = job.run(plan, queries.count(), train.count())
     carried = [F.col("label").cast(train.schema[label].dataType).alias(label)] if label else []
     return found.select("qid", "rank", "tid", *carried, "dist")
 
@@ -207,34 +208,30 @@ class _Job:
         self.context = t.sparkSession.sparkContext
         self.keys = ["grp"] if grouped else []
 
-    def run(self, plan: str) -> DataFrame:
-        row_bytes = 8 * (self.dims + 2)
-        train_rows = query_rows = None
+    def run(self, plan: str, query_rows: int, train_rows: int) -> DataFrame:
         if plan == "auto":
-            train_rows, query_rows = self.t.count(), self.q.count()
-            tasks = max(self.context.defaultParallelism, train_rows * row_bytes // self.limits.scan_bytes)
-            query_bytes = query_rows * (row_bytes + 24 * self.k)
-            if train_rows * row_bytes <= self.limits.broadcast_bytes:
-                plan = "broadcast_train"
-            elif query_bytes <= self.limits.broadcast_bytes and query_rows * self.k * tasks <= train_rows:
-                plan = "broadcast_queries"
-            else:
-                plan = "cells"
+            plan = self.choose(query_rows, train_rows)
         if plan == "broadcast_train":
             return self.broadcast_train(query_rows)
-        if plan == "broadcast_queries":
-            return merge_top_k(self.broadcast_queries(), self.k).select(FOUND.names)
-        partial = self.cells(
-            self.t.count() if train_rows is None else train_rows, self.q.count() if query_rows is None else query_rows
-        )
+        partial = self.broadcast_queries() if plan == "broadcast_queries" else self.cells(train_rows, query_rows)
         return merge_top_k(partial, self.k).select(FOUND.names)
 
-    def broadcast_train(self, query_rows: int | None) -> DataFrame:
+    def choose(self, query_rows: int, train_rows: int) -> str:
+        """Broadcast a side only if its vectors fit the limit; queries only if the partial lists stay below a shuffle
+        of the training table."""
+        row_bytes = 8 * (self.dims + 2)
+        tasks = max(self.context.defaultParallelism, train_rows * row_bytes // self.limits.scan_bytes)
+        if train_rows * row_bytes <= self.limits.broadcast_bytes:
+            return "broadcast_train"
+        fits = query_rows * (row_bytes + 24 * self.k) <= self.limits.broadcast_bytes
+        return "broadcast_queries" if fits and query_rows * self.k * tasks <= train_rows else "cells"
+
+    def broadcast_train(self, query_rows: int) -> DataFrame:
         k, dims, skip_self, grouped = self.k, self.dims, self.skip_self, self.grouped
         shared = self.context.broadcast(_side(self.t.toArrow(), dims, grouped))
         q = self.q
         cores = self.context.defaultParallelism
-        if query_rows is not None and query_rows * 8 * dims <= self.limits.broadcast_bytes:
+        if query_rows * 8 * dims <= self.limits.broadcast_bytes:
             # a small query file may be a single split; a large one has enough splits of its own
             q = q.repartition(max(1, min(cores, query_rows // 1000)), "qid")
 

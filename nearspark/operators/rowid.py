@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -13,7 +14,7 @@ def with_row_id(
     df: DataFrame,
     order_cols: list[str],
     name: str = "row_id",
-    rows_per_bucket: int = 1_000_000,
+    rows_per_bucket: int = 200_000,
     max_buckets: int = 4096,
 ) -> DataFrame:
     """Add the 0-based position of each row in the order of ``order_cols``, which must be unique and not NULL.
@@ -29,11 +30,13 @@ def with_row_id(
         numbered = df.withColumn("__bucket", F.lit(0)).withColumn(name, F.row_number().over(within).cast("bigint") - 1)
         return numbered.drop("__bucket")
 
-    key = F.struct(*[F.col(c) for c in order_cols])
-    seen = df.select(*order_cols).sample(min(1.0, 32 * buckets / rows), seed=11)
-    keys = [r[0] for r in seen.orderBy(*order_cols).select(F.to_json(key)).collect()]  # about 32 keys per bucket
+    seen = df.select(*order_cols).sample(min(1.0, 32 * buckets / rows), seed=11)  # about 32 keys per bucket
+    keys = [tuple(r) for r in seen.orderBy(*order_cols).select("*", F.to_json(F.struct("*"))).collect()]
     cuts = [keys[len(keys) * i // buckets] for i in range(1, buckets)] if keys else []
-    bucketed = df.withColumn("__bucket", _bucket_of(key, cuts, df.select(*order_cols).schema.simpleString()))
+    # as few leading columns as tell the cut keys apart: one, unless a leading value is frequent
+    used = next((n for n in range(1, len(order_cols)) if len({c[:n] for c in cuts}) == len(cuts)), len(order_cols))
+    key = F.col(order_cols[0]) if used == 1 else F.struct(*order_cols[:used])
+    bucketed = df.withColumn("__bucket", _bucket_of(key, cuts, used, df.select(*order_cols)))
 
     sizes = {r["__bucket"]: r["count"] for r in bucketed.groupBy("__bucket").count().collect()}
     offsets, total = [], 0
@@ -44,15 +47,26 @@ def with_row_id(
     return bucketed.withColumn(name, start + F.row_number().over(within) - 1).drop("__bucket")
 
 
-def _bucket_of(key, cuts: list[str], key_type: str):
-    """Number of cut keys at or below the row's key, found in two steps over groups of about sqrt(n) cuts."""
+def _bucket_of(key, cuts: list[tuple], used: int, keys: DataFrame):
+    """Number of cut keys at or below the row's key; many cuts are searched in two steps over groups of sqrt(n)."""
     if not cuts:
         return F.lit(0)
-    step = max(1, int(len(cuts) ** 0.5))
-    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    heads = F.from_json(F.lit("[" + ",".join(g[0] for g in groups) + "]"), f"array<{key_type}>")
-    nested = "[" + ",".join("[" + ",".join(g) + "]" for g in groups) + "]"
-    members = F.from_json(F.lit(nested), f"array<array<{key_type}>>")
-    at = F.size(F.filter(heads, lambda c: c <= key))
-    inside = F.size(F.filter(F.element_at(members, F.greatest(at, F.lit(1))), lambda c: c <= key))
+    fields = keys.schema.fields[:used]
+    key_type = fields[0].dataType.simpleString() if used == 1 else T.StructType(fields).simpleString()
+    texts = [json.loads(c[-1]) for c in cuts]
+    if used == 1:
+        texts = [t[fields[0].name] for t in texts]
+
+    def literal(values, kind):
+        return F.from_json(F.lit(json.dumps(values)), kind)
+
+    def at_or_below(values):
+        return F.size(F.filter(values, lambda c: c <= key))
+
+    if len(cuts) <= 64:
+        return at_or_below(literal(texts, f"array<{key_type}>"))
+    step = int(len(cuts) ** 0.5)
+    groups = [texts[i : i + step] for i in range(0, len(texts), step)]
+    at = at_or_below(literal([g[0] for g in groups], f"array<{key_type}>"))
+    inside = at_or_below(F.element_at(literal(groups, f"array<array<{key_type}>>"), F.greatest(at, F.lit(1))))
     return F.when(at == 0, 0).otherwise((at - 1) * step + inside).cast("int")

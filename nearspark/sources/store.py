@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from nearspark.operators.evaluate import accuracy, confusion_matrix
 
@@ -36,6 +35,3 @@ def save_report(predictions: DataFrame, codes: list[int], path: str) -> None:
     )
     accuracy(predictions).coalesce(1).write.mode("errorifexists").json(f"{path}/accuracy")
 
-
-def input_file() -> F.Column:
-    return F.col("_metadata.file_name").alias("input_file")

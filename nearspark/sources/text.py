@@ -22,22 +22,23 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def tokens_of(value: Column | str) -> Column:
     """Fields of a line; separators at the end of the line do not open further fields."""
     value = F.col(value) if isinstance(value, str) else value
-    fields = F.split(F.regexp_replace(value, f"{SEPARATOR}+$", ""), SEPARATOR)
-    return F.transform(fields, lambda t: F.btrim(t, F.lit(CONTROL_AND_BLANK)))
+    return F.split(F.regexp_replace(value, f"{SEPARATOR}+$", ""), SEPARATOR)
 
 
-def line_status(tokens: Column, value: Column, attributes: Attributes) -> Column:
-    """``empty``, ``arity``, ``missing``, ``malformed`` or ``ok``, tested in this order."""
-    kept = [F.get(tokens, F.lit(i)) for i, _, _ in attributes.kept]
-    numbers = [F.get(tokens, F.lit(i)) for i, _, r in attributes.kept if attributes.is_numeric(r)]
+def _token(position: int) -> Column:
+    return F.btrim(F.get("tokens", F.lit(position)), F.lit(CONTROL_AND_BLANK))
+
+
+def line_status(value: Column, attributes: Attributes) -> Column:
+    """``empty``, ``arity``, ``missing``, ``malformed`` or ``ok``, tested in this order on the ``tokens`` column."""
     missing, malformed = F.lit(False), F.lit(False)
-    for token in kept:
-        missing = missing | (token == MISSING)
-    for token in numbers:
-        malformed = malformed | token.try_cast("double").isNull()
+    for i, _, role in attributes.kept:
+        missing = missing | (_token(i) == MISSING)
+        if attributes.is_numeric(role):
+            malformed = malformed | _token(i).try_cast("double").isNull()
     return (
         F.when(value == "", "empty")
-        .when(F.size(tokens) != len(attributes.roles), "arity")
+        .when(F.size("tokens") != len(attributes.roles), "arity")
         .when(missing, "missing")
         .when(malformed, "malformed")
         .otherwise("ok")
@@ -45,9 +46,13 @@ def line_status(tokens: Column, value: Column, attributes: Attributes) -> Column
 
 
 def with_status(lines: DataFrame, attributes: Attributes, value: str = "value") -> DataFrame:
-    """Add the line's ``tokens`` and its ``status``."""
-    lines = lines.withColumn("tokens", tokens_of(value))
-    return lines.withColumn("status", line_status(F.col("tokens"), F.col(value), attributes))
+    """Add the line's ``tokens`` and its ``status``.
+
+    The tokens go through ``explode`` of a one-element array: a filter is not moved below it, so each line is split
+    once and not again for every token that a filter looks at.
+    """
+    lines = lines.select("*", F.explode(F.array(tokens_of(value))).alias("tokens"))
+    return lines.withColumn("status", line_status(F.col(value), attributes))
 
 
 def drop_empty(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -83,7 +88,7 @@ def parse_lines(
     passed = [c for c in lines.columns if c != value] + (["status"] if mode == "permissive" else [])
     typed = []
     for i, name, role in attributes.kept:
-        token = F.nullif(F.get(F.col("tokens"), F.lit(i)), F.lit(MISSING))
+        token = F.nullif(_token(i), F.lit(MISSING))
         typed.append((token.try_cast("double") if attributes.is_numeric(role) else token).alias(name))
     return rows.select(*passed, *typed)
 
