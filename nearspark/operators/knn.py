@@ -16,7 +16,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -27,15 +28,9 @@ from nearspark.session import ship_package
 
 PLANS = ("auto", "broadcast_train", "broadcast_queries", "cells")
 
-FOUND = T.StructType(
-    [
-        T.StructField("qid", T.LongType()),
-        T.StructField("rank", T.IntegerType()),
-        T.StructField("tid", T.LongType()),
-        T.StructField("label", T.LongType()),
-        T.StructField("dist", T.DoubleType()),
-    ]
-)
+PARTIAL = "qid bigint, tid bigint, label bigint, dist double"
+ENTRIES = "array<struct<dist:double,tid:bigint,label:bigint>>"
+VISITS = "array<struct<cell:int,within:double>>"
 
 
 @dataclass(frozen=True)
@@ -69,33 +64,43 @@ def knn_join(
     rows with an equal value of that column are compared. ``exclude_self`` leaves out the row with the query's own id.
     A query with fewer than ``k`` candidates gets what exists; rows without a complete, finite vector take no part.
     """
-    if k < 1:
-        raise ValueError("k must be at least 1")
-    if plan not in PLANS:
-        raise ValueError(f"unknown plan {plan!r}, expected one of {PLANS}")
-    if label is not None and not isinstance(train.schema[label].dataType, T.IntegralType):
-        raise TypeError(f"{label!r} must hold integer class codes; encode it first")
-    group = [F.col(by).alias("grp")] if by else []
-    x = F.col(features).cast("array<double>").alias("x")
-    q = queries.select(F.col(qid).cast("bigint").alias("qid"), *group, x).where(F.col("x").isNotNull())
-    code = F.col(label).cast("bigint") if label else F.lit(0).cast("bigint")
-    t = train.select(F.col(tid).cast("bigint").alias("tid"), *group, x, code.alias("label"))
-    t = t.where(F.col("x").isNotNull())
-    if by:
-        q, t = q.where(F.col("grp").isNotNull()), t.where(F.col("grp").isNotNull())
-
-    ship_package(train.sparkSession)
-    first = t.select(F.size("x")).head()
-    if first is None:
-        found = train.sparkSession.createDataFrame([], FOUND)
+    job = _Job(queries, train, k, qid, tid, features, label, by, exclude_self, [], plan, limits)
+    if job.plan == "broadcast_train":
+        entries = job.broadcast_train().select("qid", F.posexplode("neighbors").alias("rank", "e"))
+        found = entries.select("qid", (F.col("rank") + 1).alias("rank"), "e.*")
     else:
-        job = _Job(q, t, k, first[0], exclude_self, bool(by), limits)
-        # sizes of the inputs as they are: an upper bound that needs no vectors, only file footers for a plain scan
-        found = job.run(plan, queries.count(), train.count())
+        found = merge_top_k(job.partial_lists(), k)
     carried = [F.col("label").cast(train.schema[label].dataType).alias(label)] if label else []
     return found.select("qid", "rank", "tid", *carried, "dist")
 
 
+def nearest_lists(
+    queries: DataFrame,
+    train: DataFrame,
+    k: int,
+    *,
+    qid: str = "qid",
+    tid: str = "tid",
+    features: str = "features",
+    label: str | None = None,
+    by: str | None = None,
+    exclude_self: bool = False,
+    carry: list[str] | tuple[str, ...] = (),
+    plan: str = "auto",
+    limits: KnnLimits = KnnLimits(),
+) -> DataFrame:
+    """One row per query: ``(qid, *carry, neighbors)`` with ``neighbors`` an array of ``(dist, tid, label)``, nearest
+    first; empty for a query without candidates. With a broadcast training table nothing is shuffled.
+    """
+    job = _Job(queries, train, k, qid, tid, features, label, by, exclude_self, list(carry), plan, limits)
+    if job.plan == "broadcast_train":
+        return job.broadcast_train()
+    lists = neighbor_lists(merge_top_k(job.partial_lists(), k), "label")
+    rows = queries.select(F.col(qid).cast("bigint").alias("qid"), *carry).join(lists, "qid", "left")
+    none = F.array().cast(ENTRIES)
+    return rows.select("qid", *carry, F.coalesce(F.col("neighbors").cast(ENTRIES), none).alias("neighbors"))
+
+
 def merge_top_k(partial: DataFrame, k: int, qid: str = "qid", dist: str = "dist", tid: str = "tid") -> DataFrame:
     """Merge partial neighbour lists into the true k nearest per query; Spark limits per task before the shuffle."""
     order = Window.partitionBy(qid).orderBy(dist, tid)
@@ -117,7 +122,6 @@ def first_k(neighbors: DataFrame, k: int) -> DataFrame:
 
 def vectors(column, dims: int) -> np.ndarray:
     """Arrow list column to a matrix; a vector of another length is an error, a NULL entry becomes NaN."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False)
     if len(column) and (np.diff(column.offsets.to_numpy()) != dims).any():
         raise ValueError(f"expected vectors of length {dims}")
@@ -129,7 +133,6 @@ def _rows_by_group(column, rows: int):
     if column is None:
         yield None, np.arange(rows)
         return
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     encoded = column.dictionary_encode()
     codes = encoded.indices.to_numpy()
     order = np.argsort(codes, kind="stable")
@@ -152,45 +155,43 @@ def _tables(batches, rows: int):
         yield pa.Table.from_batches(held)
 
 
-def _as_batch(qids: np.ndarray, best: Best) -> pa.RecordBatch:
-    row, rank = np.nonzero(best.ids != NO_ID)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(qids[row]),
-            pa.array((rank + 1).astype(np.int32)),
-            pa.array(best.ids[row, rank]),
-            pa.array(best.codes[row, rank]),
-            pa.array(best.dist[row, rank]),
-        ],
-        names=FOUND.names,
-    )
-
-
-def _numbers(column) -> np.ndarray:
-    return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
+def _side(table: pa.Table, dims: int, grouped: bool) -> dict:
+    """Arrays of one side: vectors, ids, class codes and the row positions of every group.
 
-
-def _side(table, dims: int, grouped: bool) -> dict:
-    """Arrays of one side: vectors, ids, class codes and the row positions of every group."""
-    x = vectors(table["x"], dims)
+    ``rows`` holds the positions in the table of the rows that have a complete, finite vector (and a stratum).
+    """
+    present = pc.is_valid(table["x"])
+    if grouped:
+        present = pc.and_(present, pc.is_valid(table["grp"]))
+    rows = np.flatnonzero(present.to_numpy())
+    if len(rows) < len(table):
+        table = table.filter(present)
+    table = table.combine_chunks()
+    column = {name: _one_chunk(table[name]) for name in table.schema.names}
+    x = vectors(column["x"], dims)
     whole = np.isfinite(x).all(axis=1)
     if not whole.all():
-        table, x = table.filter(pa.array(whole)), x[whole]
-    names = table.schema.names
+        column = {name: c.filter(pa.array(whole)) for name, c in column.items()}
+        x, rows = x[whole], rows[whole]
     return {
         "x": x,
-        "ids": _numbers(table["qid" if "qid" in names else "tid"]),
-        "codes": _numbers(table["label"]) if "label" in names else None,
-        "groups": dict(_rows_by_group(table["grp"] if grouped else None, len(x))),
+        "rows": rows,
+        "ids": column["id"].to_numpy(zero_copy_only=False),
+        "codes": column["code"].to_numpy(zero_copy_only=False) if "code" in column else None,
+        "within": column["within"].to_numpy(zero_copy_only=False) if "within" in column else None,
+        "groups": dict(_rows_by_group(column["grp"] if grouped else None, len(x))),
     }
 
 
+def _one_chunk(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays([pa.array([], column.type), *column.chunks])
+
+
 def _shelf(side: dict, value):
     """Arranged rows of one group, built on first use and kept with the broadcast value for later tasks."""
     shelves = side.setdefault("shelves", {})
     if value not in shelves:
-        rows = side["groups"].get(value)
-        codes = side["codes"]
+        rows, codes = side["groups"].get(value), side["codes"]
         if rows is None:
             shelves[value] = None
         else:
@@ -198,54 +199,105 @@ def _shelf(side: dict, value):
     return shelves[value]
 
 
+def _partial_batch(qids: np.ndarray, best: Best) -> pa.RecordBatch:
+    row, rank = np.nonzero(best.ids != NO_ID)
+    arrays = [qids[row], best.ids[row, rank], best.codes[row, rank], best.dist[row, rank]]
+    return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["qid", "tid", "label", "dist"])
+
+
+def _entries(best: Best) -> pa.ListArray:
+    row, rank = np.nonzero(best.ids != NO_ID)
+    ends = np.searchsorted(row, np.arange(len(best.ids) + 1)).astype(np.int32)
+    arrays = [best.dist[row, rank], best.ids[row, rank], best.codes[row, rank]]
+    entries = pa.StructArray.from_arrays([pa.array(a) for a in arrays], names=["dist", "tid", "label"])
+    return pa.ListArray.from_arrays(pa.array(ends), entries)
+
+
 # ---- the plans -------------------------------------------------------------------------------------------------
 
 
 class _Job:
-    def __init__(self, q, t, k, dims, skip_self, grouped, limits):
-        self.q, self.t, self.k, self.dims = q, t, k, dims
-        self.skip_self, self.grouped, self.limits = skip_self, grouped, limits
-        self.context = t.sparkSession.sparkContext
-        self.keys = ["grp"] if grouped else []
-
-    def run(self, plan: str, query_rows: int, train_rows: int) -> DataFrame:
-        if plan == "auto":
-            plan = self.choose(query_rows, train_rows)
-        if plan == "broadcast_train":
-            return self.broadcast_train(query_rows)
-        partial = self.broadcast_queries() if plan == "broadcast_queries" else self.cells(train_rows, query_rows)
-        return merge_top_k(partial, self.k).select(FOUND.names)
-
-    def choose(self, query_rows: int, train_rows: int) -> str:
+    """One join: checked arguments, both sides under fixed column names ``(id, [grp], x, ...)``, and the chosen plan."""
+
+    def __init__(self, queries, train, k, qid, tid, features, label, by, exclude_self, carry, plan, limits):
+        if k < 1:
+            raise ValueError("k must be at least 1")
+        if plan not in PLANS:
+            raise ValueError(f"unknown plan {plan!r}, expected one of {PLANS}")
+        if label is not None and not isinstance(train.schema[label].dataType, T.IntegralType):
+            raise TypeError(f"{label!r} must hold integer class codes; encode it first")
+        self.spark = train.sparkSession
+        self.context = self.spark.sparkContext
+        ship_package(self.spark)
+        self.k, self.skip_self, self.limits, self.carry = k, exclude_self, limits, carry
+        self.grouped, self.keys = by is not None, ["grp"] if by else []
+
+        def side(df, key, *more):
+            group = [F.col(by).alias("grp")] if by else []
+            return df.select(F.col(key).cast("bigint").alias("id"), *group, F.col(features).cast("array<double>").alias("x"), *more)
+
+        code = F.col(label).cast("bigint") if label else F.lit(0).cast("bigint")
+        self.all_queries = side(queries, qid, *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)])
+        self.q, self.t = (
+            s.where(" AND ".join(f"{c} IS NOT NULL" for c in ["x", *self.keys]))
+            for s in (side(queries, qid), side(train, tid, code.alias("code")))
+        )
+        # sizes of the inputs as they are: an upper bound that needs no vectors, only file footers for a plain scan
+        self.query_rows, self.train_rows = queries.count(), train.count()
+        first = self.t.select(F.size("x")).head() or self.q.select(F.size("x")).head()
+        self.dims = first[0] if first else 1
+        self.plan = self.choose(plan)
+
+    def choose(self, plan: str) -> str:
         """Broadcast a side only if its vectors fit the limit; queries only if the partial lists stay below a shuffle
         of the training table."""
-        row_bytes = 8 * (self.dims + 2)
-        tasks = max(self.context.defaultParallelism, train_rows * row_bytes // self.limits.scan_bytes)
-        if train_rows * row_bytes <= self.limits.broadcast_bytes:
+        row_bytes = 8 * (self.dims + 2) + (64 if self.grouped else 0)
+        limit = self.limits.broadcast_bytes
+        fits = {
+            "broadcast_train": self.train_rows * row_bytes <= limit,
+            "broadcast_queries": self.query_rows * (row_bytes + 24 * self.k) <= limit,
+        }
+        if plan != "auto":
+            if not fits.get(plan, True):
+                raise ValueError(f"{plan}: the table is larger than broadcast_bytes = {limit}")
+            return plan
+        if fits["broadcast_train"]:
             return "broadcast_train"
-        fits = query_rows * (row_bytes + 24 * self.k) <= self.limits.broadcast_bytes
-        return "broadcast_queries" if fits and query_rows * self.k * tasks <= train_rows else "cells"
+        tasks = max(self.context.defaultParallelism, self.train_rows * row_bytes // self.limits.scan_bytes)
+        few = self.query_rows * self.k * tasks <= self.train_rows
+        return "broadcast_queries" if fits["broadcast_queries"] and few else "cells"
 
-    def broadcast_train(self, query_rows: int) -> DataFrame:
+    def broadcast_train(self) -> DataFrame:
+        """``(qid, *carry, neighbors)`` for every query row, without a shuffle of a large query table."""
         k, dims, skip_self, grouped = self.k, self.dims, self.skip_self, self.grouped
         shared = self.context.broadcast(_side(self.t.toArrow(), dims, grouped))
-        q = self.q
-        cores = self.context.defaultParallelism
-        if query_rows * 8 * dims <= self.limits.broadcast_bytes:
+        q = self.all_queries
+        if self.query_rows * 8 * dims <= self.limits.broadcast_bytes:
             # a small query file may be a single split; a large one has enough splits of its own
-            q = q.repartition(max(1, min(cores, query_rows // 1000)), "qid")
+            q = q.repartition(max(1, min(self.context.defaultParallelism, self.query_rows // 1000)), "id")
+        kept = [c for c in q.columns if c not in ("x", "grp")]
 
         def search(batches):
             train = shared.value
             for table in _tables(batches, 50_000):
                 side = _side(table, dims, grouped)
+                best = Best.empty(len(table), k)
                 for value, rows in side["groups"].items():
                     shelf = _shelf(train, value)
                     if shelf is not None:
-                        qids = side["ids"][rows]
-                        yield _as_batch(qids, find_nearest(side["x"][rows], qids, shelf, k, skip_self))
+                        part = find_nearest(side["x"][rows], side["ids"][rows], shelf, k, skip_self)
+                        at = side["rows"][rows]
+                        best.dist[at], best.ids[at], best.codes[at] = part.dist, part.ids, part.codes
+                yield from table.select(kept).append_column("neighbors", _entries(best)).to_batches()
 
-        return q.mapInArrow(search, FOUND)
+        schema = T.StructType([q.schema[c] for c in kept]).add("neighbors", T._parse_datatype_string(ENTRIES))
+        found = q.mapInArrow(search, schema)
+        carried = [F.col(f"carried_{i}").alias(c) for i, c in enumerate(self.carry)]
+        return found.select(F.col("id").alias("qid"), *carried, "neighbors")
+
+    def partial_lists(self) -> DataFrame:
+        """Neighbours found by the separate tasks, at most k per query and task: ``(qid, tid, label, dist)``."""
+        return self.broadcast_queries() if self.plan == "broadcast_queries" else self.cells()
 
     def broadcast_queries(self) -> DataFrame:
         k, dims, skip_self, grouped = self.k, self.dims, self.skip_self, self.grouped
@@ -262,157 +314,176 @@ class _Job:
                         part = Best(best.dist[rows], best.ids[rows], best.codes[rows])
                         find_nearest(query["x"][rows], query["ids"][rows], shelf, k, skip_self, part)
                         best.dist[rows], best.ids[rows], best.codes[rows] = part.dist, part.ids, part.codes
-            yield _as_batch(query["ids"], best)
+            yield _partial_batch(query["ids"], best)
 
-        return self.t.mapInArrow(search, FOUND)
+        return self.t.mapInArrow(search, PARTIAL)
 
-    def cells(self, train_rows: int, query_rows: int) -> DataFrame:
-        k, dims, skip_self = self.k, self.dims, self.skip_self
-        keep = k + 1 if skip_self else k
+    def cells(self) -> DataFrame:
+        k, dims, skip_self, keys = self.k, self.dims, self.skip_self, self.keys
         block = max(1, min(self.limits.block_rows, self.limits.block_bytes // (8 * (dims + 2))))
-        q, t = self.q, self.t
+        split = _CellSplit(self, block)
+        t = split.place_train(self.t)
 
-        q, t, t_cells = self._assign_cells(q, t, train_rows, block)
+        # Cells that stay larger than a block are split; there are at most train_rows / block of them.
+        t_cells = F.broadcast(split.oversized(t))
 
         # Of equal vectors only the lowest ids can be among the k nearest of any query, so the rest is left out.
         # The rank limit runs before the shuffle too, so a group of copies never travels whole.
-        copies = Window.partitionBy(F.xxhash64("x"), "x", *self.keys).orderBy("tid")
-        t = t.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= keep).drop("copy")
-
-        # Cells that stay larger than a block are split; there are at most train_rows / block of them.
-        q = self._spread(q, F.broadcast(t_cells), "t_parts").drop("t_parts")
-        t = self._pick(t, F.broadcast(t_cells), "t_parts", "tid").drop("t_parts")
+        copies = Window.partitionBy(F.xxhash64("x"), "x", *keys).orderBy("id")
+        t = t.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= split.keep).drop("copy")
+        t = _pick(t, t_cells, "t_parts")
+        q = _spread(split.route(self.q), t_cells, "t_parts")
 
         # Groups that attract more queries than a block are split on the query side and their training rows repeated.
         # The counts come from a sample: they balance the work and have no influence on the result. No broadcast hint
         # here, Spark decides by the measured size.
-        share = min(1.0, max(0.001, 200_000 / max(1, query_rows)))
-        seen = q.sample(share, seed=29) if share < 1 else q
-        place = [*self.keys, "cell", "t_part"]
+        place = [*keys, "cell", "t_part"]
+        share = min(1.0, max(0.001, 200_000 / max(1, self.query_rows)))
+        seen = _spread(split.route(self.q.sample(share, seed=29) if share < 1 else self.q), t_cells, "t_parts")
         load = seen.groupBy(*place).agg((F.count("*") / share).alias("n")).where(F.col("n") > block)
         load = load.select(*place, F.ceil(F.col("n") / block).cast("int").alias("q_parts"))
-        t = self._spread(t, load, "q_parts").drop("q_parts")
-        q = self._pick(q, load, "q_parts", "qid").drop("q_parts")
+        t, q = _spread(t, load, "q_parts"), _pick(q, load, "q_parts")
 
-        def search(left, right):
-            if left.num_rows == 0 or right.num_rows == 0:
-                return pa.Table.from_batches([_as_batch(np.empty(0, dtype=np.int64), Best.empty(0, k))])
+        def search(left: pa.Table, right: pa.Table) -> pa.Table:
             query, train = _side(left, dims, False), _side(right, dims, False)
-            within = _numbers(left["within"])[np.isfinite(vectors(left["x"], dims)).all(axis=1)]
             shelf = build_shelf(train["x"], train["ids"], train["codes"])
-            best = find_nearest(query["x"], query["ids"], shelf, k, skip_self, within=within)
-            return pa.Table.from_batches([_as_batch(query["ids"], best)])
+            best = find_nearest(query["x"], query["ids"], shelf, k, skip_self, within=query["within"])
+            return pa.Table.from_batches([_partial_batch(query["ids"], best)])
 
         place = [*place, "q_part"]
-        return q.groupBy(*place).cogroup(t.groupBy(*place)).applyInArrow(search, FOUND)
-
-    def _spread(self, df, parts, name) -> DataFrame:
-        """Repeat each row for every part of its place."""
-        on = [c for c in parts.columns if c != name]
-        part = name[:-1]
-        return df.join(parts, on, "left").withColumn(
-            part, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(name), F.lit(1)) - 1))
-        )
+        return q.groupBy(*place).cogroup(t.groupBy(*place)).applyInArrow(search, PARTIAL)
 
-    def _pick(self, df, parts, name, key) -> DataFrame:
-        """Give each row one of the parts of its place, by a hash of its id."""
-        on = [c for c in parts.columns if c != name]
-        part = name[:-1]
-        return df.join(parts, on, "left").withColumn(
-            part, F.pmod(F.xxhash64(key), F.coalesce(F.col(name), F.lit(1))).cast("int")
-        )
 
-    def _assign_cells(self, q, t, train_rows, block):
-        """Add ``cell`` to both sides (one row per visited cell on the query side) and count oversized cells."""
-        k, dims, skip_self, grouped, keys = self.k, self.dims, self.skip_self, self.grouped, self.keys
-        spark = self.t.sparkSession
-        sample_rows = self.limits.sample_bytes // (8 * (dims + 2))
-        deepest = int(math.log2(max(1, sample_rows // 8)))
+class _CellSplit:
+    """Where the cells of one join are, and how many levels of cuts each stratum gets.
 
-        def levels_for(rows: int) -> int:
-            return min(deepest, max(0, math.ceil(math.log2(4 * rows / block))) if rows > block else 0)
+    Only strata above one block are cut: there are at most train_rows / block of them.
+    """
 
-        # only strata above one block are cut into cells: at most train_rows / block of them
-        if grouped:
-            large = t.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > block).collect()
-            levels = {row["grp"]: levels_for(row["n"]) for row in large}
-            rows_in_cells = sum(row["n"] for row in large)
-        else:
-            levels = {None: levels_for(train_rows)} if train_rows > block else {}
-            rows_in_cells = train_rows
-        depth = max(levels.values(), default=0)
-        if depth == 0:
-            q = q.withColumn("cell", F.lit(0)).withColumn("within", F.lit(float("inf")))
-            t = t.withColumn("cell", F.lit(0))
+    def __init__(self, job: _Job, block: int):
+        self.job, self.block = job, block
+        self.keep = job.k + 1 if job.skip_self else job.k
+        if job.grouped:
+            sizes = job.t.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > block).collect()
+            large = {row["grp"]: row["n"] for row in sizes}
         else:
-            if grouped:
-                fields = [t.schema["grp"], T.StructField("level", T.IntegerType())]
-                listed = F.broadcast(spark.createDataFrame(list(levels.items()), T.StructType(fields)))
-                t = t.join(listed, "grp", "left").fillna(0, ["level"])
-                q = q.join(listed, "grp", "left").fillna(0, ["level"])
-            else:
-                t, q = t.withColumn("level", F.lit(depth)), q.withColumn("level", F.lit(depth))
-            share = min(1.0, min(sample_rows, 32 << depth) / rows_in_cells)
-            sample = t.where("level > 0").sample(share, seed=17).drop("level", "label").toArrow()
-            side = _side(sample, dims, grouped)
-            planes = cells.cut_planes(np.unique(side["x"], axis=0), depth)
-            shared = self.context.broadcast({"planes": planes, "sample": side})
-
-            @F.arrow_udf("int")
-            def leaf(x: pa.Array) -> pa.Array:
-                return pa.array(cells.leaf_of(shared.value["planes"], vectors(x, dims)).astype(np.int32))
-
-            def route_rows(x, qids, groups, levels_):
-                held = shared.value
-                if "regions" not in held:
-                    held["regions"] = cells.regions(held["planes"], dims)
-                lo, hi = held["regions"]
-                x, qids, levels_ = vectors(x, dims), _numbers(qids), _numbers(levels_)
-                within = np.full(len(x), np.inf)
-                row_parts, cell_parts = [], []
-                finite = np.isfinite(x).all(axis=1)
-                for value, rows in _rows_by_group(groups, len(x)):
-                    rows = rows[finite[rows]]
-                    if len(rows) == 0:
-                        continue
-                    level = int(levels_[rows[0]])
-                    shelf = _shelf(held["sample"], value) if level else None
-                    if shelf is not None:
-                        within[rows] = find_nearest(x[rows], qids[rows], shelf, k, skip_self).dist[:, -1]
-                    at, cell = cells.cells_within(x[rows], within[rows], level, lo, hi)
-                    row_parts.append(rows[at])
-                    cell_parts.append(cell)
-                row = np.concatenate(row_parts) if row_parts else np.empty(0, dtype=np.int64)
-                cell = np.concatenate(cell_parts) if cell_parts else np.empty(0, dtype=np.int64)
-                order = np.argsort(row, kind="stable")
-                ends = np.searchsorted(row[order], np.arange(len(x) + 1))
-                entries = pa.StructArray.from_arrays(
-                    [pa.array(cell[order].astype(np.int32)), pa.array(within[row[order]])], names=["cell", "within"]
-                )
-                return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), entries)
-
-            visits = "array<struct<cell:int,within:double>>"
-            if grouped:
-
-                @F.arrow_udf(visits)
-                def route(x: pa.Array, qids: pa.Array, levels_: pa.Array, groups: pa.Array) -> pa.Array:
-                    return route_rows(x, qids, groups, levels_)
-            else:
-
-                @F.arrow_udf(visits)
-                def route(x: pa.Array, qids: pa.Array, levels_: pa.Array) -> pa.Array:
-                    return route_rows(x, qids, None, levels_)
-
-            # a stratum with fewer levels uses the leading bits of the leaf number
-            t = t.withColumn("leaf", leaf("x")).withColumn("cell", F.expr(f"shiftright(leaf, {depth} - level)"))
-            t = t.drop("leaf", "level")
-            q = q.select("qid", *keys, "x", F.inline(route("x", "qid", "level", *keys)))
-
-        distinct = F.approx_count_distinct(F.xxhash64("x"), 0.02) * (k + 1)
-        if depth == 0:  # every stratum fits a block already
-            t_cells = t.select(*keys, "cell", F.lit(1).alias("t_parts")).limit(0)
+            large = {None: job.train_rows} if job.train_rows > block else {}
+        self.any_large = bool(large)
+        sample_rows = job.limits.sample_bytes // (8 * (job.dims + 2))
+        deepest = int(math.log2(max(1, sample_rows // 8)))
+        self.levels = {g: min(deepest, math.ceil(math.log2(4 * n / block))) for g, n in large.items()}
+        self.depth = max(self.levels.values(), default=0)
+        if self.depth:
+            self.sample_and_cut(sample_rows, sum(large.values()))
+
+    def sample_and_cut(self, sample_rows: int, rows: int) -> None:
+        job = self.job
+        share = min(1.0, min(sample_rows, 32 << self.depth) / rows)
+        sample = self.with_level(job.t).where("level > 0").sample(share, seed=17).drop("level", "code").toArrow()
+        side = _side(sample, job.dims, job.grouped)
+        planes = cells.cut_planes(np.unique(side["x"], axis=0), self.depth)
+        if not self.cuts_pay(side, planes):
+            # in many dimensions a query has to visit most cells anyway: then as few cells as blocks are enough
+            self.levels = {g: max(0, n - 2) for g, n in self.levels.items()}
+        self.shared = job.context.broadcast({"planes": planes, "sample": side})
+
+    def cuts_pay(self, side: dict, planes) -> bool:
+        probes = np.arange(0, len(side["ids"]), max(1, len(side["ids"]) // 256))
+        shelf = build_shelf(side["x"], side["ids"])
+        within = find_nearest(side["x"][probes], side["ids"][probes], shelf, self.job.k, True).dist[:, -1]
+        lo, hi = cells.regions(planes, self.job.dims)
+        rows, _ = cells.cells_within(side["x"][probes], within, planes.depth, lo, hi)
+        return len(rows) <= len(probes) * 2**planes.depth / 2
+
+    def with_level(self, df: DataFrame) -> DataFrame:
+        """Add the number of levels of the row's stratum."""
+        if not self.job.grouped:
+            return df.withColumn("level", F.lit(self.levels.get(None, 0)))
+        schema = T.StructType([df.schema["grp"], T.StructField("level", T.IntegerType())])
+        listed = self.job.spark.createDataFrame(list(self.levels.items()), schema)
+        return df.join(F.broadcast(listed), "grp", "left").fillna(0, ["level"])
+
+    def place_train(self, t: DataFrame) -> DataFrame:
+        """Add the cell of each training row."""
+        if not self.depth:
+            return t.withColumn("cell", F.lit(0))
+        shared, dims = self.shared, self.job.dims
+
+        @F.arrow_udf("int")
+        def leaf(x: pa.Array) -> pa.Array:
+            return pa.array(cells.leaf_of(shared.value["planes"], vectors(x, dims)).astype(np.int32))
+
+        # a stratum with fewer levels uses the leading bits of the leaf number
+        cell = F.expr(f"shiftright(leaf, {self.depth} - level)")
+        return self.with_level(t).withColumn("leaf", leaf("x")).withColumn("cell", cell).drop("leaf", "level")
+
+    def oversized(self, placed: DataFrame) -> DataFrame:
+        """Cells with more distinct rows than a block, and the number of parts they need."""
+        keys = [*self.job.keys, "cell"]
+        if not self.any_large:
+            return placed.select(*keys, F.lit(1).alias("t_parts")).limit(0)
+        distinct = F.approx_count_distinct(F.xxhash64("x"), 0.02) * self.keep
+        sizes = placed.groupBy(*keys).agg(F.least(F.count("*"), distinct).alias("n")).where(F.col("n") > self.block)
+        return sizes.select(*keys, F.ceil(F.col("n") / self.block).cast("int").alias("t_parts"))
+
+    def route(self, q: DataFrame) -> DataFrame:
+        """One row per query and cell it has to visit, with an upper bound of its k-th distance."""
+        keys = self.job.keys
+        if not self.depth:
+            return q.withColumn("cell", F.lit(0)).withColumn("within", F.lit(float("inf")))
+        shared, dims, k, skip_self = self.shared, self.job.dims, self.job.k, self.job.skip_self
+
+        def visits(x, ids, levels, groups=None):
+            held = shared.value
+            if "regions" not in held:
+                held["regions"] = cells.regions(held["planes"], dims)
+            lo, hi = held["regions"]
+            x, ids, levels = vectors(x, dims), ids.to_numpy(), levels.to_numpy()
+            within = np.full(len(x), np.inf)
+            finite = np.isfinite(x).all(axis=1)
+            found = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))]
+            for value, rows in _rows_by_group(groups, len(x)):
+                rows = rows[finite[rows]]
+                if len(rows) == 0:
+                    continue
+                level = int(levels[rows[0]])
+                shelf = _shelf(held["sample"], value) if level else None
+                if shelf is not None:
+                    within[rows] = find_nearest(x[rows], ids[rows], shelf, k, skip_self).dist[:, -1]
+                at, cell = cells.cells_within(x[rows], within[rows], level, lo, hi)
+                found.append((rows[at], cell))
+            row, cell = (np.concatenate(part) for part in zip(*found))
+            order = np.argsort(row, kind="stable")
+            ends = np.searchsorted(row[order], np.arange(len(x) + 1)).astype(np.int32)
+            arrays = [pa.array(cell[order].astype(np.int32)), pa.array(within[row[order]])]
+            return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(arrays, names=["cell", "within"]))
+
+        if keys:
+
+            @F.arrow_udf(VISITS)
+            def cells_of(x: pa.Array, ids: pa.Array, levels: pa.Array, groups: pa.Array) -> pa.Array:
+                return visits(x, ids, levels, groups)
         else:
-            t_cells = t.groupBy(*keys, "cell").agg(F.least(F.count("*"), distinct).alias("n")).where(F.col("n") > block)
-            t_cells = t_cells.select(*keys, "cell", F.ceil(F.col("n") / block).cast("int").alias("t_parts"))
-        return q, t, t_cells
 
+            @F.arrow_udf(VISITS)
+            def cells_of(x: pa.Array, ids: pa.Array, levels: pa.Array) -> pa.Array:
+                return visits(x, ids, levels)
+
+        return self.with_level(q).select("id", *keys, "x", F.inline(cells_of("x", "id", "level", *keys)))
+
+
+def _parts(df: DataFrame, parts: DataFrame, name: str, part: Column) -> DataFrame:
+    """Join the number of parts of the row's place (one unless listed) and add the part column."""
+    on = [c for c in parts.columns if c != name]
+    joined = df.join(parts, on, "left").withColumn(name, F.coalesce(name, F.lit(1)))
+    return joined.withColumn(name[:-1], part).drop(name)
+
+
+def _spread(df: DataFrame, parts: DataFrame, name: str) -> DataFrame:
+    """Repeat each row for every part of its place."""
+    return _parts(df, parts, name, F.explode(F.sequence(F.lit(0), F.col(name) - 1)))
+
+
+def _pick(df: DataFrame, parts: DataFrame, name: str) -> DataFrame:
+    """Give each row one of the parts of its place, by a hash of its id."""
+    return _parts(df, parts, name, F.pmod(F.xxhash64("id"), F.col(name)).cast("int"))

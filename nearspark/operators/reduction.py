@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearspark.functions.vectors import draw
-from nearspark.operators.knn import KnnLimits, knn_join
+from nearspark.operators.knn import KnnLimits, nearest_lists
 from nearspark.session import cut_lineage
 
 STRATUM_BASE = 100_000  # fixed value: a stratum key is partition * 100000 + number
@@ -52,16 +52,15 @@ def edit_nearest(
     All decisions are taken against the unedited table. With ``guarded``, classes with fewer than 3 members (in the
     stratum, with ``by``) are never removed. Keeps the columns of ``df``.
     """
-    near = knn_join(
-        df, df, ENN_NEIGHBORS, qid="pid", tid="pid", label=label, by=by, exclude_self=True, plan=plan, limits=limits
-    )
-    voters = near.groupBy(F.col("qid").alias("pid")).agg(F.collect_list(label).alias("__near"))  # 3 entries at most
-    keys = [by, label] if by else [label]
-    rows = df.join(voters, "pid", "left")
-    same = F.coalesce(F.size(F.filter("__near", lambda c: c == F.col(label))), F.lit(0))
-    keep = F.when(F.col("__near").isNull(), F.lit(0)).otherwise(same) >= ENN_MIN_SAME
+    others = [c for c in df.columns if c != "pid"]
+    rows = nearest_lists(
+        df, df, ENN_NEIGHBORS, qid="pid", tid="pid", label=label, by=by, exclude_self=True, carry=others, plan=plan,
+        limits=limits,
+    ).withColumnRenamed("qid", "pid")
+    keep = F.size(F.filter("neighbors", lambda e: e["label"] == F.col(label))) >= ENN_MIN_SAME
     if guarded:
         # a protected class has one or two members, so their ids are its smallest and largest id
+        keys = [by, label] if by else [label]
         few = df.groupBy(*keys).agg(F.count("*").alias("n"), F.min("pid").alias("a"), F.max("pid").alias("b"))
         few = few.where(F.col("n") < ENN_NEIGHBORS).select(F.explode(F.array("a", "b")).alias("pid")).distinct()
         rows = rows.join(few.withColumn("__few", F.lit(True)), "pid", "left")
@@ -78,10 +77,12 @@ def fusion_round(
     """
     keys = [by] if by else []
     single = df.groupBy(*keys, "label", "features").agg(F.min("pid").alias("pid"), F.sum("weight").alias("weight"))
-    single = cut_lineage(single)  # read three times below
-    near = knn_join(single, single, 1, qid="pid", tid="pid", by=by, exclude_self=True, plan=plan, limits=limits)
-    other = F.coalesce(F.col("tid"), F.col("pid"))
-    pairs = single.join(near.select(F.col("qid").alias("pid"), "tid"), "pid", "left")
+    single = cut_lineage(single)  # read several times below
+    pairs = nearest_lists(
+        single, single, 1, qid="pid", tid="pid", by=by, exclude_self=True, carry=[*keys, "label", "features", "weight"],
+        plan=plan, limits=limits,
+    ).withColumnRenamed("qid", "pid")
+    other = F.coalesce(F.try_element_at("neighbors", F.lit(1))["tid"], F.col("pid"))
     pairs = pairs.withColumn("lo", F.least("pid", other)).withColumn("hi", F.greatest("pid", other))
     # both ends of a mutual pair have the same (lo, hi), so a group holds one or two prototypes
     merged = pairs.groupBy(*keys, "label", "lo", "hi").agg(

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from nearspark.operators.evaluate import with_truth
-from nearspark.operators.knn import KnnLimits, knn_join
+from nearspark.operators.knn import KnnLimits, nearest_lists
 from nearspark.operators.reduction import reduce_training
-from nearspark.operators.vote import majority_vote
+from nearspark.operators.vote import majority_of
 from nearspark.session import cut_lineage
 from nearspark.sources.store import save_predictions, save_report, save_table
 
@@ -29,10 +29,18 @@ def classify_knn(
 
     ``label`` holds integer class codes. A test row without a complete vector keeps a NULL prediction.
     """
-    near = knn_join(
-        test, train, k, qid=id_col, tid=id_col, features=features, label=label, plan=plan, limits=limits
+    near = nearest_lists(
+        test, train, k, qid=id_col, tid=id_col, features=features, label=label, carry=[label], plan=plan, limits=limits
     )
-    return with_truth(test, majority_vote(near, label, vote), id_col, label, missing_class)
+    top = majority_of(F.transform("neighbors", lambda e: e["label"]), vote)
+    return _predictions(near, top["label"], train, label, missing_class)
+
+
+def _predictions(near: DataFrame, predicted: Column, train: DataFrame, label: str, missing_class=None) -> DataFrame:
+    predicted = predicted.cast(train.schema[label].dataType)
+    if missing_class is not None:
+        predicted = F.coalesce(predicted, F.lit(missing_class))
+    return near.select("qid", F.col(label).alias("actual"), predicted.alias("predicted"))
 
 
 def classify_1nn(
@@ -46,12 +54,11 @@ def classify_1nn(
     limits: KnnLimits = KnnLimits(),
 ) -> DataFrame:
     """``(qid, actual, predicted)``: each test row gets the class of its nearest prototype ``(pid, features, label)``."""
-    train = reduced.select("pid", "features", "label")
-    near = knn_join(
-        test.withColumnRenamed(features, "features"), train, 1, qid=id_col, tid="pid", label="label", plan=plan,
-        limits=limits,
-    )
-    return with_truth(test, near.selectExpr("qid", "label AS predicted"), id_col, label)
+    train = reduced.select("pid", F.col("features").alias(features), F.col("label").alias(label))
+    near = nearest_lists(
+        test, train, 1, qid=id_col, tid="pid", features=features, label=label, carry=[label], plan=plan, limits=limits
+    )
+    return _predictions(near, F.try_element_at("neighbors", F.lit(1))["label"], train, label)
 
 
 def reduce_then_classify(

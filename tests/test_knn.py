@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearspark.operators.knn import KnnLimits, first_k, knn_join, merge_top_k, neighbor_lists
+from nearspark.operators.knn import KnnLimits, first_k, knn_join, merge_top_k, nearest_lists, neighbor_lists
 
 PLANS = ["broadcast_train", "broadcast_queries", "cells"]
 SMALL = KnnLimits(block_rows=64)
@@ -130,7 +130,29 @@ def test_lists_and_first_k(spark):
 def test_plan_choice_by_size(spark):
     q, t = make(spark, *sample(9, 10, 2)), make(spark, *sample(10, 400, 2))
     few_bytes = KnnLimits(broadcast_bytes=2000, block_rows=64)
+    with pytest.raises(ValueError, match="larger than broadcast_bytes"):
+        join(q, t, 2, "broadcast_train", limits=few_bytes)
     plan = join(q, t, 2, "auto", limits=few_bytes)._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "FlatMapCoGroups" not in plan  # the small query side is broadcast
     plan = join(t, t, 2, "auto", limits=few_bytes)._jdf.queryExecution().toString()
     assert "FlatMapCoGroups" in plan
+
+
+@pytest.mark.parametrize("plan", PLANS)
+def test_lists_keep_every_query_and_its_columns(spark, plan):
+    t = make(spark, *sample(11, 200, 3))
+    q = make(spark, *sample(12, 30, 3)).union(spark.createDataFrame([(99, None, 2, 1)], t.schema))
+    kw = {"qid": "id", "tid": "id", "label": "label", "plan": plan, "limits": SMALL}
+    lists = nearest_lists(q, t, 3, carry=["stratum", "label"], **kw).collect()
+    assert {(r["qid"], r["stratum"], r["label"]) for r in lists} == {(r["id"], r["stratum"], r["label"]) for r in q.collect()}
+    got = {(r["qid"], i): (e["tid"], e["label"], e["dist"]) for r in lists for i, e in enumerate(r["neighbors"], 1)}
+    assert got == brute([r for r in rows(q) if r[1]], rows(t), 3)
+    assert [r["neighbors"] for r in lists if r["qid"] == 99] == [[]]
+
+
+def test_a_broadcast_classification_has_no_shuffle(spark):
+    q, t = make(spark, *sample(13, 30, 2)), make(spark, *sample(14, 50, 2))
+    limits = KnnLimits(broadcast_bytes=8 * 4 * 50)
+    big = q.union(q.withColumn("id", q["id"] + 1000)).union(q.withColumn("id", q["id"] + 2000)).union(q)
+    lists = nearest_lists(big, t, 3, qid="id", tid="id", label="label", limits=limits)
+    assert "Exchange" not in lists._jdf.queryExecution().toString()
