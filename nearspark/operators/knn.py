@@ -251,7 +251,9 @@ class _Job:
     def choose(self, plan: str) -> str:
         """Broadcast a side only if its vectors fit the limit; queries only if the partial lists stay below a shuffle
         of the training table."""
-        row_bytes = 8 * (self.dims + 2) + (64 if self.grouped else 0)
+        row_bytes = 8 * (self.dims + 2)
+        if self.grouped:
+            row_bytes += 8 if isinstance(self.t.schema["grp"].dataType, T.NumericType) else 64
         limit = self.limits.broadcast_bytes
         fits = {
             "broadcast_train": self.train_rows * row_bytes <= limit,
