@@ -15,8 +15,8 @@ import numpy as np
 LEAF_ROWS = 256
 TILE_LEAVES = 8
 DIRECT_DIMS = 8  # up to here distances are summed directly; beyond, a matrix product screens the pairs first
-CHUNK_ROWS = 32  # queries handled together: few where boxes prune, many where the matrix product does the work
-CHUNK_ROWS_WIDE = 256
+# queries handled together: few where they are far apart, many where the matrix product does the work
+CHUNK_ROWS_SPARSE, CHUNK_ROWS_DENSE, CHUNK_ROWS_WIDE = 32, 128, 256
 
 NO_ID = np.iinfo(np.int64).max
 
@@ -99,7 +99,8 @@ def find_nearest(
     if len(x) == 0 or len(shelf.ids) == 0:
         return best
     within = np.full(len(x), np.inf) if within is None else within
-    order, starts = leaf_order(x, CHUNK_ROWS if x.shape[1] <= DIRECT_DIMS else CHUNK_ROWS_WIDE)
+    dense = CHUNK_ROWS_DENSE if 4 * len(x) >= len(shelf.ids) else CHUNK_ROWS_SPARSE
+    order, starts = leaf_order(x, dense if x.shape[1] <= DIRECT_DIMS else CHUNK_ROWS_WIDE)
     for a, b in zip(starts[:-1], starts[1:]):
         chunk = order[a:b]
         q_lo, q_hi = x[chunk].min(axis=0), x[chunk].max(axis=0)

@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from nearspark.operators import cells
 from nearspark.operators.kernel import NO_ID, Best, build_shelf, find_nearest
-from nearspark.session import ship_package
+from nearspark.session import cut_lineage, ship_package
 
 PLANS = ("auto", "broadcast_train", "broadcast_queries", "cells")
 
@@ -326,8 +326,9 @@ class _Job:
         split = _CellSplit(self, block)
         t = split.place_train(self.t)
 
-        # Cells that stay larger than a block are split; there are at most train_rows / block of them.
-        t_cells = F.broadcast(split.oversized(t))
+        # Cells that stay larger than a block are split; there are at most train_rows / block of them. Both sides must
+        # agree on the parts, so the counts are written once and read by both.
+        t_cells = F.broadcast(cut_lineage(split.oversized(t)) if split.any_large else split.oversized(t))
 
         # Of equal vectors only the lowest ids can be among the k nearest of any query, so the rest is left out.
         # The rank limit runs before the shuffle too, so a group of copies never travels whole.
@@ -337,13 +338,13 @@ class _Job:
         q = _spread(split.route(self.q), t_cells, "t_parts")
 
         # Groups that attract more queries than a block are split on the query side and their training rows repeated.
-        # The counts come from a sample: they balance the work and have no influence on the result. No broadcast hint
-        # here, Spark decides by the measured size.
+        # The counts come from a sample: they balance the work and have no influence on the result. They are written
+        # once as well, and joined without a broadcast hint, so Spark decides by the measured size.
         place = [*keys, "cell", "t_part"]
         share = min(1.0, max(0.001, 200_000 / max(1, self.query_rows)))
         seen = _spread(split.route(self.q.sample(share, seed=29) if share < 1 else self.q), t_cells, "t_parts")
         load = seen.groupBy(*place).agg((F.count("*") / share).alias("n")).where(F.col("n") > block)
-        load = load.select(*place, F.ceil(F.col("n") / block).cast("int").alias("q_parts"))
+        load = cut_lineage(load.select(*place, F.ceil(F.col("n") / block).cast("int").alias("q_parts")))
         t, q = _spread(t, load, "q_parts"), _pick(q, load, "q_parts")
 
         def search(left: pa.Table, right: pa.Table) -> pa.Table:
