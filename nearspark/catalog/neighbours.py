@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from nearspark.catalog import tables
 from nearspark.catalog.registry import query, sql_draw, table
 from nearspark.catalog.tables import LABELS_SQL, LINEITEM_KEY
 from nearspark.functions.vectors import features_of
@@ -18,9 +19,10 @@ from nearspark.operators.rowid import with_row_id
 from nearspark.operators.sampling import random_split
 from nearspark.operators.vote import majority_vote
 from nearspark.plans.jobs import classify_1nn as score_1nn
-from nearspark.plans.jobs import classify_knn
+from nearspark.plans.jobs import classify_knn, classify_text
 from nearspark.session import cut_lineage, scratch_root
 from nearspark.sources import store
+from nearspark.sources.text import read_header
 
 # ---- fixtures: (id, features, label) tables and their SQL -------------------------------------------------------
 
@@ -118,7 +120,7 @@ def knn_join_cells(spark, sf_dir):
 
 @query()
 def knn_join_lineitem(spark, sf_dir):
-    """The nine nearest line items of every customer-sized test part; checked by brute force in the tests."""
+    """The nine nearest line items of a held-out fifth of them; the tests check the join by brute force."""
     train, test = split(lineitems(spark, sf_dir))
     return join(test, train, 9)
 
@@ -233,11 +235,35 @@ def classify_knn_tabular(spark, sf_dir):
 
 @query()
 def classify_knn_lineitem(spark, sf_dir):
-    """Accuracy of nine-neighbour classification of the line items; checked by brute force in the tests."""
+    """Accuracy of nine-neighbour classification of a held-out fifth of the line items."""
     train, test = split(lineitems(spark, sf_dir))
     return V.accuracy(classify_knn(train, test, 9))
 
 
+# Text in, predictions out: categories are coded by the training lines, classes by the header, and test records with a
+# missing value keep their place without a prediction.
+TEXT_SQL = tables.LINES_SQL + f""", cut AS (SELECT id FROM lines
+QUALIFY row_number() OVER (ORDER BY {sql_draw(42, "id")}, id) <= (SELECT count(*) // 5 FROM lines)),
+tr AS (SELECT * FROM st WHERE id NOT IN (SELECT id FROM cut) AND status = 'ok'),
+te AS (SELECT * FROM st WHERE id IN (SELECT id FROM cut) AND status IN ('ok', 'missing')),
+d AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS c FROM (SELECT DISTINCT k[4] AS v FROM tr)),
+h AS {tables.TYPES_DESC_SQL},
+t AS (SELECT id, [k[2]::double, k[3]::double, d.c::double] AS x, h.code AS label FROM tr JOIN d ON k[4] = v JOIN h ON k[5] = h.label),
+q0 AS (SELECT te.id, status, [try_cast(k[2] AS double), try_cast(k[3] AS double), coalesce(d.c, -1)::double] AS x, h.code AS label
+  FROM te LEFT JOIN d ON k[4] = v JOIN h ON k[5] = h.label),
+q AS (SELECT * FROM q0 WHERE status = 'ok')"""
+SPACE_DIST = PLANE_DIST + " + (q.x[3] - t.x[3]) * (q.x[3] - t.x[3])"
+
+
+@query(TEXT_SQL + near_sql(5, SPACE_DIST) + VOTE_SQL
+       + "SELECT id AS qid, label AS actual, predicted FROM q0 LEFT JOIN p ON id = qid")
+def classify_knn_text(spark, sf_dir):
+    lines = tables.part_lines(spark, sf_dir)
+    test, train = random_split(lines, "id", lines.count() // 5, seed=42)
+    labels = read_header(tables.header_lines(table(spark, sf_dir, "part"), "p_type"))
+    return classify_text(train, test, tables.PART, labels, 5)
+
+
 @query("WITH " + PARTS_SQL + SPLIT_SQL + near_sql(1, PLANE_DIST)
        + "SELECT id AS qid, q.label AS actual, n.label AS predicted FROM q LEFT JOIN n ON q.id = n.qid")
 def classify_1nn(spark, sf_dir):

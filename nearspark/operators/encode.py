@@ -1,6 +1,7 @@
 """Dictionary encoding of categorical values and labels.
 
-Dictionaries are tables; the joins carry no broadcast hint, so Spark broadcasts a dictionary by its measured size.
+A dictionary is a written table, found in one pass over the data. The joins carry no broadcast hint: Spark knows the
+size of the table when it plans the join, and broadcasts a small one without shuffling the data first.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nearspark.operators.rowid import with_row_id
+from nearspark.session import cut_lineage
 
 UNSEEN = -1
 UNKNOWN = "unknown"
@@ -26,7 +28,7 @@ def attribute_values(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def build_dictionary(df: DataFrame, columns: list[str], window_rows: int = 200_000) -> DataFrame:
     """``(name, value, code)`` with codes 0, 1, ... per column by ascending value."""
-    values = attribute_values(df, columns)
+    values = cut_lineage(attribute_values(df, columns))
     if values.count() <= window_rows:
         code = F.row_number().over(Window.partitionBy("name").orderBy("value")) - 1
         return values.select("name", "value", code.alias("code"))

@@ -269,14 +269,17 @@ class _Job:
         few = self.query_rows * self.k * tasks <= self.train_rows
         return "broadcast_queries" if fits["broadcast_queries"] and few else "cells"
 
+    def over_cores(self, df: DataFrame, rows: int) -> DataFrame:
+        """Spread a small table, which may be a single split, over the cores; a large one has splits enough."""
+        if rows * 8 * self.dims > self.limits.broadcast_bytes:
+            return df
+        return df.repartition(max(1, min(self.context.defaultParallelism, rows // 1000)), "id")
+
     def broadcast_train(self) -> DataFrame:
         """``(qid, *carry, neighbors)`` for every query row, without a shuffle of a large query table."""
         k, dims, skip_self, grouped = self.k, self.dims, self.skip_self, self.grouped
         shared = self.context.broadcast(_side(self.t.toArrow(), dims, grouped))
-        q = self.all_queries
-        if self.query_rows * 8 * dims <= self.limits.broadcast_bytes:
-            # a small query file may be a single split; a large one has enough splits of its own
-            q = q.repartition(max(1, min(self.context.defaultParallelism, self.query_rows // 1000)), "id")
+        q = self.over_cores(self.all_queries, self.query_rows)
         kept = [c for c in q.columns if c not in ("x", "grp")]
 
         def search(batches):
@@ -318,7 +321,7 @@ class _Job:
                         best.dist[rows], best.ids[rows], best.codes[rows] = part.dist, part.ids, part.codes
             yield _partial_batch(query["ids"], best)
 
-        return self.t.mapInArrow(search, PARTIAL)
+        return self.over_cores(self.t, self.train_rows).mapInArrow(search, PARTIAL)
 
     def cells(self) -> DataFrame:
         k, dims, skip_self, keys = self.k, self.dims, self.skip_self, self.keys
@@ -335,7 +338,7 @@ class _Job:
         copies = Window.partitionBy(F.xxhash64("x"), "x", *keys).orderBy("id")
         t = t.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= split.keep).drop("copy")
         t = _pick(t, t_cells, "t_parts")
-        q = _spread(split.route(self.q), t_cells, "t_parts")
+        q = _spread(split.route(self.over_cores(self.q, self.query_rows)), t_cells, "t_parts")
 
         # Groups that attract more queries than a block are split on the query side and their training rows repeated.
         # The counts come from a sample: they balance the work and have no influence on the result. They are written
@@ -425,7 +428,7 @@ class _CellSplit:
         keys = [*self.job.keys, "cell"]
         if not self.any_large:
             return placed.select(*keys, F.lit(1).alias("t_parts")).limit(0)
-        distinct = F.approx_count_distinct(F.xxhash64("x"), 0.02) * self.keep
+        distinct = F.approx_count_distinct(F.xxhash64("x")) * self.keep
         sizes = placed.groupBy(*keys).agg(F.least(F.count("*"), distinct).alias("n")).where(F.col("n") > self.block)
         return sizes.select(*keys, F.ceil(F.col("n") / self.block).cast("int").alias("t_parts"))
 

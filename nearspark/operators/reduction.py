@@ -115,19 +115,18 @@ def fuse(
     Every round is written to the shared folder, which keeps the plan short and survives the loss of executors.
     """
     columns = ["pid", *([by] if by else []), "features", "label", "weight"]
-    df = df.select(*columns)
+    df = df.select(columns)
     untouched = None
     if min_rows is not None:
         if by:
-            sizes = df.groupBy(by).agg(F.count("*").alias("__n"))
-            df = df.join(sizes, by)
-            untouched = df.where(F.col("__n") <= min_rows).select(*columns)
-            df = df.where(F.col("__n") > min_rows).select(*columns)
+            sizes = df.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") <= min_rows)
+            small = cut_lineage(sizes.select(by))
+            untouched, df = df.join(small, by, "left_semi").select(columns), df.join(small, by, "left_anti").select(columns)
         elif df.count() <= min_rows:
             return df
     rows = None
     for _ in range(max_rounds):
-        df = cut_lineage(fusion_round(df, by, plan, limits).select(*columns))
+        df = cut_lineage(fusion_round(df, by, plan, limits).select(columns))
         left = df.count()
         if left == rows:
             break

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearspark.functions.vectors import features_of
+from nearspark.operators.encode import build_dictionary, encode, encode_label
 from nearspark.operators.knn import KnnLimits, nearest_lists
 from nearspark.operators.reduction import reduce_training
+from nearspark.operators.roles import Attributes
 from nearspark.operators.vote import majority_of
 from nearspark.session import cut_lineage
 from nearspark.sources.store import save_predictions, save_report, save_table
+from nearspark.sources.text import parse_lines
 
 
 def classify_knn(
@@ -43,6 +47,46 @@ def _predictions(near: DataFrame, predicted: Column, train: DataFrame, label: st
     return near.select("qid", F.col(label).alias("actual"), predicted.alias("predicted"))
 
 
+def instances(
+    rows: DataFrame, attributes: Attributes, dictionary: DataFrame | None, labels: DataFrame, id_col: str = "id"
+) -> DataFrame:
+    """``(id, features, label)`` of parsed records: categories as dictionary codes, the label as its class code.
+
+    A record with a missing input has no vector.
+    """
+    categories = [c for c in attributes.categorical if c != attributes.label]
+    coded = encode(rows, dictionary, {c: f"{c}__code" for c in categories})
+    coded = encode_label(coded, labels, attributes.label, "class__code")
+    inputs = [
+        F.when(F.col(c).isNotNull(), F.col(f"{c}__code")) if c in categories else F.col(c) for c in attributes.inputs
+    ]
+    return coded.select(id_col, features_of(*inputs).alias("features"), F.col("class__code").alias("label"))
+
+
+def classify_text(
+    train_lines: DataFrame,
+    test_lines: DataFrame,
+    attributes: Attributes,
+    labels: DataFrame,
+    k: int,
+    *,
+    id_col: str = "id",
+    drop_missing: bool = False,
+    **options,
+) -> DataFrame:
+    """Classify records of delimited text ``(id, value)``; ``labels`` is the class dictionary, as read from a header.
+
+    Training records with a missing value are dropped. Test records with one stay without a prediction, unless
+    ``drop_missing``.
+    """
+    train = parse_lines(train_lines, attributes)
+    test = parse_lines(test_lines, attributes, keep_missing=not drop_missing)
+    categories = [c for c in attributes.categorical if c != attributes.label]
+    dictionary = build_dictionary(train, categories) if categories else None
+    sides = [instances(rows, attributes, dictionary, labels, id_col) for rows in (train, test)]
+    return classify_knn(*sides, k, id_col=id_col, **options)
+
+
 def classify_1nn(
     test: DataFrame,
     reduced: DataFrame,

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from nearspark.operators import evaluate as V
+from nearspark.operators.roles import Attributes
 from nearspark.operators.vote import majority_vote
 from nearspark.plans import jobs
 from nearspark.sources import store
@@ -106,3 +107,18 @@ def test_predictions_by_file_keep_record_order(spark, tmp_path):
     store.save_predictions_by_file(spark.createDataFrame(rows, "qid bigint, input_file string, predicted int").repartition(5), path)
     one = spark.read.parquet(f"{path}/input_file=f1")
     assert [r["qid"] for r in one.collect()] == list(range(1, 90, 3))
+
+
+def test_text_records(spark):
+    def lines(*values):
+        return spark.createDataFrame(list(enumerate(values)), "id bigint, value string")
+
+    attributes = Attributes.of("N C L")
+    labels = spark.createDataFrame([("yes", 0), ("no", 1)], "label string, code int")
+    train = lines("0,red,yes", "10,red,no", "0,blue,yes", "?,blue,no", "10,blue,no")
+    test = lines("1,red,yes", "9,blue,no", "?,red,no", "10,?,yes", "8,green,no")
+    got = {r["qid"]: (r["actual"], r["predicted"]) for r in jobs.classify_text(train, test, attributes, labels, 1).collect()}
+    assert got == {0: (0, 0), 1: (1, 1), 2: (1, None), 3: (0, None), 4: (1, 1)}
+    assert jobs.classify_text(train, test, attributes, labels, 1, drop_missing=True).count() == 3
+    no_categories = jobs.classify_text(lines("1,a,yes", "5,b,no"), lines("4,c,yes"), Attributes.of("N I L"), labels, 1)
+    assert tuple(no_categories.first()) == (0, 0, 1)
