@@ -124,9 +124,12 @@ def _scan_tile(x, qids, shelf, rows, cols, k, skip_self, best, within) -> None:
     q, t = x[rows], shelf.x[cols]
     direct = x.shape[1] <= DIRECT_DIMS
     if direct:
-        dist = np.zeros((len(rows), len(cols)))
-        for j in range(x.shape[1]):
-            diff = q[:, j, None] - t[None, :, j]
+        q_columns, t_columns = np.ascontiguousarray(q.T), np.ascontiguousarray(t.T)
+        dist = np.subtract.outer(q_columns[0], t_columns[0])
+        dist *= dist
+        diff = np.empty_like(dist)
+        for j in range(1, x.shape[1]):
+            np.subtract.outer(q_columns[j], t_columns[j], out=diff)
             diff *= diff
             dist += diff
         slack = np.zeros(len(rows))
@@ -149,7 +152,10 @@ def _scan_tile(x, qids, shelf, rows, cols, k, skip_self, best, within) -> None:
         other = qids[rows[r]] != shelf.ids[cols[c]]
         r, c = r[other], c[other]
     exact = dist[r, c] if direct else squared_sum(q[r] - t[c])
-    _merge(best, rows, r, exact, shelf.ids[cols[c]], shelf.codes[cols[c]], k)
+    # equal distances are common among copies: those that lose the tie by id need not be sorted in
+    ids, last, last_id = shelf.ids[cols[c]], best.dist[rows[r], -1], best.ids[rows[r], -1]
+    wins = (exact < last) | ((exact == last) & (ids < last_id))
+    _merge(best, rows, r[wins], exact[wins], ids[wins], shelf.codes[cols[c[wins]]], k)
 
 
 def _merge(best: Best, rows, r, dist, ids, codes, k) -> None:

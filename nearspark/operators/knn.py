@@ -275,10 +275,19 @@ class _Job:
             return df
         return df.repartition(max(1, min(self.context.defaultParallelism, rows // 1000)), "id")
 
+    def without_copies(self, t: DataFrame) -> DataFrame:
+        """Of equal vectors only the k lowest ids (one more without self) can be neighbours; the rest is left out.
+
+        The rank limit runs before the shuffle too, so a group of copies never travels whole.
+        """
+        copies = Window.partitionBy(F.xxhash64("x"), "x", *self.keys).orderBy("id")
+        keep = self.k + 1 if self.skip_self else self.k
+        return t.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= keep).drop("copy")
+
     def broadcast_train(self) -> DataFrame:
         """``(qid, *carry, neighbors)`` for every query row, without a shuffle of a large query table."""
         k, dims, skip_self, grouped = self.k, self.dims, self.skip_self, self.grouped
-        shared = self.context.broadcast(_side(self.t.toArrow(), dims, grouped))
+        shared = self.context.broadcast(_side(self.without_copies(self.t).toArrow(), dims, grouped))
         q = self.over_cores(self.all_queries, self.query_rows)
         kept = [c for c in q.columns if c not in ("x", "grp")]
 
@@ -333,11 +342,7 @@ class _Job:
         # agree on the parts, so the counts are written once and read by both.
         t_cells = F.broadcast(cut_lineage(split.oversized(t)) if split.any_large else split.oversized(t))
 
-        # Of equal vectors only the lowest ids can be among the k nearest of any query, so the rest is left out.
-        # The rank limit runs before the shuffle too, so a group of copies never travels whole.
-        copies = Window.partitionBy(F.xxhash64("x"), "x", *keys).orderBy("id")
-        t = t.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= split.keep).drop("copy")
-        t = _pick(t, t_cells, "t_parts")
+        t = _pick(self.without_copies(t), t_cells, "t_parts")
         q = _spread(split.route(self.over_cores(self.q, self.query_rows)), t_cells, "t_parts")
 
         # Groups that attract more queries than a block are split on the query side and their training rows repeated.
