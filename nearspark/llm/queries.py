@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearspark.llm import chat
+from nearspark.llm import chat, quality
 from nearspark.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,69 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", _EXTRA), (-7, 1, "assistant", _EXTRA)], kind)
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.read_back(chat.format_chat(turns))
+
+
+_WORDS = r"[^\x20\x09-\x0D]+"
+_RATIOS = {
+    "word_length": "100 * word_chars // n_words",
+    "symbols": "1000 * n_symbols // word_chars",
+    "dup_lines": "1000 * n_dup_lines // n_words",
+    "repeats": "1000 * n_repeat_words // n_words",
+}
+_RULE_ROWS = " UNION ALL ".join(
+    f"SELECT doc_id, lang, source, '{r}' AS rule, {sql} AS value, {round(100 * quality.RULES[r][1])} AS share, "
+    f"{round(2 * quality.RULES[r][2])} AS slack2 FROM counted WHERE NOT base_failed"
+    for r, sql in _RATIOS.items()
+)
+
+
+@query(f"""
+WITH parts AS (
+  SELECT doc_id, lang, source, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w,
+    [x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '{_WORDS}')] AS lines,
+    length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols
+  FROM documents
+), places AS (
+  SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM parts
+), windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM places
+), repeated AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM windows, (VALUES (0), (1), (2)) v(j) WHERE n > 1 GROUP BY doc_id
+), counted AS (
+  SELECT doc_id, lang, source, len(w)::BIGINT AS n_words,
+    coalesce(list_sum([length(x) for x in w]), 0)::BIGINT AS word_chars,
+    n_symbols::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+    (len(w) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(w)) AS base_failed
+  FROM parts LEFT JOIN repeated USING (doc_id)
+), valued AS ({_RULE_ROWS}
+), own AS (
+  SELECT lang, source, rule, share, slack2, least(value, {quality.GRID}) AS cell, count(*) AS docs
+  FROM valued GROUP BY ALL
+), whole AS (
+  SELECT lang, rule, cell, sum(docs) AS lang_docs, sum(sum(docs)) OVER (PARTITION BY lang, rule) AS lang_total
+  FROM own GROUP BY lang, rule, cell
+), groups AS (SELECT DISTINCT lang, source, rule, share, slack2 FROM own
+), weighted AS (
+  SELECT g.lang, g.source, g.rule, g.share, g.slack2, w.cell,
+    coalesce(o.docs, 0) * w.lang_total + 500 * w.lang_docs AS weight
+  FROM groups g JOIN whole w ON g.lang IS NOT DISTINCT FROM w.lang AND g.rule = w.rule
+  LEFT JOIN own o ON o.lang IS NOT DISTINCT FROM g.lang AND o.source IS NOT DISTINCT FROM g.source
+    AND o.rule = g.rule AND o.cell = w.cell
+), reached AS (
+  SELECT *, 100 * sum(weight) OVER (PARTITION BY lang, source, rule ORDER BY cell)
+    >= share * sum(weight) OVER (PARTITION BY lang, source, rule) AS reached FROM weighted
+), bounds AS (
+  SELECT lang, source, rule, greatest(min(cell), {quality.LEAST_BOUND}) AS bound FROM reached WHERE reached GROUP BY ALL
+), failed AS (
+  SELECT DISTINCT v.doc_id FROM valued v JOIN bounds b ON v.lang IS NOT DISTINCT FROM b.lang
+    AND v.source IS NOT DISTINCT FROM b.source AND v.rule = b.rule
+  WHERE 2 * value > slack2 * bound AND bound < {quality.GRID}
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM failed) AS kept
+FROM counted
+""")
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    return quality.apply_quality_rules(table(spark, sf_dir, "documents"))
