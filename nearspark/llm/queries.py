@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearspark.llm import chat, quality
+from nearspark.llm import chat, fingerprint, language, quality, toxicity
 from nearspark.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,28 @@ FROM counted
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     return quality.apply_quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every document and of its edited text."""
+    return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    out = language.held_out()
+    model = language.train(docs.where(~out).select("doc_id", "text", "lang"))
+    found = language.identify(docs, model)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of three quarters of them."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = language.held_out()
+    model = toxicity.train(docs, labels.where(~out))
+    return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
