@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearspark.llm import chat, fingerprint, language, quality, toxicity
+from nearspark.llm import chat, fingerprint, language, mixing, packing, quality, toxicity
 from nearspark.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language.held_out()
     model = toxicity.train(docs, labels.where(~out))
     return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+@query()
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, tokenised and packed into sequences of 1024."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixture in which no source is read more than one and a half times as often as the largest."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), most_passes=1.5)

@@ -1,7 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text: whether each word, each pair of neighbours and each pair with one word between occurs in it, as 64-bit
-hashes of the words in lower case. Every coordinate has a learning rate of its own, and L1 regularisation leaves few
+hashes of the words (runs of letters, digits and non-ASCII) in lower case. Every coordinate has a learning rate of its own, and L1 regularisation leaves few
 weights; they are what is broadcast. Training sees a bounded, hash-chosen sample of labelled rows.
 
 Defined cases. NULL and empty texts have no features; their score is that of the bias. Rows without a label take no part
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearspark.llm.language import bounded_sample
-from nearspark.llm.words import U, Words, mix, slices, text_bytes
+from nearspark.llm.words import NOT_ALNUM, U, Words, mix, slices, text_bytes
 
 KINDS = (0, 1, 2)  # single words, neighbours, pairs with one word between
 _SALT = mix(np.arange(1, 4, dtype=U))
@@ -40,7 +40,7 @@ def features(docs: DataFrame, label: str) -> DataFrame:
 
     def run(batches):
         for part in slices(batches):
-            words = Words(*text_bytes(part.column("text")))
+            words = Words(*text_bytes(part.column("text")), NOT_ALNUM)
             value, owner = gram_hashes(words, words.hashes(lower=True))
             order = np.lexsort((value, owner))
             value, owner = value[order], owner[order]
@@ -85,9 +85,9 @@ def train(
     rows_per_label: int = 4000,
     least_docs: int = 5,
     passes: int = 3,
-    alpha: float = 0.1,
+    alpha: float = 1.0,
     beta: float = 1.0,
-    l1: float = 2.0,
+    l1: float = 8.0,
     l2: float = 1.0,
 ) -> tuple[np.ndarray, np.ndarray, float]:
     """(doc_id, text) and (doc_id, label) -> sorted hashes with a weight, the weights, the bias.
@@ -151,7 +151,7 @@ def score_rows(docs: DataFrame, keep: list[str], model: tuple[np.ndarray, np.nda
         quick = np.zeros(1 << 20, bool)
         quick[(hashes & U((1 << 20) - 1)).astype(np.int64)] = True
         for part in slices(batches):
-            words = Words(*text_bytes(part.column("text")))
+            words = Words(*text_bytes(part.column("text")), NOT_ALNUM)
             value, owner = gram_hashes(words, words.hashes(lower=True))
             hit = np.flatnonzero(quick[(value & U((1 << 20) - 1)).astype(np.int64)])
             value, owner = value[hit], owner[hit]

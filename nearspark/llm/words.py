@@ -14,6 +14,8 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: all ASCII but letters and digits
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 SLICE_BYTES = 4 << 20
 
 U = np.uint64
@@ -65,10 +67,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """``start`` and ``end`` (byte places) of each word, and ``row``: where each document's words begin and end."""
+    """``start`` and ``end`` (byte places) of each word, and ``row``: where each document's words begin and end.
 
-    def __init__(self, data: np.ndarray, ends: np.ndarray):
-        inside = ~SPACE[data]
+    ``apart`` tells which bytes part words.
+    """
+
+    def __init__(self, data: np.ndarray, ends: np.ndarray, apart: np.ndarray = SPACE):
+        inside = ~apart[data]
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
         last[:-1] &= ~inside[1:]
