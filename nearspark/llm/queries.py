@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearspark.llm import chat, fingerprint, language, mixing, packing, quality, toxicity
+from nearspark.llm import chat, fingerprint, jaccard, language, mixing, packing, quality, toxicity
 from nearspark.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,33 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mixture in which no source is read more than one and a half times as often as the largest."""
     return mixing.mix_sources(table(spark, sf_dir, "documents"), most_passes=1.5)
+
+
+@query(f"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '{_WORDS}') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)] END) AS s FROM split
+), classes AS (
+  SELECT min(doc_id) AS rep, list_sort(s) AS s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY ALL
+), entries AS (SELECT rep, n, unnest(s) AS shingle FROM classes
+), often AS (SELECT shingle FROM entries GROUP BY shingle HAVING count(*) > 1
+), shared AS (SELECT entries.* FROM entries SEMI JOIN often USING (shingle)
+), pairs AS (
+  SELECT a.rep AS a, b.rep AS b FROM shared a JOIN shared b ON a.shingle = b.shingle AND a.rep <> b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT rep AS node, rep AS low FROM classes
+  UNION SELECT pairs.b, reach.low FROM reach JOIN pairs ON pairs.a = reach.node WHERE reach.low < pairs.b
+), lowest AS (SELECT node, min(low) AS low FROM reach GROUP BY node
+), named AS (
+  SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, rep
+  FROM sets LEFT JOIN classes ON list_sort(sets.s) = classes.s
+)
+SELECT doc_id, n_shingles, coalesce(low, doc_id) AS component_id FROM named LEFT JOIN lowest ON node = rep
+""")
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document: 5-word shingles, Jaccard similarity of 0.8."""
+    return jaccard.near_duplicate_classes(table(spark, sf_dir, "documents"))
