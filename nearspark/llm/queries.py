@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearspark.llm import chat, fingerprint, jaccard, language, mixing, packing, quality, toxicity
+from nearspark.llm import chat, fingerprint, jaccard, language, mixing, packing, quality, substrings, toxicity
 from nearspark.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -203,3 +203,25 @@ SELECT doc_id, n_shingles, coalesce(low, doc_id) AS component_id FROM named LEFT
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document: 5-word shingles, Jaccard similarity of 0.8."""
     return jaccard.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+@query(f"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents
+), places AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM split
+), windows AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS passage FROM places
+), again AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY passage) < doc_id AS repeated FROM windows
+), gone AS (
+  SELECT DISTINCT doc_id, i + j AS i FROM again, (SELECT unnest(range(13)) AS j) WHERE repeated
+), words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM split
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+""")
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 13-word windows that an earlier document has."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
