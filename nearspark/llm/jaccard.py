@@ -177,6 +177,14 @@ def near_duplicate_classes(
     return named.unionByName(alone)
 
 
+def drop_near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The document with the smallest doc_id of each class, with all its columns. Rows without a doc_id stay."""
+    classes = near_duplicate_classes(docs, n, threshold)
+    return docs.join(classes.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(
+        *docs.columns
+    )
+
+
 def _one_each(entries: DataFrame) -> DataFrame:
     """One comparison for each class: with the smallest class of another component in one of its lists, the one that
     most of its lists name. Rows grow with the classes, not with the lists' lengths."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearspark.llm import chat, fingerprint, jaccard, language, mixing, packing, quality, substrings, toxicity
+from nearspark.llm import chat, fingerprint, jaccard, language, mixing, packing, quality, substrings, suffixes, toxicity
 from nearspark.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,3 +225,9 @@ FROM split LEFT JOIN kept USING (doc_id)
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of 13-word windows that an earlier document has."""
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
+@query()
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that two documents share, per document."""
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))

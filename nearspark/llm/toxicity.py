@@ -137,12 +137,17 @@ def train(
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = 0.3) -> DataFrame:
     """(doc_id, text) -> doc_id, ``score``, ``predicted`` (1 from ``threshold`` on). No shuffle."""
-    columns = "doc_id long, score double, predicted int"
-    kept = score_rows(docs.select("doc_id", "text"), ["doc_id"], model, threshold)
-    return kept.select(*[F.col(c.split()[0]) for c in columns.split(", ")])
+    scored = score_rows(docs.select("doc_id", "text"), ["doc_id"], model, threshold)
+    return scored.select("doc_id", F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
+
+
+def reject(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = 0.3) -> DataFrame:
+    """The documents that score below ``threshold``, with all their columns."""
+    return score_rows(docs, docs.columns, model, threshold).where("__predicted = 0").select(*docs.columns)
 
 
 def score_rows(docs: DataFrame, keep: list[str], model: tuple[np.ndarray, np.ndarray, float], threshold: float) -> DataFrame:
+    """The columns ``keep``, ``__score`` and ``__predicted``."""
     hashes, weights, bias = model
     shared = docs.sparkSession.sparkContext.broadcast((hashes, weights))  # bounded by the training sample
 
@@ -163,9 +168,9 @@ def score_rows(docs: DataFrame, keep: list[str], model: tuple[np.ndarray, np.nda
             chance = 1.0 / (1.0 + np.exp(-np.clip(total, -700, 700)))
             yield pa.RecordBatch.from_arrays(
                 [*[part.column(c) for c in keep], pa.array(chance), pa.array((chance >= threshold).astype(np.int32))],
-                names=[*keep, "score", "predicted"],
+                names=[*keep, "__score", "__predicted"],
             )
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     used = list(dict.fromkeys([*keep, "text"]))
-    return docs.select(*used).mapInArrow(run, ", ".join([*kinds, "score double, predicted int"]))
+    return docs.select(*used).mapInArrow(run, ", ".join([*kinds, "__score double, __predicted int"]))
