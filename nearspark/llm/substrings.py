@@ -215,7 +215,7 @@ def remove_repeats(docs: DataFrame, n: int = 13, digest: bool = False) -> DataFr
             text = part.column("text")
             if digest:  # only texts that may lose words travel
                 shas = [None if m else _sha(t) for m, t in zip(may, text, strict=True)]
-                text = pa.compute.if_else(pa.array(may), text, pa.scalar(None, text.type))
+                text = pa.array([t.as_py() if m else None for m, t in zip(may, text, strict=True)], pa.string())
             else:
                 shas = [None] * len(may)
             columns = [pa.array(text_id.astype(np.int64)), pa.array(p.words.counts.astype(np.int64)), text, pa.array(shas, pa.string())]
