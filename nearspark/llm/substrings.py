@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearspark.llm.graph import bitmap, maybe_in
-from nearspark.llm.words import U, Words, minimisers, mix, sequence_hashes, slices, starts_within, text_bytes
+from nearspark.llm.words import U, Words, mix, rolling, sequence_hashes, slices, starts_within, text_bytes
 from nearspark.session import cut_lineage
 
 ANCHOR = 5
@@ -39,24 +39,26 @@ LAST = 2**63 - 1
 
 
 class Passages:
-    """Windows and anchors of a slice of documents; ``at`` are the words where windows start."""
+    """Windows of a slice of documents: where they start (``at``, in words), their documents and their anchors.
+
+    ``first`` marks the windows that begin a stretch: neighbours in one document with the same anchor.
+    """
 
     def __init__(self, column: pa.Array, n: int):
         self.words = Words(*text_bytes(column))
         self.hashes = self.words.hashes()
         self.at = starts_within(self.words.row, n)
-        order = sequence_hashes(self.hashes, ANCHOR)
-        self.places = minimisers(order, n - ANCHOR + 1)[self.at]
-        self.anchors = order[self.places]
+        self.anchors = rolling(np.minimum, sequence_hashes(self.hashes, ANCHOR), n - ANCHOR + 1)[self.at]
         self.owner = self.words.owner()[self.at] if len(self.at) else np.zeros(0, np.int64)
-        self.first = np.ones(len(self.at), bool)  # windows that start a stretch: a new anchor place
-        self.first[1:] = self.places[1:] != self.places[:-1]
+        self.first = np.ones(len(self.at), bool)
+        self.first[1:] = (self.anchors[1:] != self.anchors[:-1]) | (self.owner[1:] != self.owner[:-1])
 
-    def text_ids(self) -> np.ndarray:
-        """64-bit hash of the words of each document."""
-        weight = mix(np.arange(len(self.hashes), dtype=U) - np.repeat(self.words.row[:-1], self.words.counts).astype(U))
-        sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(self.hashes ^ weight))])
-        return mix(sums[self.words.row[1:]] - sums[self.words.row[:-1]] + self.words.counts.astype(U))
+
+def text_ids(words: Words, hashes: np.ndarray) -> np.ndarray:
+    """64-bit hash of the words of each document."""
+    place = np.arange(len(hashes), dtype=U) - np.repeat(words.row[:-1], words.counts).astype(U)
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(hashes ^ mix(place)))])
+    return mix(sums[words.row[1:]] - sums[words.row[:-1]] + words.counts.astype(U))
 
 
 def _places(part) -> np.ndarray:
@@ -125,7 +127,7 @@ def locate(rows: DataFrame, live: DataFrame, recurring: DataFrame, n: int) -> Da
             may = maybe_in(table.value, p.anchors[begin])
             begin, stop = begin[may], stop[may]
             owner, anchor = p.owner[begin], p.anchors[begin].astype(np.int64)
-            doc, text_id = _places(part)[owner], p.text_ids().astype(np.int64)[owner]
+            doc, text_id = _places(part)[owner], text_ids(p.words, p.hashes).astype(np.int64)[owner]
             ids, window = (p.hashes & U(0xFFFFFFFF)).astype(np.uint32), sequence_hashes(p.hashes, n)
             first, last = p.at[begin], p.at[stop - 1]
             salt = (mix(text_id.astype(U)) % salts_of(anchor).astype(U)).astype(np.int64)
@@ -156,34 +158,54 @@ def locate(rows: DataFrame, live: DataFrame, recurring: DataFrame, n: int) -> Da
             window, low = phrases.column("window").to_numpy().astype(U), phrases.column("low").to_numpy()
             order = np.argsort(window)
             window, low = window[order], low[order]
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-            ids_of, windows_of = stretches.column("ids"), stretches.column("windows")
-            every = np.frombuffer(b"".join(windows_of.to_pylist()), U)
-            sizes = np.array([len(w) // 8 for w in windows_of.to_pylist()])
-            places = np.concatenate([np.arange(s) for s in sizes])
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            at = np.minimum(np.searchsorted(window, every), len(window) - 1)
-            known = np.flatnonzero(window[at] == every)
+            # all stretches in a row; own[i]: the hash of the window that starts at word i, if it lies in a stretch
+            ids, windows = stretches.column("ids").to_pylist(), stretches.column("windows").to_pylist()
+            every = np.frombuffer(b"".join(windows), U)
+            counts = np.array([len(w) // 8 for w in windows])
+            begin = np.concatenate([[0], np.cumsum(counts + n - 1)])[:-1]
+            at = np.arange(len(every)) + np.repeat(begin - (np.cumsum(counts) - counts), counts)
+            words = tuple(np.frombuffer(b"".join(ids), np.uint32).tolist())
+            own, inside = np.zeros(len(words), U), np.zeros(len(words), bool)
+            own[at], inside[at] = every, True
+
+            place = np.minimum(np.searchsorted(window, every), len(window) - 1)
+            known = np.flatnonzero(window[place] == every)
             _, once = np.unique(every[known], return_index=True)
-            for i in known[once]:  # each phrase once, read from a stretch that has it
-                ids = np.frombuffer(ids_of[int(row[i])].as_py(), np.uint32)[places[i] : places[i] + n]
-                phrase, entry = tuple(ids.tolist()), (int(every[i]), int(low[at[i]]))
-                automaton.add_word(phrase, [*automaton.get(phrase, []), entry])
-            if len(known):
+            once = known[once]
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            alike: dict[tuple, list[int]] = {}  # phrases whose 32-bit numbers are those of another one
+            for i, start in zip(place[once].tolist(), at[once].tolist(), strict=True):
+                phrase = words[start : start + n]
+                if (one := automaton.get(phrase, None)) is None:
+                    automaton.add_word(phrase, i)
+                else:
+                    alike.setdefault(phrase, [one]).append(i)
+            for phrase, all_ in alike.items():
+                automaton.add_word(phrase, tuple(all_))
+            if len(once):
                 automaton.make_automaton()
-                table = zip(*(stretches.column(c).to_pylist() for c in ("doc", "text_id", "at", "ids", "windows")), strict=True)
-                for doc, text_id, start, ids, windows in table:
-                    own = np.frombuffer(windows, U)
-                    found = [
-                        start + end - n + 1
-                        for end, entries in automaton.iter(tuple(np.frombuffer(ids, np.uint32).tolist()))
-                        if any(w == own[end - n + 1] and first < doc for w, first in entries)
-                    ]
-                    if found:
-                        hits["doc"].append(doc)
-                        hits["text_id"].append(text_id)
-                        hits["hits"].append(np.array(found, np.int64).tobytes())
-        return pa.table([pa.array(hits["doc"], pa.int64()), pa.array(hits["text_id"], pa.int64()), pa.array(hits["hits"], pa.binary())], names=list(hits))
+                found = [(end, i) for end, i in automaton.iter(words)]
+                if alike:
+                    found = [(end, i) for end, all_ in found for i in (all_ if isinstance(all_, tuple) else (all_,))]
+                end, which = np.array(found, np.int64).reshape(-1, 2).T
+                start = end - n + 1
+                true = inside[start] & (own[start] == window[which])
+                start, which = start[true], which[true]
+                row = np.searchsorted(begin, start, side="right") - 1
+                doc = stretches.column("doc").to_numpy()
+                earlier = low[which] < doc[row]
+                start, row = start[earlier], row[earlier]
+                word = start - begin[row] + stretches.column("at").to_numpy()[row]
+                order = np.lexsort((word, row))
+                row, word = row[order], word[order]
+                rows, cut = np.unique(row, return_index=True)
+                hits["doc"] = doc[rows]
+                hits["text_id"] = stretches.column("text_id").to_numpy()[rows]
+                hits["hits"] = [x.tobytes() for x in np.split(word, cut[1:])] if len(rows) else []
+        return pa.table(
+            [pa.array(hits["doc"], pa.int64()), pa.array(hits["text_id"], pa.int64()), pa.array(hits["hits"], pa.binary())],
+            names=list(hits),
+        )
 
     kind = "shard long, salt long, doc long, text_id long, at long, ids binary, windows binary"
     left = rows.mapInArrow(stretches, kind).groupBy("shard", "salt")
@@ -202,23 +224,26 @@ def remove_repeats(docs: DataFrame, n: int = 13, digest: bool = False) -> DataFr
     live, recurring = recurring_windows(rows, n)
     found = locate(rows, live, recurring, n).groupBy("doc", "text_id").agg(F.collect_list("hits").alias("__hits"))
     found = cut_lineage(found.select(F.col("doc").alias("__doc"), F.col("text_id").alias("__text"), "__hits"))
-    table = docs.sparkSession.sparkContext.broadcast(bitmap(found, "__text", FILTER_BITS))
+    table = docs.sparkSession.sparkContext.broadcast(bitmap(found, "__doc", FILTER_BITS))
 
     keep = ["doc_id"] if digest else [c for c in docs.columns if c != "text"]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def prepare(batches):
         for part in slices(batches):
-            p = Passages(part.column("text"), n)
-            text_id = p.text_ids()
-            may = maybe_in(table.value, text_id)
             text = part.column("text")
+            words = Words(*text_bytes(text))
+            may = maybe_in(table.value, _places(part))
+            hit = np.flatnonzero(may)
+            text_id = np.zeros(len(may), U)
+            if len(hit):
+                own = Words(*text_bytes(text.take(pa.array(hit))))
+                text_id[hit] = text_ids(own, own.hashes())
+            shas = [None] * len(may)
             if digest:  # only texts that may lose words travel
                 shas = [None if m else _sha(t) for m, t in zip(may, text, strict=True)]
                 text = pa.array([t.as_py() if m else None for m, t in zip(may, text, strict=True)], pa.string())
-            else:
-                shas = [None] * len(may)
-            columns = [pa.array(text_id.astype(np.int64)), pa.array(p.words.counts.astype(np.int64)), text, pa.array(shas, pa.string())]
+            columns = [pa.array(text_id.astype(np.int64)), pa.array(words.counts.astype(np.int64)), text, pa.array(shas, pa.string())]
             yield pa.RecordBatch.from_arrays(
                 [part.column("__place"), *(part.column(c) for c in keep), *columns],
                 names=["__place", *keep, "__text_id", "__n_words", "text", "__sha"],

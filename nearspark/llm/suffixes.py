@@ -40,7 +40,9 @@ def retained(words: Words, hashes: np.ndarray) -> np.ndarray:
     """Word places of the retained suffixes that have MATCH words to the right in their document."""
     order = sequence_hashes(hashes, ANCHOR)
     runs = starts_within(words.row, MIN_WORDS - MATCH + ANCHOR)
-    places = np.unique(minimisers(order, MIN_WORDS - MATCH + 1)[runs])
+    places = minimisers(order, runs, MIN_WORDS - MATCH + 1)
+    if not len(places):
+        return places
     document_end = words.row[np.searchsorted(words.row, places, side="right")]
     return places[places + MATCH <= document_end]
 

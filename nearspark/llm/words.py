@@ -16,7 +16,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: all ASCII but letters and digits
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 U = np.uint64
 _BASE, _STEP = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
@@ -132,28 +132,26 @@ def starts_within(row: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(ok)
 
 
-def minimisers(order: np.ndarray, width: int) -> np.ndarray:
-    """For each run of ``width`` consecutive places: the place with the lowest ``order``, the leftmost among equals.
+def rolling(pick, values: np.ndarray, width: int) -> np.ndarray:
+    """``pick`` (np.minimum or np.maximum) over each run of ``width`` consecutive values, in steps that double."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return values[:0]
+    out, size = values, 1
+    while size * 2 <= width:
+        out = pick(out[:-size], out[size:])
+        size *= 2
+    return pick(out[:n], out[width - size : width - size + n]) if size < width else out
 
-    The choice depends on content alone, so equal passages select the same places. Documents' borders are not looked
-    at; callers keep the runs that lie in one document.
+
+def minimisers(order: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Places that are lowest in ``order`` among the ``width`` places of a run that begins at one of ``starts``.
+
+    The choice depends on content alone, so equal passages select the same places (all of them, among equals).
     """
-    if len(order) < width:
+    lowest = rolling(np.minimum, order, width)
+    if not len(lowest):
         return np.zeros(0, np.int64)
-    best = np.arange(len(order) - width + 1)
-    low = order[: len(best)].copy()
-    for i in range(1, width):
-        other = order[i : i + len(best)]
-        less = other < low
-        low[less] = other[less]
-        best[less] = np.flatnonzero(less) + i
-    return best
-
-
-def sha256_hex(pieces) -> str:
-    import hashlib
-
-    digest = hashlib.sha256()
-    for piece in pieces:
-        digest.update(piece)
-    return digest.hexdigest()
+    runs = np.zeros(len(order) + width - 1, U)  # 0, below every value that counts, where no run begins
+    runs[width - 1 + starts] = lowest[starts]
+    return np.flatnonzero((rolling(np.maximum, runs, width) == order) & (order > 0))
