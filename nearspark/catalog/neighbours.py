@@ -19,10 +19,10 @@ from nearspark.operators.rowid import with_row_id
 from nearspark.operators.sampling import random_split
 from nearspark.operators.vote import majority_vote
 from nearspark.plans.jobs import classify_1nn as score_1nn
-from nearspark.plans.jobs import classify_knn, classify_text
+from nearspark.plans.jobs import classify_knn, classify_text, classify_text_1nn, instances
 from nearspark.session import cut_lineage, scratch_root
 from nearspark.sources import store
-from nearspark.sources.text import read_header
+from nearspark.sources.text import parse_lines, read_header, read_lines
 
 # ---- fixtures: (id, features, label) tables and their SQL -------------------------------------------------------
 
@@ -242,16 +242,23 @@ def classify_knn_lineitem(spark, sf_dir):
 
 # Text in, predictions out: categories are coded by the training lines, classes by the header, and test records with a
 # missing value keep their place without a prediction.
-TEXT_SQL = tables.LINES_SQL + f""", cut AS (SELECT id FROM lines
-QUALIFY row_number() OVER (ORDER BY {sql_draw(42, "id")}, id) <= (SELECT count(*) // 5 FROM lines)),
+FIFTH_SQL = f"QUALIFY row_number() OVER (ORDER BY {sql_draw(42, 'id')}, id) <= (SELECT count(*) // 5 FROM lines)"
+
+
+def text_sql(cut: str, number: str = "id") -> str:
+    """Records of the text: those of ``cut`` are asked for, the others are known by ``number``."""
+    return tables.LINES_SQL + f""", cut AS (SELECT id FROM lines {cut}),
 tr AS (SELECT * FROM st WHERE id NOT IN (SELECT id FROM cut) AND status = 'ok'),
 te AS (SELECT * FROM st WHERE id IN (SELECT id FROM cut) AND status IN ('ok', 'missing')),
 d AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS c FROM (SELECT DISTINCT k[4] AS v FROM tr)),
 h AS {tables.TYPES_DESC_SQL},
-t AS (SELECT id, [k[2]::double, k[3]::double, d.c::double] AS x, h.code AS label FROM tr JOIN d ON k[4] = v JOIN h ON k[5] = h.label),
+t AS (SELECT {number} AS id, [k[2]::double, k[3]::double, d.c::double] AS x, h.code AS label FROM tr JOIN d ON k[4] = v JOIN h ON k[5] = h.label),
 q0 AS (SELECT te.id, status, [try_cast(k[2] AS double), try_cast(k[3] AS double), coalesce(d.c, -1)::double] AS x, h.code AS label
   FROM te LEFT JOIN d ON k[4] = v JOIN h ON k[5] = h.label),
 q AS (SELECT * FROM q0 WHERE status = 'ok')"""
+
+
+TEXT_SQL = text_sql(FIFTH_SQL)
 SPACE_DIST = PLANE_DIST + " + (q.x[3] - t.x[3]) * (q.x[3] - t.x[3])"
 
 
@@ -264,6 +271,51 @@ def classify_knn_text(spark, sf_dir):
     return classify_text(train, test, tables.PART, labels, 5)
 
 
+# Three files: two of known records, one of records to classify. Lines are numbered per file, known records over both files.
+FILES_SQL = text_sql("WHERE id % 3 = 2", "(id % 3) * 1000000000 + id") + """,
+numbered AS (SELECT id, row_number() OVER (PARTITION BY id % 3 ORDER BY id) - 1 AS line FROM lines)"""
+
+
+def text_files(spark, sf_dir) -> list[DataFrame]:
+    """Known and unknown records, written as text files and read back."""
+    path = f"{scratch_root(spark)}/lines-{uuid.uuid4().hex}"
+    lines = tables.part_lines(spark, sf_dir).withColumn("src", F.col("id") % 3)
+    ordered = lines.repartition(3, "src").sortWithinPartitions("src", "id").select("src", "value")
+    ordered.write.partitionBy("src").text(path)
+    return [read_lines(spark, [f"{path}/src={i}" for i in files], whole_path=True) for files in ((0, 1), (2,))]
+
+
+@query(FILES_SQL + near_sql(5, SPACE_DIST) + VOTE_SQL
+       + """SELECT 'src=2' AS input_file, line, label AS actual, predicted FROM q0 JOIN numbered USING (id)
+LEFT JOIN p ON id = qid""")
+def classify_text_files(spark, sf_dir):
+    """Text files to predictions, saved per input file."""
+    known, asked = text_files(spark, sf_dir)
+    labels = read_header(tables.header_lines(table(spark, sf_dir, "part"), "p_type"))
+    asked = asked.withColumn("input_file", F.element_at(F.split("input_file", "/"), -2))
+    found = classify_text(known, asked, tables.PART, labels, 5, carry=["input_file", "line"])
+    path = f"{scratch_root(spark)}/by-file-{uuid.uuid4().hex}"
+    store.save_predictions_by_file(found, path, "line")
+    return store.load_table(spark, path).select("input_file", "line", "actual", "predicted")
+
+
+@query(FILES_SQL + near_sql(1, SPACE_DIST)
+       + """SELECT line, q0.label AS actual, n.label AS predicted FROM q0 JOIN numbered USING (id)
+LEFT JOIN n ON q0.id = n.qid""")
+def score_text_files(spark, sf_dir):
+    """Text scored on a saved set, coded by a saved description."""
+    known, asked = text_files(spark, sf_dir)
+    labels = read_header(tables.header_lines(table(spark, sf_dir, "part"), "p_type"))
+    path = f"{scratch_root(spark)}/model-{uuid.uuid4().hex}"
+    records = parse_lines(known, tables.PART)
+    store.save_description(records.withColumn("p_partkey", F.lit(None)), tables.PART, f"{path}/description")
+    attributes, dictionary, _ = store.load_description(spark, f"{path}/description")
+    vectors = instances(records, attributes, dictionary, labels).where("label IS NOT NULL")
+    store.save_table(vectors.withColumnRenamed("id", "pid"), f"{path}/reduced")
+    found = classify_text_1nn(asked, attributes, dictionary, labels, store.load_table(spark, f"{path}/reduced"), carry=["line"])
+    return found.select("line", "actual", "predicted")
+
+
 @query("WITH " + PARTS_SQL + SPLIT_SQL + near_sql(1, PLANE_DIST)
        + "SELECT id AS qid, q.label AS actual, n.label AS predicted FROM q LEFT JOIN n ON q.id = n.qid")
 def classify_1nn(spark, sf_dir):
@@ -288,18 +340,29 @@ def _codes(spark, sf_dir):
     return V.class_codes(E.label_dictionary(table(spark, sf_dir, "customer"), "c_mktsegment"))
 
 
-@query(CUSTOMER_PREDICTIONS_SQL + f""", l AS {SEGMENTS_SQL}
-SELECT a.code AS predicted, b.code AS actual, count(qid) AS n FROM l a JOIN l b ON true
-LEFT JOIN c ON c.predicted = a.code AND c.actual = b.code GROUP BY ALL""")
+# Every 13th prediction is missing, and the last class is not listed.
+GAPS_SQL = f""", l AS (SELECT code FROM {SEGMENTS_SQL} WHERE code < 4 UNION ALL SELECT NULL),
+m AS (SELECT CASE WHEN qid % 13 > 0 AND predicted < 4 THEN predicted END AS predicted,
+CASE WHEN actual < 4 THEN actual END AS actual FROM c)"""
+
+
+def predictions_with_gaps(spark, sf_dir):
+    predicted = F.when(F.col("qid") % 13 > 0, F.col("predicted"))
+    return customer_predictions(spark, sf_dir).withColumn("predicted", predicted), _codes(spark, sf_dir)[:-1]
+
+
+@query(CUSTOMER_PREDICTIONS_SQL + GAPS_SQL + """SELECT a.code AS predicted, b.code AS actual, (SELECT count(*) FROM m
+WHERE m.predicted IS NOT DISTINCT FROM a.code AND m.actual IS NOT DISTINCT FROM b.code) AS n FROM l a JOIN l b ON true""")
 def confusion_long(spark, sf_dir):
-    return V.confusion_long(customer_predictions(spark, sf_dir), _codes(spark, sf_dir))
+    return V.confusion_long(*predictions_with_gaps(spark, sf_dir))
 
 
-@query(CUSTOMER_PREDICTIONS_SQL + f""", l AS {SEGMENTS_SQL}
-SELECT code AS predicted, {", ".join(f'count(*) FILTER (actual = {i}) AS "{i}"' for i in range(5))}
-FROM l LEFT JOIN c ON predicted = code GROUP BY code""")
+@query(CUSTOMER_PREDICTIONS_SQL + GAPS_SQL
+       + f"""SELECT code AS predicted, {", ".join(f'count(*) FILTER (actual = {i}) AS "{i}"' for i in range(4))},
+count(*) FILTER (found AND actual IS NULL) AS "none"
+FROM l LEFT JOIN (SELECT *, true AS found FROM m) m ON predicted IS NOT DISTINCT FROM code GROUP BY code""")
 def confusion_pivot(spark, sf_dir):
-    return V.confusion_matrix(customer_predictions(spark, sf_dir), _codes(spark, sf_dir))
+    return V.confusion_matrix(*predictions_with_gaps(spark, sf_dir))
 
 
 @query(CUSTOMER_PREDICTIONS_SQL + """SELECT count(*) AS n, count(*) FILTER (predicted = actual) AS correct,
@@ -320,27 +383,29 @@ def accuracy_labels(spark, sf_dir):
     return V.accuracy_labels(rows.withColumn("predicted", F.upper("predicted")))
 
 
-BINARY_SQL = """WITH b AS (SELECT quality AS a, (n_chars >= 1500)::int AS p FROM labels JOIN documents USING (doc_id)),
-m AS (SELECT count(*) FILTER (a=0 AND p=0)::double AS n00, count(*) FILTER (a=0 AND p=1)::double AS n01,
-count(*) FILTER (a=1 AND p=0)::double AS n10, count(*) FILTER (a=1 AND p=1)::double AS n11 FROM b),
-r AS (SELECT (n10 + n11 < n00 + n01)::int AS positive, * FROM m) """
+# Every 7th document has no prediction.
+BINARY_SQL = """WITH b AS (SELECT quality AS a, CASE WHEN doc_id % 7 > 0 THEN (n_chars >= 1500)::int END AS p
+FROM labels JOIN documents USING (doc_id)),
+r AS (SELECT (count(*) FILTER (a = 1) < count(*) FILTER (a = 0))::int AS positive,
+count(*) FILTER (a = 0 AND p = 0)::double / count(*) FILTER (a = 0) AS r0,
+count(*) FILTER (a = 1 AND p = 1)::double / count(*) FILTER (a = 1) AS r1 FROM b) """
 
 
 def quality_predictions(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     rows = table(spark, sf_dir, "labels").join(documents, "doc_id")
     return rows.select(
-        F.col("doc_id").alias("qid"), F.col("quality").alias("actual"), (F.col("n_chars") >= 1500).cast("int").alias("predicted")
+        F.col("doc_id").alias("qid"), F.col("quality").alias("actual"),
+        F.when(F.col("doc_id") % 7 > 0, (F.col("n_chars") >= 1500).cast("int")).alias("predicted"),
     )
 
 
-@query(BINARY_SQL + """SELECT positive, CASE WHEN positive = 0 THEN (1 + n00/(n00+n01) - n10/(n10+n11)) / 2
-ELSE (1 + n11/(n11+n10) - n01/(n01+n00)) / 2 END AS auc FROM r""")
+@query(BINARY_SQL + "SELECT positive, (r0 + r1) / 2 AS auc FROM r")
 def binary_auc(spark, sf_dir):
     return V.binary_auc(quality_predictions(spark, sf_dir))
 
 
-@query(BINARY_SQL + "SELECT positive, sqrt(n00/(n00+n01) * (n11/(n11+n10))) AS gmean FROM r")
+@query(BINARY_SQL + "SELECT positive, sqrt(r0 * r1) AS gmean FROM r")
 def binary_gmean(spark, sf_dir):
     return V.binary_gmean(quality_predictions(spark, sf_dir))
 

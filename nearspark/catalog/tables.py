@@ -72,7 +72,7 @@ def src_parse_lines(spark, sf_dir):
 def src_text_files(spark, sf_dir):
     path = f"{scratch_root(spark)}/lines-{uuid.uuid4().hex}"
     part_lines(spark, sf_dir).select("value").write.text(path)
-    return text.parse_lines(text.read_lines(spark, path), PART).drop("input_file")
+    return text.parse_lines(text.read_lines(spark, path), PART).drop("input_file", "line", "id")
 
 
 @query(
@@ -307,13 +307,14 @@ def dictionary_join(spark, sf_dir):
 # ---- aggregates ------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT l.label, coalesce(n, 0) AS n FROM (SELECT DISTINCT o_orderpriority AS label FROM orders) l LEFT JOIN
-(SELECT o_orderpriority AS label, count(*) AS n FROM orders WHERE o_totalprice >= 499900 GROUP BY ALL) c
+@query("""SELECT l.label, coalesce(n, 0) AS n FROM (SELECT DISTINCT o_orderpriority AS label FROM orders UNION ALL SELECT '9-NONE') l LEFT JOIN
+(SELECT o_orderpriority AS label, count(*) AS n FROM orders GROUP BY ALL) c
 ON l.label = c.label""")
 def label_counts(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    labels = E.label_dictionary(orders, "o_orderpriority")
-    return R.label_counts(orders.where("o_totalprice >= 499900"), "o_orderpriority", labels)
+    labels = E.label_dictionary(orders, "o_orderpriority").select("label")
+    labels = labels.unionByName(spark.createDataFrame([("9-NONE",)], "label string"))  # a class without rows
+    return R.label_counts(orders, "o_orderpriority", labels)
 
 
 @query("SELECT o_orderpriority AS label, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, label LIMIT 1")

@@ -70,12 +70,13 @@ def decode_label(df: DataFrame, labels: DataFrame, code: str, target: str = "lab
 
 
 def recode(df: DataFrame, from_labels: DataFrame, to_labels: DataFrame, code: str, target: str) -> DataFrame:
-    """Translate codes of one dictionary into codes of another through the label string."""
+    """Translate codes of one dictionary into codes of another through the label string; -1 where either lacks it."""
     both = from_labels.select("label", F.col("code").alias("__from")).join(
         to_labels.select("label", F.col("code").alias(target)), "label", "left"
     )
     pairs = both.select("__from", F.coalesce(target, F.lit(UNSEEN)).alias(target))
-    return df.join(pairs, F.col(code) == F.col("__from"), "left").drop("__from")
+    joined = df.join(pairs, F.col(code) == F.col("__from"), "left").drop("__from")
+    return joined.withColumn(target, F.coalesce(target, F.lit(UNSEEN)))
 
 
 def number_of_values(dictionary: DataFrame) -> DataFrame:

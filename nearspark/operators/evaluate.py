@@ -28,19 +28,25 @@ def class_codes(labels: DataFrame) -> list[int]:
     return [r["code"] for r in labels.select("code").distinct().orderBy("code").collect()]
 
 
-def confusion_matrix(predictions: DataFrame, codes: list[int]) -> DataFrame:
-    """One row per predicted class, one column per actual class, zero-filled."""
+def confusion_long(predictions: DataFrame, codes: list[int]) -> DataFrame:
+    """``(predicted, actual, n)`` over all pairs of classes and NULL, zero-filled; ``n`` sums to the predictions.
+
+    A class that is not in ``codes``, or none at all, counts as NULL.
+    """
     spark = predictions.sparkSession
-    counts = predictions.groupBy("predicted").pivot("actual", codes).count()
-    listed = spark.createDataFrame([(c,) for c in codes], "predicted int")
-    filled = listed.join(counts.withColumn("predicted", F.col("predicted").cast("int")), "predicted", "left")
-    return filled.na.fill(0)
+    listed = [F.when(F.col(c).isin(codes), F.col(c)).cast("int").alias(f"__{c}") for c in ("predicted", "actual")]
+    counts = predictions.select(*listed).groupBy("__predicted", "__actual").agg(F.count("*").alias("__n"))
+    axis = [*codes, None]
+    grid = spark.createDataFrame([(p, a) for p in axis for a in axis], "predicted int, actual int")
+    same = F.col("predicted").eqNullSafe(F.col("__predicted")) & F.col("actual").eqNullSafe(F.col("__actual"))
+    return grid.join(counts, same, "left").select("predicted", "actual", F.coalesce("__n", F.lit(0)).alias("n"))
 
 
-def confusion_long(predictions: DataFrame, codes: list[int]) -> DataFrame:
-    """The confusion matrix as ``(predicted, actual, n)`` over all pairs of classes."""
-    cells = confusion_matrix(predictions, codes).unpivot("predicted", [f"{c}" for c in codes], "actual", "n")
-    return cells.select("predicted", F.col("actual").cast("int").alias("actual"), "n")
+def confusion_matrix(predictions: DataFrame, codes: list[int]) -> DataFrame:
+    """One row per predicted class and one for NULL; one column per actual class and ``none`` for NULL."""
+    column = F.coalesce(F.col("actual").cast("string"), F.lit("none"))
+    cells = confusion_long(predictions, codes).withColumn("actual", column)
+    return cells.groupBy("predicted").pivot("actual", [*map(str, codes), "none"]).agg(F.sum("n"))
 
 
 def accuracy(predictions: DataFrame) -> DataFrame:
@@ -60,34 +66,23 @@ def _share(df: DataFrame, hit: Column) -> DataFrame:
     return found.withColumn("accuracy", F.try_divide(F.col("correct").cast("double"), F.col("n").cast("double")))
 
 
-def _binary_rates(predictions: DataFrame) -> DataFrame:
-    """True-positive, false-positive and true-negative rate; the rarer actual class is positive, 0 on equal counts."""
-
-    def n(a, p):
-        return F.count_if((F.col("actual") == a) & (F.col("predicted") == p)).cast("double").alias(f"n{a}{p}")
+def _recalls(predictions: DataFrame) -> DataFrame:
+    """``recall0`` and ``recall1`` of a two-class prediction, and the ``positive`` class: the rarer one, 0 on equal counts.
 
-    m = predictions.agg(n(0, 0), n(0, 1), n(1, 0), n(1, 1))
-    m = m.withColumn("positive", F.when(F.col("n10") + F.col("n11") < F.col("n00") + F.col("n01"), 1).otherwise(0))
-    right0 = F.try_divide(F.col("n00"), F.col("n00") + F.col("n01"))
-    right1 = F.try_divide(F.col("n11"), F.col("n11") + F.col("n10"))
-    wrong0 = F.try_divide(F.col("n01"), F.col("n01") + F.col("n00"))
-    wrong1 = F.try_divide(F.col("n10"), F.col("n10") + F.col("n11"))
-    first = F.col("positive") == 0
-    return m.select(
-        "positive",
-        F.when(first, right0).otherwise(right1).alias("tp_rate"),
-        F.when(first, wrong1).otherwise(wrong0).alias("fp_rate"),
-        F.when(first, right1).otherwise(right0).alias("tn_rate"),
-    )
+    A class's size counts its actual rows, so a row without a prediction is a miss of its class.
+    """
+    sizes = [F.count_if(F.col("actual") == c).alias(f"size{c}") for c in (0, 1)]
+    hits = [F.count_if((F.col("actual") == c) & (F.col("predicted") == c)).alias(f"hits{c}") for c in (0, 1)]
+    counted = predictions.agg(*sizes, *hits)
+    recalls = [F.try_divide(F.col(f"hits{c}").cast("double"), F.col(f"size{c}").cast("double")).alias(f"recall{c}") for c in (0, 1)]
+    return counted.select((F.col("size1") < F.col("size0")).cast("int").alias("positive"), *recalls)
 
 
 def binary_auc(predictions: DataFrame) -> DataFrame:
-    """Balanced AUC of a two-class prediction, ``(1 + TPR - FPR) / 2``; NULL when a class has no rows."""
-    rates = _binary_rates(predictions)
-    return rates.select("positive", ((1 + F.col("tp_rate") - F.col("fp_rate")) / 2).alias("auc"))
+    """Area under the one-point ROC curve of a two-class prediction: the mean recall; NULL when a class has no rows."""
+    return _recalls(predictions).select("positive", ((F.col("recall0") + F.col("recall1")) / 2).alias("auc"))
 
 
 def binary_gmean(predictions: DataFrame) -> DataFrame:
-    """Geometric mean of sensitivity and specificity of a two-class prediction."""
-    rates = _binary_rates(predictions)
-    return rates.select("positive", F.sqrt(F.col("tp_rate") * F.col("tn_rate")).alias("gmean"))
+    """Geometric mean of the two recalls."""
+    return _recalls(predictions).select("positive", F.sqrt(F.col("recall0") * F.col("recall1")).alias("gmean"))

@@ -273,7 +273,8 @@ class _Job:
         """Spread a small table, which may be a single split, over the cores; a large one has splits enough."""
         if rows * 8 * self.dims > self.limits.broadcast_bytes:
             return df
-        return df.repartition(max(1, min(self.context.defaultParallelism, rows // 1000)), "id")
+        pairs = rows * max(1, self.train_rows)  # work is pairs, so few queries against much data still use the cores
+        return df.repartition(max(1, min(self.context.defaultParallelism, rows, pairs // 1_000_000)), "id")
 
     def without_copies(self, t: DataFrame) -> DataFrame:
         """Of equal vectors only the k lowest ids (one more without self) can be neighbours; the rest is left out.

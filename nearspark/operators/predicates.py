@@ -29,9 +29,15 @@ def subset(df: DataFrame, condition: Column) -> DataFrame:
 
 def contains_rows(df: DataFrame, probes: DataFrame, columns: list[str]) -> DataFrame:
     """Probe rows that occur in the table with equal values (NULL equals NULL) in all the columns."""
-    present = df.select(*[F.col(c).alias(f"__{c}") for c in columns]).distinct()  # copies never reach the join
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns])
-    return probes.join(present, same, "left_semi")
+    table = df.select(*[F.col(c).alias(f"__{c}") for c in columns])
+    asked = probes.select(*[F.col(c).alias(f"___{c}") for c in columns]).distinct()
+
+    def same(left: str, right: str) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(left + c).eqNullSafe(F.col(right + c)) for c in columns])
+
+    # the table is reduced by the probes first, so few probes are broadcast and the table stays where it is
+    present = table.join(asked, same("__", "___"), "left_semi").distinct()
+    return probes.join(present, same("", "__"), "left_semi")
 
 
 def row_at(df: DataFrame, position: int, order_cols: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearspark.functions.vectors import draw
-from nearspark.operators.encode import build_dictionary
+from nearspark.operators.encode import attribute_values, build_dictionary
 from nearspark.operators.roles import Attributes
 
 
@@ -95,8 +95,35 @@ def majority_label(df: DataFrame, label: str, tie_seed: int | None = None) -> Da
 
 
 def vector_sum(df: DataFrame, by: str, features: str = "features") -> DataFrame:
-    """Element-wise sum of the vectors of each group."""
+    """Element-wise sum of the vectors of each group, which must have the same length."""
+    sizes = df.groupBy(F.col(by).alias("__by")).agg(F.min(F.size(features)).alias("lo"), F.max(F.size(features)).alias("hi"))
+    checked = F.when(F.col("lo") == F.col("hi"), F.lit(True)).otherwise(F.raise_error(F.lit("vectors of different lengths")))
     parts = df.select(by, F.posexplode(features).alias("pos", "v")).groupBy(by, "pos").agg(F.sum("v").alias("v"))
     summed = parts.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("p"))  # one per dimension
+    summed = summed.join(sizes.where(checked.cast("boolean")), F.col(by).eqNullSafe(F.col("__by")))
     return summed.select(by, F.transform("p", lambda e: e["v"]).alias("vector_sum"))
 
+
+def validate(df: DataFrame, attributes: Attributes, dictionary: DataFrame) -> None:
+    """Raise ``ValueError`` unless table, roles and dictionary ``(name, value, code)`` agree.
+
+    The table has every kept column; every categorical attribute has values in the dictionary, with codes 0, 1, ...;
+    and every value of the table is listed.
+    """
+    absent = [n for _, n, _ in attributes.kept if n not in df.columns]
+    if absent:
+        raise ValueError(f"columns {absent} are declared but not in the table")
+    per_name = {r["name"]: r for r in dictionary.groupBy("name").agg(
+        F.count("*").alias("n"), F.countDistinct("code").alias("codes"), F.min("code").alias("lo"), F.max("code").alias("hi")
+    ).collect()}  # fmt: skip  # one row per attribute
+    for name in attributes.categorical:
+        found = per_name.get(name)
+        if found is None:
+            raise ValueError(f"no values listed for {name!r}")
+        if (found["lo"], found["hi"], found["codes"]) != (0, found["n"] - 1, found["n"]):
+            raise ValueError(f"codes of {name!r} are not 0 to {found['n'] - 1}")
+    used = attribute_values(df, attributes.categorical)
+    unlisted = used.join(dictionary, ["name", "value"], "left_anti").first()
+    if unlisted is not None:
+        raise ValueError(f"value {unlisted['value']!r} of {unlisted['name']!r} is not listed")
+

@@ -105,12 +105,14 @@ def fusion_round(
 def fuse(
     df: DataFrame,
     by: str | None = None,
-    max_rounds: int = 10,
+    max_rounds: int | None = None,
     min_rows: int | None = None,
     plan: str = "auto",
     limits: KnnLimits = KnnLimits(),
 ) -> DataFrame:
-    """Fuse prototypes until nothing merges or ``max_rounds`` is reached; strata of ``min_rows`` or fewer stay as is.
+    """Fuse prototypes until nothing merges, or for ``max_rounds`` rounds if given; strata of ``min_rows`` or fewer stay.
+
+    It ends by itself: a round that merges nothing leaves as many rows, all others fewer.
 
     Every round is written to the shared folder, which keeps the plan short and survives the loss of executors.
     """
@@ -124,10 +126,10 @@ def fuse(
             untouched, df = df.join(small, by, "left_semi").select(columns), df.join(small, by, "left_anti").select(columns)
         elif df.count() <= min_rows:
             return df
-    rows = None
-    for _ in range(max_rounds):
+    rows, rounds = None, 0
+    while max_rounds is None or rounds < max_rounds:
         df = cut_lineage(fusion_round(df, by, plan, limits).select(columns))
-        left = df.count()
+        left, rounds = df.count(), rounds + 1
         if left == rows:
             break
         rows = left
@@ -147,7 +149,7 @@ def reduce_training(
     method: str,
     by: str | None = None,
     guarded: bool = True,
-    max_rounds: int = 10,
+    max_rounds: int | None = None,
     plan: str = "auto",
     limits: KnnLimits = KnnLimits(),
 ) -> DataFrame:

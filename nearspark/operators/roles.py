@@ -29,6 +29,8 @@ def expand_roles(description: str | list[str]) -> list[str]:
             repeat = None
         else:
             raise ValueError(f"unknown role {token!r}, expected one of {ROLES}")
+    if repeat is not None:
+        raise ValueError(f"repeat count {repeat} at the end repeats nothing")
     return roles
 
 
@@ -40,14 +42,20 @@ class Attributes:
     roles: tuple[str, ...]
     regression: bool = False
 
+    def __post_init__(self):
+        if len(self.names) != len(self.roles):
+            raise ValueError(f"{len(self.names)} names for {len(self.roles)} roles")
+        if len(set(self.names)) != len(self.names):
+            raise ValueError("attribute names are not unique")
+        if unknown := [r for r in self.roles if r not in ROLES]:
+            raise ValueError(f"unknown roles {unknown}, expected {ROLES}")
+        if self.roles.count("L") != 1:
+            raise ValueError(f"exactly one label is required, found {self.roles.count('L')}")
+
     @classmethod
     def of(cls, roles: str | list[str], names: list[str] | None = None, regression: bool = False) -> Attributes:
         expanded = expand_roles(roles)
         names = [f"a{i}" for i in range(len(expanded))] if names is None else names
-        if len(names) != len(expanded):
-            raise ValueError(f"{len(names)} names for {len(expanded)} roles")
-        if expanded.count("L") != 1:
-            raise ValueError(f"exactly one label is required, found {expanded.count('L')}")
         return cls(tuple(names), tuple(expanded), regression)
 
     @property

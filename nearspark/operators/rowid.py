@@ -2,71 +2,34 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from nearspark.session import cut_lineage
 
-def with_row_id(
-    df: DataFrame,
-    order_cols: list[str],
-    name: str = "row_id",
-    rows_per_bucket: int = 200_000,
-    max_buckets: int = 4096,
-) -> DataFrame:
-    """Add the 0-based position of each row in the order of ``order_cols``, which must be unique and not NULL.
-
-    Rows are put into ordered buckets by cut keys taken from a bounded sample, numbered inside their bucket, and
-    shifted by the sizes of the earlier buckets. Cut keys are whole key tuples, so a frequent leading value is split
-    as well. The buckets are a function of the key alone: re-running a lost task cannot change a number.
-    """
-    rows = df.count()
-    buckets = min(max_buckets, max(1, -(-rows // rows_per_bucket)))
-    within = Window.partitionBy("__bucket").orderBy(*order_cols)
-    if buckets == 1:
-        numbered = df.withColumn("__bucket", F.lit(0)).withColumn(name, F.row_number().over(within).cast("bigint") - 1)
-        return numbered.drop("__bucket")
-
-    seen = df.select(*order_cols).sample(min(1.0, 32 * buckets / rows), seed=11)  # about 32 keys per bucket
-    keys = [tuple(r) for r in seen.orderBy(*order_cols).select("*", F.to_json(F.struct("*"))).collect()]
-    cuts = [keys[len(keys) * i // buckets] for i in range(1, buckets)] if keys else []
-    # as few leading columns as tell the cut keys apart: one, unless a leading value is frequent
-    used = next((n for n in range(1, len(order_cols)) if len({c[:n] for c in cuts}) == len(cuts)), len(order_cols))
-    key = F.col(order_cols[0]) if used == 1 else F.struct(*order_cols[:used])
-    bucketed = df.withColumn("__bucket", _bucket_of(key, cuts, used, df.select(*order_cols)))
-
-    sizes = {r["__bucket"]: r["count"] for r in bucketed.groupBy("__bucket").count().collect()}
-    offsets, total = [], 0
-    for b in range(len(cuts) + 1):
-        offsets.append(total)
-        total += sizes.get(b, 0)
-    start = F.element_at(F.from_json(F.lit(json.dumps(offsets)), "array<bigint>"), F.col("__bucket") + 1)
-    return bucketed.withColumn(name, start + F.row_number().over(within) - 1).drop("__bucket")
-
-
-def _bucket_of(key, cuts: list[tuple], used: int, keys: DataFrame):
-    """Number of cut keys at or below the row's key; many cuts are searched in two steps over groups of sqrt(n)."""
-    if not cuts:
-        return F.lit(0)
-    fields = keys.schema.fields[:used]
-    key_type = fields[0].dataType.simpleString() if used == 1 else T.StructType(fields).simpleString()
-    texts = [json.loads(c[-1]) for c in cuts]
-    if used == 1:
-        texts = [t[fields[0].name] for t in texts]
+OFFSET_BITS = 33  # fixed value: the low bits of monotonically_increasing_id are the place inside a partition
 
-    def literal(values, kind):
-        return F.from_json(F.lit(json.dumps(values)), kind)
 
-    def at_or_below(values):
-        return F.size(F.filter(values, lambda c: c <= key))
+def with_row_id(df: DataFrame, order_cols: list[str], name: str = "row_id", rows_per_bucket: int = 200_000) -> DataFrame:
+    """Add the 0-based position of each row in the order of ``order_cols``, which must be unique and not NULL.
 
-    if len(cuts) <= 64:
-        return at_or_below(literal(texts, f"array<{key_type}>"))
-    step = int(len(cuts) ** 0.5)
-    groups = [texts[i : i + step] for i in range(0, len(texts), step)]
-    at = at_or_below(literal([g[0] for g in groups], f"array<{key_type}>"))
-    inside = at_or_below(F.element_at(literal(groups, f"array<array<{key_type}>>"), F.greatest(at, F.lit(1))))
-    return F.when(at == 0, 0).otherwise((at - 1) * step + inside).cast("int")
+    Spark's range partitioning puts the rows into ordered buckets, as many as the table needs; it cuts by whole keys, so
+    a frequent leading value is split as well. The sorted buckets are written with each row's place, and shifted by the sizes
+    of the earlier ones. The numbers are read from the written table, so re-running a lost task cannot change one.
+    """
+    buckets = max(1, -(-df.count() // rows_per_bucket))
+    ordered = df.repartitionByRange(buckets, *order_cols).sortWithinPartitions(*order_cols)
+    placed = cut_lineage(ordered.withColumn("__place", F.monotonically_increasing_id()))
+    return shift_by_part(placed, name)
+
+
+def shift_by_part(placed: DataFrame, name: str) -> DataFrame:
+    """Dense numbers from a written ``__place`` (partition and place inside it, as Spark numbers them)."""
+    part = F.shiftright("__place", OFFSET_BITS)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = sizes.select("__part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__start"))
+    inside = F.col("__place").bitwiseAND((1 << OFFSET_BITS) - 1)
+    numbered = placed.join(starts, part == F.col("__part")).withColumn(name, F.col("__start") + inside)
+    return numbered.drop("__place", "__part", "__start")

@@ -77,6 +77,9 @@ def _nth_draw(draws: DataFrame, n: int, bits: int = 12, small: int = 10_000):
             return None
         inside = inside.where(prefix == p)
         if count <= small:
-            return sorted(inside.collect())[n - 1]
+            rows = sorted(inside.collect())
+            if len(set(rows)) < len(rows):
+                raise ValueError("ids are not unique")
+            return rows[n - 1]
         if shift == 0:
             raise ValueError("ids are not unique")

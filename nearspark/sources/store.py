@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from nearspark.operators.evaluate import accuracy, confusion_matrix
+from nearspark.operators.profile import profile_table
+from nearspark.operators.roles import Attributes
 
 
 def save_table(df: DataFrame, path: str) -> None:
@@ -16,6 +19,19 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def save_description(df: DataFrame, attributes: Attributes, path: str) -> None:
+    """Profile of a table with its roles, value lists, row count and whether the label is a number."""
+    save_table(profile_table(df, attributes).withColumn("regression", F.lit(attributes.regression)), path)
+
+
+def load_description(spark: SparkSession, path: str) -> tuple[Attributes, DataFrame, int]:
+    """Attributes, dictionary ``(name, value, code)`` and row count of a saved description."""
+    saved = load_table(spark, path)
+    declared = saved.select("attr", "name", "role", "n_rows", "regression").distinct().orderBy("attr").collect()  # the columns
+    attributes = Attributes(tuple(r["name"] for r in declared), tuple(r["role"] for r in declared), declared[0]["regression"])
+    return attributes, saved.where("code IS NOT NULL").select("name", "value", "code"), declared[0]["n_rows"]
+
+
 def save_predictions(predictions: DataFrame, path: str) -> None:
     """Text file rows ``qid, actual, predicted`` with a header line, in query order across the part files."""
     ordered = predictions.select("qid", "actual", "predicted").orderBy("qid")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from nearspark.operators.roles import Attributes
+from nearspark.session import cut_lineage
 
 SEPARATOR = "[, ]"
 MISSING = "?"
@@ -14,9 +16,30 @@ MODES = ("dropmalformed", "failfast", "permissive")
 CONTROL_AND_BLANK = "".join(chr(c) for c in range(1, 33))
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines of text files with the file each came from."""
-    return spark.read.text(path).select("value", F.col("_metadata.file_name").alias("input_file"))
+def read_lines(spark: SparkSession, path: str | list[str], whole_path: bool = False) -> DataFrame:
+    """Lines of text files: ``value``, ``input_file`` (name or path), ``line`` (from 0 in its file), ``id`` (over all files).
+
+    Files are read in splits, each a run of lines of one file. Lines are written with their place in the split; numbers
+    are that place plus the sizes of the earlier splits, so nothing is sorted and a retry cannot change a number.
+    """
+    raw = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_name").alias("input_file"),
+        F.col("_metadata.file_block_start").alias("__block"),
+    )
+    raw = cut_lineage(raw.withColumn("__place", F.monotonically_increasing_id()))
+    split = ["__file", "__block"]
+    sizes = raw.groupBy(*split).agg(F.count("*").alias("n"), F.min("__place").alias("__first"))
+    order = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    in_file = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(
+        *split, "__first", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("__all"),
+        F.coalesce(F.sum("n").over(in_file), F.lit(0)).alias("__own"),
+    )
+    place = F.col("__place") - F.col("__first")
+    name = F.col("__file") if whole_path else F.col("input_file")
+    return raw.join(starts, split).select(
+        "value", name.alias("input_file"), (F.col("__own") + place).alias("line"), (F.col("__all") + place).alias("id")
+    )
 
 
 def tokens_of(value: Column | str) -> Column:

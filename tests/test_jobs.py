@@ -77,9 +77,11 @@ def predictions(spark, cells):
 def test_confusion_and_accuracy(spark):
     df = predictions(spark, {(0, 0): 5, (0, 2): 1, (2, 2): 3, (1, 0): 2, (1, None): 1})
     matrix = {r["predicted"]: (r["0"], r["1"], r["2"]) for r in V.confusion_matrix(df, [0, 1, 2]).collect()}
-    assert matrix == {0: (5, 2, 0), 1: (0, 0, 0), 2: (1, 0, 3)}
+    assert matrix == {0: (5, 2, 0), 1: (0, 0, 0), 2: (1, 0, 3), None: (0, 1, 0)}
     long = {(r["predicted"], r["actual"]): r["n"] for r in V.confusion_long(df, [0, 1, 2]).collect()}
-    assert len(long) == 9 and long[0, 1] == 2 and long[1, 1] == 0
+    assert len(long) == 16 and long[0, 1] == 2 and long[1, 1] == 0 and long[None, 1] == 1 and sum(long.values()) == 12
+    unlisted = {(r["predicted"], r["actual"]): r["n"] for r in V.confusion_long(df, [0, 1]).collect()}
+    assert unlisted[None, None] == 3 and unlisted[None, 0] == 1 and sum(unlisted.values()) == 12
     assert tuple(V.accuracy(df).first()) == (12, 8, 8 / 12)
     assert V.accuracy(df.where("false")).first()["accuracy"] is None
     words = spark.createDataFrame([("Yes", "yes"), ("no", "yes"), ("no", None)], "actual string, predicted string")

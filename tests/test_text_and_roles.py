@@ -85,7 +85,7 @@ def test_files_and_header(spark, attributes, tmp_path):
     (tmp_path / "b.csv").write_text("x,3,red,yes\n")
     found = text.parse_lines(text.read_lines(spark, str(tmp_path)), attributes)
     assert sorted(map(tuple, found.collect())) == [
-        ("a.csv", 1.0, "red", "yes"), ("a.csv", 2.0, "blue", "no"), ("b.csv", 3.0, "red", "yes"),
+        ("a.csv", 0, 0, 1.0, "red", "yes"), ("a.csv", 2, 2, 2.0, "blue", "no"), ("b.csv", 0, 3, 3.0, "red", "yes"),
     ]
     (tmp_path / "h.txt").write_text("@relation r\n@attribute size real [1, 2]\n@attribute CLASS { no, yes ,maybe}\n@data\n")
     labels = text.read_header(spark.read.text(str(tmp_path / "h.txt")))
@@ -138,3 +138,23 @@ def test_outputs_are_never_overwritten(spark, tmp_path):
     assert store.load_table(spark, path).count() == 3
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         store.load_table(spark, str(tmp_path / "absent"))
+
+
+def test_descriptions_and_tables_are_checked(spark, tmp_path):
+    for bad in (("a", "L"), ("a", "L", "L")), (("a", "b"), ("L", "X")), (("a", "a"), ("L", "N")), (("a",), ("N",)):
+        with pytest.raises(ValueError):
+            A.Attributes(tuple(bad[0]), tuple(bad[1]))
+    with pytest.raises(ValueError, match="at the end"):
+        A.expand_roles("N L 3")
+    attributes = A.Attributes.of("N C L", ["x", "c", "y"])
+    df = spark.createDataFrame([(1.0, "a", "u"), (2.0, "b", "v")], "x double, c string, y string")
+    store.save_description(df, attributes, str(tmp_path / "d"))
+    loaded, dictionary, n_rows = store.load_description(spark, str(tmp_path / "d"))
+    assert loaded == attributes and n_rows == 2
+    R.validate(df, loaded, dictionary)
+    with pytest.raises(ValueError, match="not listed"):
+        R.validate(df.union(spark.createDataFrame([(1.0, "z", "u")], df.schema)), loaded, dictionary)
+    with pytest.raises(ValueError, match="no values"):
+        R.validate(df, loaded, dictionary.where("name = 'y'"))
+    with pytest.raises(ValueError, match="not in the table"):
+        R.validate(df.drop("x"), loaded, dictionary)
