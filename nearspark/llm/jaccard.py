@@ -26,6 +26,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -222,8 +223,8 @@ def _verify(texts: DataFrame, members: DataFrame, pairs: DataFrame, n: int, thre
     def sets(batches):
         for part in slices(batches):
             ids = part.column("doc_id")
-            may = maybe_in(table.value, pa.compute.fill_null(ids, 0).to_numpy(zero_copy_only=False))
-            may |= np.asarray(pa.compute.is_null(ids))
+            may = maybe_in(table.value, pc.fill_null(ids, 0).to_numpy(zero_copy_only=False))
+            may |= np.asarray(pc.is_null(ids))
             part = part.filter(pa.array(may))
             if part.num_rows:
                 found = shingle_sets(part.column("text"), n)

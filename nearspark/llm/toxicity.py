@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,7 +105,7 @@ def train(
     sample = features(texts, label)
 
     def learn(key, table):
-        table = table.take(pa.compute.sort_indices(table, [("place", "ascending"), ("doc_id", "ascending")]))
+        table = table.take(pc.sort_indices(table, [("place", "ascending"), ("doc_id", "ascending")]))
         y = table.column(label).to_numpy()
         bags = [np.frombuffer(x.as_py(), U) for x in table.column("features")]
         values, counts = np.unique(np.concatenate([np.zeros(0, U), *bags]), return_counts=True)

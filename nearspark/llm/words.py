@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -57,7 +58,7 @@ def offsets_of(column: pa.Array) -> np.ndarray:
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column, and where each row begins and ends in them."""
     if column.null_count:
-        column = pa.compute.fill_null(column, "")
+        column = pc.fill_null(column, "")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     ends = offsets_of(column).astype(np.int64)
