@@ -8,8 +8,9 @@ threshold. A document that links with a set of n shingles shares at least T = ce
   its other lists are long in this sense and are never formed over the corpus.
 * **Copies.** Documents with equal sets are one class and are searched once.
 * **Long lists.** A list that thousands of near copies share is not multiplied out. Every document is first compared
-  with one other of its lists (the smallest class there), twice; what links is one component. Then only pairs of a list
-  that are still in different components are compared, all of them: so no link between components is lost.
+  with one other of its lists (the smallest class there); what links is one component. Then only pairs of a list
+  that are still in different components are compared, all that share as many short lists as linked ones must: so no link
+  between components is lost.
 * **Search.** A query and a block of its candidates are one group. DivideSkip: the longest of the query's lists over
   the block are put aside, the others are merged on a heap, and candidates that are found often enough are looked up in
   the long lists by binary search. The exact similarity of what is left decides.
@@ -27,7 +28,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearspark.llm.graph import bitmap, components, maybe_in
@@ -161,9 +162,9 @@ def near_duplicate_classes(
 
     links = None
     labels = entries.select("cls").distinct().withColumn("comp", F.col("cls"))
-    for last in (False, False, True):
+    for last in (False, True):
         own = entries.join(labels, "cls")
-        pairs = _all_pairs(own, threshold) if last else _one_each(own)
+        pairs = _all_pairs(own, threshold) if last else _one_each(own, threshold)
         found = cut_lineage(_verify(texts, members, cut_lineage(pairs), n, threshold))
         links = found if links is None else cut_lineage(links.unionByName(found))
         reached = components(links).select(F.col("node").alias("cls"), F.col("component").alias("comp"))
@@ -186,30 +187,46 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int]
     )
 
 
-def _one_each(entries: DataFrame) -> DataFrame:
+def _least_shared(n: str, m: str, threshold: tuple[int, int]) -> Column:
+    """How many short lists two linked classes of ``n`` and ``m`` shingles have in common at least.
+
+    Of the two ends of their short lists, take the one that comes first in the order: every common shingle up to there is in
+    both short lists, and behind it that class has T - 1 more. So the overlap they need, less T - 1 of the larger T, is shared.
+    """
+    hit, whole = threshold
+    both = F.expr(f"({hit} * ({n} + {m}) + {hit + whole - 1}) div {hit + whole}")
+    own = [F.expr(f"({hit} * {x} + {whole - 1}) div {whole}") for x in (n, m)]
+    return both - F.greatest(*own) + 1
+
+
+def _sizes_fit(n: str, m: str, threshold: tuple[int, int]) -> Column:
+    return threshold[1] * F.least(n, m) >= threshold[0] * F.greatest(n, m)
+
+
+def _one_each(entries: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """One comparison for each class: with the smallest class of another component in one of its lists, the one that
-    most of its lists name. Rows grow with the classes, not with the lists' lengths."""
-    by_comp = entries.groupBy("shingle", "comp").agg(F.min("cls").alias("q"))
+    most of its lists name, if those are enough. Rows grow with the classes, not with the lists' lengths."""
+    by_comp = entries.groupBy("shingle", "comp").agg(F.min(F.struct("cls", "n")).alias("q"))
     two = by_comp.groupBy("shingle").agg(
         F.min(F.struct("q", "comp")).alias("one"), F.count("*").alias("comps"), F.max(F.struct("q", "comp")).alias("other")
     )
     two = two.where("comps > 1")
-    named = entries.join(two, "shingle").select(
-        F.col("cls").alias("c"), F.when(F.col("comp") == F.col("one.comp"), F.col("other.q")).otherwise(F.col("one.q")).alias("q")
-    )
-    counted = named.groupBy("c", "q").agg(F.count("*").alias("shared"))
+    other = F.when(F.col("comp") == F.col("one.comp"), F.col("other.q")).otherwise(F.col("one.q"))
+    named = entries.join(two, "shingle").select(F.col("cls").alias("c"), "n", other.alias("q"))
+    counted = named.groupBy("c", "n", F.col("q.cls").alias("q"), F.col("q.n").alias("m")).agg(F.count("*").alias("shared"))
+    counted = counted.where(_sizes_fit("n", "m", threshold) & (F.col("shared") >= _least_shared("n", "m", threshold)))
     best = counted.groupBy("c").agg(F.max(F.struct("shared", "q")).alias("best"))
     return best.select(F.col("best.q").alias("q"), "c")
 
 
 def _all_pairs(entries: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Every pair of classes of a list that are in different components and of fitting sizes."""
+    """Every pair of classes in different components, of fitting sizes, that share as many short lists as they must."""
     mixed = entries.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     left = entries.join(mixed.select("shingle"), "shingle").select("shingle", "cls", "n", "comp")
     right = left.select("shingle", F.col("cls").alias("c"), F.col("n").alias("m"), F.col("comp").alias("other"))
-    hit, whole = threshold
-    fits = (whole * F.least("n", "m") >= hit * F.greatest("n", "m")) & (F.col("comp") < F.col("other"))
-    return left.join(right, "shingle").where(fits).select(F.col("cls").alias("q"), "c").distinct()
+    fits = _sizes_fit("n", "m", threshold) & (F.col("comp") < F.col("other"))
+    shared = left.join(right, "shingle").where(fits).groupBy("cls", "n", "c", "m").agg(F.count("*").alias("shared"))
+    return shared.where(F.col("shared") >= _least_shared("n", "m", threshold)).select(F.col("cls").alias("q"), "c")
 
 
 def _verify(texts: DataFrame, members: DataFrame, pairs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
