@@ -97,10 +97,10 @@ def majority_label(df: DataFrame, label: str, tie_seed: int | None = None) -> Da
 def vector_sum(df: DataFrame, by: str, features: str = "features") -> DataFrame:
     """Element-wise sum of the vectors of each group, which must have the same length."""
     sizes = df.groupBy(F.col(by).alias("__by")).agg(F.min(F.size(features)).alias("lo"), F.max(F.size(features)).alias("hi"))
-    checked = F.when(F.col("lo") == F.col("hi"), F.lit(True)).otherwise(F.raise_error(F.lit("vectors of different lengths")))
+    checked = F.when(F.col("lo") != F.col("hi"), F.raise_error(F.lit("vectors of different lengths")).cast("boolean"))
     parts = df.select(by, F.posexplode(features).alias("pos", "v")).groupBy(by, "pos").agg(F.sum("v").alias("v"))
     summed = parts.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("p"))  # one per dimension
-    summed = summed.join(sizes.where(checked.cast("boolean")), F.col(by).eqNullSafe(F.col("__by")))
+    summed = summed.join(sizes.where(F.coalesce(checked, F.lit(True))), F.col(by).eqNullSafe(F.col("__by")))
     return summed.select(by, F.transform("p", lambda e: e["v"]).alias("vector_sum"))
 
 
