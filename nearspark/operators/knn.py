@@ -276,14 +276,27 @@ class _Job:
         pairs = rows * max(1, self.train_rows)  # work is pairs, so few queries against much data still use the cores
         return df.repartition(max(1, min(self.context.defaultParallelism, rows, pairs // 1_000_000)), "id")
 
+    def rows_at_once(self) -> int:
+        """Rows of one Arrow table in a task: at most 50,000, fewer of wide vectors."""
+        return max(1, min(50_000, self.limits.block_bytes // (8 * (self.dims + 2))))
+
     def without_copies(self, t: DataFrame) -> DataFrame:
         """Of equal vectors only the k lowest ids (one more without self) can be neighbours; the rest is left out.
 
-        The rank limit runs before the shuffle too, so a group of copies never travels whole.
+        The rank limit runs before the shuffle too, so a group of copies never travels whole. Spark leaves that step out
+        for large k; then the copies are first ranked in parts, by a hash of their id.
         """
-        copies = Window.partitionBy(F.xxhash64("x"), "x", *self.keys).orderBy("id")
         keep = self.k + 1 if self.skip_self else self.k
-        return t.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= keep).drop("copy")
+        vector = [F.xxhash64("x"), "x", *self.keys]
+
+        def lowest(rows: DataFrame, *part) -> DataFrame:
+            copies = Window.partitionBy(*vector, *part).orderBy("id")
+            return rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= keep).drop("copy")
+
+        if keep > int(self.spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+            parts = max(1, self.train_rows // self.limits.block_rows)
+            t = lowest(t, F.pmod(F.xxhash64("id"), F.lit(parts)))
+        return lowest(t)
 
     def broadcast_train(self) -> DataFrame:
         """``(qid, *carry, neighbors)`` for every query row, without a shuffle of a large query table."""
@@ -291,10 +304,11 @@ class _Job:
         shared = self.context.broadcast(_side(self.without_copies(self.t).toArrow(), dims, grouped))
         q = self.over_cores(self.all_queries, self.query_rows)
         kept = [c for c in q.columns if c not in ("x", "grp")]
+        rows_at_once = self.rows_at_once()
 
         def search(batches):
             train = shared.value
-            for table in _tables(batches, 50_000):
+            for table in _tables(batches, rows_at_once):
                 side = _side(table, dims, grouped)
                 best = Best.empty(len(table), k)
                 for value, rows in side["groups"].items():
@@ -317,11 +331,12 @@ class _Job:
     def broadcast_queries(self) -> DataFrame:
         k, dims, skip_self, grouped = self.k, self.dims, self.skip_self, self.grouped
         shared = self.context.broadcast(_side(self.q.toArrow(), dims, grouped))
+        rows_at_once = self.rows_at_once()
 
         def search(batches):
             query = shared.value
             best = Best.empty(len(query["ids"]), k)
-            for table in _tables(batches, 50_000):
+            for table in _tables(batches, rows_at_once):
                 train = _side(table, dims, grouped)
                 for value, rows in query["groups"].items():
                     shelf = _shelf(train, value)
@@ -334,7 +349,7 @@ class _Job:
         return self.over_cores(self.t, self.train_rows).mapInArrow(search, PARTIAL)
 
     def cells(self) -> DataFrame:
-        k, dims, skip_self, keys = self.k, self.dims, self.skip_self, self.keys
+        k, dims, skip_self, grouped = self.k, self.dims, self.skip_self, self.grouped
         block = max(1, min(self.limits.block_rows, self.limits.block_bytes // (8 * (dims + 2))))
         split = _CellSplit(self, block)
         t = split.place_train(self.t)
@@ -343,23 +358,29 @@ class _Job:
         # agree on the parts, so the counts are written once and read by both.
         t_cells = F.broadcast(cut_lineage(split.oversized(t)) if split.any_large else split.oversized(t))
 
-        t = _pick(self.without_copies(t), t_cells, "t_parts")
-        q = _spread(split.route(self.over_cores(self.q, self.query_rows)), t_cells, "t_parts")
+        t = split.with_home(_pick(self.without_copies(t), t_cells, "t_parts"))
+        q = split.with_home(_spread(split.route(self.over_cores(self.q, self.query_rows)), t_cells, "t_parts"))
 
         # Groups that attract more queries than a block are split on the query side and their training rows repeated.
         # The counts come from a sample: they balance the work and have no influence on the result. They are written
         # once as well, and joined without a broadcast hint, so Spark decides by the measured size.
-        place = [*keys, "cell", "t_part"]
+        place = ["home", "cell", "t_part"]
         share = min(1.0, max(0.001, 200_000 / max(1, self.query_rows)))
         seen = _spread(split.route(self.q.sample(share, seed=29) if share < 1 else self.q), t_cells, "t_parts")
+        seen = split.with_home(seen)
         load = seen.groupBy(*place).agg((F.count("*") / share).alias("n")).where(F.col("n") > block)
         load = cut_lineage(load.select(*place, F.ceil(F.col("n") / block).cast("int").alias("q_parts")))
         t, q = _spread(t, load, "q_parts"), _pick(q, load, "q_parts")
 
         def search(left: pa.Table, right: pa.Table) -> pa.Table:
-            query, train = _side(left, dims, False), _side(right, dims, False)
-            shelf = build_shelf(train["x"], train["ids"], train["codes"])
-            best = find_nearest(query["x"], query["ids"], shelf, k, skip_self, within=query["within"])
+            query, train = _side(left, dims, grouped), _side(right, dims, grouped)
+            best = Best.empty(len(query["ids"]), k)
+            for value, rows in query["groups"].items():  # the strata that share this home
+                shelf = _shelf(train, value)
+                if shelf is not None:
+                    within = query["within"][rows]
+                    part = find_nearest(query["x"][rows], query["ids"][rows], shelf, k, skip_self, within=within)
+                    best.dist[rows], best.ids[rows], best.codes[rows] = part.dist, part.ids, part.codes
             return pa.Table.from_batches([_partial_batch(query["ids"], best)])
 
         place = [*place, "q_part"]
@@ -390,7 +411,8 @@ class _CellSplit:
 
     def sample_and_cut(self, sample_rows: int, rows: int) -> None:
         job = self.job
-        share = min(1.0, min(sample_rows, 32 << self.depth) / rows)
+        wanted = sum(32 << n for n in self.levels.values())  # for every cell of every large stratum
+        share = min(1.0, min(sample_rows, wanted) / rows)
         sample = self.with_level(job.t).where("level > 0").sample(share, seed=17).drop("level", "code").toArrow()
         side = _side(sample, job.dims, job.grouped)
         planes = cells.cut_planes(np.unique(side["x"], axis=0), self.depth)
@@ -415,6 +437,18 @@ class _CellSplit:
         listed = self.job.spark.createDataFrame(list(self.levels.items()), schema)
         return df.join(F.broadcast(listed), "grp", "left").fillna(0, ["level"])
 
+    def with_home(self, df: DataFrame) -> DataFrame:
+        """Add the group of strata that a row is sent to.
+
+        A stratum with cells has a home of its own. The others, none of which fills a block, share homes by hash, about a
+        quarter of a block in each, so that the number of groups follows the rows and not the strata.
+        """
+        if not self.job.grouped:
+            return df.withColumn("home", F.lit(0).cast("bigint"))
+        few = max(self.job.context.defaultParallelism, -(-4 * self.job.train_rows // self.block))
+        own = F.xxhash64("grp")
+        return self.with_level(df).withColumn("home", F.when(F.col("level") > 0, own).otherwise(F.pmod(own, F.lit(few)))).drop("level")
+
     def place_train(self, t: DataFrame) -> DataFrame:
         """Add the cell of each training row."""
         if not self.depth:

@@ -71,6 +71,28 @@ def test_self_join_with_strata_and_hot_copies(spark, plan):
         assert got == brute(rows(t), rows(t), 3, exclude_self=True, by=by is not None)
 
 
+def test_many_small_strata_share_homes(spark):
+    x, ids, labels, _ = sample(15, 500, 2, True)
+    strata = np.where(np.arange(500) < 150, 1000, np.arange(500) % 90)  # one stratum is cut, ninety fit into a block
+    t = make(spark, x, ids, labels, strata)
+    found = join(t, t, 3, "cells", exclude_self=True, by="stratum", limits=SMALL)
+    assert result(found) == brute(rows(t), rows(t), 3, exclude_self=True, by=True)
+    assert "home" in found._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("plan", ["broadcast_train", "cells"])
+def test_copies_are_ranked_in_parts_where_spark_has_no_early_limit(spark, plan):
+    x, ids, labels, strata = sample(16, 400, 2)
+    x[:300] = [1.0, 2.0]
+    t = make(spark, x, ids, labels, strata)
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "2")
+    try:
+        got = result(join(t, t, 4, plan, exclude_self=True, limits=SMALL))
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+    assert got == brute(rows(t), rows(t), 4, exclude_self=True)
+
+
 @pytest.mark.parametrize("plan", PLANS)
 def test_same_rows_for_any_partitioning(spark, plan):
     q, t = make(spark, *sample(4, 60, 3, True)), make(spark, *sample(5, 300, 3, True))
