@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearspark.operators.rowid import with_row_id
+from nearspark.operators.rowid import row_at_position
 
 
 def equals(column: str, value) -> Column:
@@ -41,8 +41,8 @@ def contains_rows(df: DataFrame, probes: DataFrame, columns: list[str]) -> DataF
 
 
 def row_at(df: DataFrame, position: int, order_cols: list[str]) -> DataFrame:
-    """The row at a 0-based position of the given order."""
-    return with_row_id(df, order_cols).where(F.col("row_id") == position)
+    """The row at a 0-based position of the given order, with the position as ``row_id``."""
+    return row_at_position(df, position, order_cols)
 
 
 def table_size(df: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from nearspark.operators.rowid import with_row_id
+from nearspark.operators.rowid import row_at_position, with_row_id
 
 
 def check(df, cols, **kw):
@@ -37,3 +37,13 @@ def test_buckets_of_a_hot_leading_value_stay_small(spark):
     numbered = with_row_id(df, ["hot", "id"], rows_per_bucket=300)
     assert numbered.count() == 3000
     check(df, ["hot", "id"], rows_per_bucket=300)
+
+
+def test_row_at_position_is_the_row_with_that_number(spark):
+    df = spark.range(1000).select(F.pmod(F.xxhash64("id"), F.lit(7)).alias("a"), "id")
+    want = {r["row_id"]: (r["a"], r["id"]) for r in with_row_id(df, ["a", "id"], rows_per_bucket=90).collect()}
+    for position in (0, 89, 90, 500, 999):
+        found = row_at_position(df, position, ["a", "id"], rows_per_bucket=90).collect()
+        assert [(r["row_id"], r["a"], r["id"]) for r in found] == [(position, *want[position])]
+    assert row_at_position(df, 1000, ["a", "id"], rows_per_bucket=90).count() == 0
+    assert row_at_position(df.where("false"), 0, ["a", "id"]).count() == 0
