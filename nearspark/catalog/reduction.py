@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 
 from nearspark.catalog.neighbours import (
     LINES_DIST,
+    LINES_SPLIT_SQL,
     LINES_SQL,
     PLANE_DIST,
     WIDE_DIST,
     embedding_vectors,
     lineitem_strata,
     lineitems,
+    near_lines_sql,
     near_sql,
     split,
 )
 from nearspark.catalog.registry import query, sql_draw, table
 from nearspark.functions.vectors import features_of
-from nearspark.operators import evaluate as V
 from nearspark.operators import reduction as R
 from nearspark.plans.jobs import classify_1nn, reduce_then_classify
 from nearspark.session import scratch_root
@@ -221,17 +222,17 @@ def reduce_fusion_1nn(spark, sf_dir):
     return reduce_then_classify(train, test, "fusion", max_rounds=1)
 
 
-@query()
+@query(edited_sql(LINES_SPLIT_SQL, *STRATA_SQL, True, LINES_DIST, "t") + near_lines_sql(1, t="kept", name="z")
+       + "SELECT id AS qid, q.label AS actual, z.label AS predicted FROM q LEFT JOIN z ON q.id = z.qid")
 def reduce_enn_1nn_lineitem(spark, sf_dir):
-    """Edit the line items per stratum, then score a held-out fifth on what is left; accuracy only."""
+    """Edit the line items per stratum, then score a held-out fifth on what is left."""
     train, test = split(lineitem_strata(spark, sf_dir))
-    predictions = reduce_then_classify(train.withColumnRenamed("id", "pid"), test, "enn", by="stratum")
-    return V.accuracy(predictions)
+    return reduce_then_classify(train.withColumnRenamed("id", "pid"), test, "enn", by="stratum")
 
 
-@query()
+@query(LINES_SPLIT_SQL + near_lines_sql(1, q="t", t="q", name="z")
+       + "SELECT id AS qid, t.label AS actual, z.label AS predicted FROM t LEFT JOIN z ON t.id = z.qid")
 def lookup_1nn_lineitem(spark, sf_dir):
-    """Four fifths of the line items scored against the other fifth; the join is checked by brute force in the tests."""
-    rows = lineitems(spark, sf_dir)
-    test, reference = split(rows)
-    return V.accuracy(classify_1nn(test, reference.withColumnRenamed("id", "pid")))
+    """Four fifths of the line items scored against the other fifth."""
+    test, reference = split(lineitems(spark, sf_dir))
+    return classify_1nn(test, reference.withColumnRenamed("id", "pid"))
