@@ -89,45 +89,44 @@ def common_words(one: list[bytes], other: list[bytes]) -> np.ndarray:
     return np.minimum(first, np.minimum([len(x) // 4 for x in one], [len(x) // 4 for x in other]))
 
 
-def match_neighbours(
-    right: list[bytes], left: list[bytes], doc: list[int], apart: np.ndarray | None = None
-) -> tuple[list[int], list[int], list[int]]:
-    """For sorted suffixes: words matched to the right and to the left, and the document matched (-1: none).
+def _reach(r: list[int], s: list[int], doc: list[int], after: bool) -> list[tuple[int, int, int]]:
+    """What each suffix shares with the nearest one of another document on one side, directly or through its document's
+    own suffixes between: words to the right and to the left, and that document (-1: none). ``r[k]`` and ``s[k]`` link
+    k - 1 and k."""
+    n = len(doc)
+    out, reach = [(0, 0, -1)] * n, (0, 0, -1)
+    for i in range(n - 2, -1, -1) if after else range(1, n):
+        j, k = (i + 1, i + 1) if after else (i - 1, i)
+        if doc[i] != doc[j]:
+            reach = (r[k], s[k], doc[j])
+        else:
+            reach = (min(reach[0], r[k]), min(reach[1], s[k]), reach[2])
+        out[i] = reach
+    return out
 
-    The match is the better of those with the nearest suffix of another document before and after. ``apart`` marks
-    suffixes that the one before is no neighbour of.
-    """
-    n = len(right)
-    r = np.concatenate([[0], common_words(right[:-1], right[1:])])
-    s = np.concatenate([[0], common_words(left[:-1], left[1:])])
-    if apart is not None:
-        r[apart] = 0
-    r, s = r.tolist(), s.tolist()
-    best = [(0, 0, -1)] * n
-    # what suffix i shares with the nearest other document on one side: directly, or through its own other suffixes
-    for places, link in ((range(1, n), 0), (range(n - 2, -1, -1), 1)):
-        reach = (0, 0, -1)
-        for i in places:
-            j = i + 1 if link else i - 1
-            k = max(i, j)
-            if doc[i] != doc[j]:
-                reach = (r[k], s[k], doc[j])
-            else:
-                reach = (min(reach[0], r[k]), min(reach[1], s[k]), reach[2])
-            if reach[0] >= MATCH:
-                old = best[i]
-                if old[2] == -1:
-                    best[i] = reach
-                else:  # both are true matches around the same word: each side may take the longer one
-                    best[i] = (max(old[0], reach[0]), max(old[1], reach[1]), min(old[2], reach[2]))
-    return tuple(map(list, zip(*best, strict=True))) if best else ([], [], [])
+
+def _links(right: list[bytes], left: list[bytes]) -> tuple[list[int], list[int]]:
+    return tuple([0, *common_words(x[:-1], x[1:]).tolist()] for x in (right, left))
+
+
+def _through(r: list[int], s: list[int]) -> list[tuple[int, int]]:
+    """Running minimum of links, the first of which is the row itself."""
+    rights = np.minimum.accumulate([MIN_WORDS, *r])
+    lefts = np.minimum.accumulate([LEFT, *s])
+    return list(zip(rights.tolist(), lefts.tolist(), strict=True))
 
 
 _FOUND = "part int, edge int, place int, doc long, at long, r int, s int, other long, right binary, left binary"
+HIT, HEAD, TAIL, FIRST, LAST_ROW = range(5)
 
 
 def _compare_range(batches):
-    """Neighbours of one range; and, as ``edge`` rows, the suffixes of its first and its last document."""
+    """Neighbours of one range, as ``edge`` = HIT; and what the ranges around it need or may add:
+
+    HEAD and TAIL are the suffixes of the document at its begin and end, with what links them to the range's first and
+    last row. FIRST and LAST_ROW are these two rows, with what they share with another document in the range; or, where
+    there is none (``other`` = -1), with what links one end of the range to the other.
+    """
     from pyspark import TaskContext
 
     batches = [b for b in batches if b.num_rows]
@@ -135,36 +134,57 @@ def _compare_range(batches):
         return
     table = pa.Table.from_batches(batches)
     right, left, doc, at = (table.column(c).to_pylist() for c in ("right", "left", "doc", "at"))
-    r, s, other = match_neighbours(right, left, doc)
     n, part = len(doc), TaskContext.get().partitionId()
+    r, s = _links(right, left)
+    before, after = _reach(r, s, doc, False), _reach(r, s, doc, True)
     head = next((i for i in range(n) if doc[i] != doc[0]), n)
     tail = next((i + 1 for i in range(n - 1, -1, -1) if doc[i] != doc[-1]), 0)
-    hits = [i for i in range(n) if other[i] != -1]
-    edges = [(1, i) for i in range(head)] + [(2, i) for i in range(tail, n) if tail]
-    rows = [(0, i) for i in hits] + edges
+    to_first = _through(r[1:head], s[1:head])
+    to_last = _through(r[:tail:-1], s[:tail:-1])
+    rows = []
+    for i, both in enumerate(zip(before, after, strict=True)):
+        if found := [x for x in both if x[0] >= MATCH]:  # true matches around the same word: each side may take the longer one
+            rows.append((HIT, i, max(x[0] for x in found), max(x[1] for x in found), min(x[2] for x in found)))
+    rows += [(HEAD, i, *x, -1) for i, x in enumerate(to_first) if x[0] >= MATCH]
+    rows += [(TAIL, n - 1 - i, *x, -1) for i, x in enumerate(to_last) if x[0] >= MATCH]
+    rows += [(FIRST, 0, *(after[0] if head < n else (*to_first[-1], -1)))]
+    rows += [(LAST_ROW, n - 1, *(before[-1] if head < n else (*to_last[-1], -1)))]
+    ends = (FIRST, LAST_ROW)
     columns = [
-        pa.array([part] * len(rows), pa.int32()), pa.array([e for e, _ in rows], pa.int32()), pa.array([i for _, i in rows], pa.int32()),
-        pa.array([doc[i] for _, i in rows], pa.int64()), pa.array([at[i] for _, i in rows], pa.int64()),
-        pa.array([0 if e else r[i] for e, i in rows], pa.int32()), pa.array([0 if e else s[i] for e, i in rows], pa.int32()),
-        pa.array([-1 if e else other[i] for e, i in rows], pa.int64()),
-        pa.array([right[i] if e else b"" for e, i in rows], pa.binary()), pa.array([left[i] if e else b"" for e, i in rows], pa.binary()),
+        pa.array([part] * len(rows), pa.int32()), pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int32()),
+        pa.array([doc[x[1]] for x in rows], pa.int64()), pa.array([at[x[1]] for x in rows], pa.int64()),
+        pa.array([x[2] for x in rows], pa.int32()), pa.array([x[3] for x in rows], pa.int32()),
+        pa.array([x[4] for x in rows], pa.int64()),
+        pa.array([right[x[1]] if x[0] in ends else b"" for x in rows], pa.binary()),
+        pa.array([left[x[1]] if x[0] in ends else b"" for x in rows], pa.binary()),
     ]
     yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _FOUND.split(", ")])
 
 
-def _compare_edges(table: pa.Table) -> pa.Table:
-    table = table.sort_by([(c, "ascending") for c in ("part", "place")])
-    right, left, doc, at, part, edge = (table.column(c).to_pylist() for c in ("right", "left", "doc", "at", "part", "edge"))
-    gap = np.array([i > 0 and part[i] == part[i - 1] and edge[i] != edge[i - 1] for i in range(len(doc))], bool)
-    r, s, other = match_neighbours(right, left, doc, gap)
-    hits = [i for i in range(len(doc)) if other[i] != -1]
-    return pa.table(
-        {
-            "doc": pa.array([doc[i] for i in hits], pa.int64()), "at": pa.array([at[i] for i in hits], pa.int64()),
-            "r": pa.array([r[i] for i in hits], pa.int32()), "s": pa.array([s[i] for i in hits], pa.int32()),
-            "other": pa.array([other[i] for i in hits], pa.int64()),
-        }
-    )
+def carry(firsts: list, lasts: list) -> list[tuple[int, int, int, int, int]]:
+    """(part, HEAD or TAIL, r, s, other): what the first and last row of each range, in order, share with the nearest
+    other document outside it. Ranges of one document pass on what reaches them."""
+    r, s = (common_words([x[c] for x in lasts[:-1]], [x[c] for x in firsts[1:]]).tolist() for c in ("right", "left"))
+    out = []
+    for edge, order in ((HEAD, range(len(firsts))), (TAIL, range(len(firsts) - 1, -1, -1))):
+        near, far = (firsts, lasts) if edge == HEAD else (lasts, firsts)
+        reach = end = None
+        for p in order:
+            if end is None:
+                came = (0, 0, -1)
+            else:
+                k = p - 1 if edge == HEAD else p
+                if end["doc"] != near[p]["doc"]:
+                    came = (r[k], s[k], end["doc"])
+                else:
+                    came = (min(reach[0], r[k]), min(reach[1], s[k]), reach[2])
+            if came[0] >= MATCH:
+                out.append((near[p]["part"], edge, *came))
+            end = far[p]
+            reach = (end["r"], end["s"], end["other"])
+            if end["other"] == -1:
+                reach = (min(reach[0], came[0]), min(reach[1], came[1]), came[2])
+    return out
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -189,10 +209,17 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     ordered = suffixes.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     found = cut_lineage(ordered.mapInArrow(_compare_range, _FOUND))
 
-    matched = found.where("edge = 0").select("doc", "at", "r", "s", "other")
-    # a few rows for each range: the documents at its two ends
-    at_cuts = found.where("edge > 0").withColumn("one", F.lit(1)).groupBy("one")
-    at_cuts = at_cuts.applyInArrow(_compare_edges, "doc long, at long, r int, s int, other long")
+    matched = found.where(F.col("edge") == HIT).select("doc", "at", "r", "s", "other")
+    # two rows a range reach the driver; what they carry meets the rows at the cuts where these are
+    ends = found.where(F.col("edge") >= FIRST).drop("place", "at").toArrow().to_pylist()
+    ends.sort(key=lambda x: (x["edge"], x["part"]))
+    carried = rows.sparkSession.createDataFrame(
+        carry(ends[: len(ends) // 2], ends[len(ends) // 2 :]), "part int, edge int, r2 int, s2 int, other2 long"
+    )
+    at_cuts = found.where(F.col("edge").isin(HEAD, TAIL)).join(F.broadcast(carried), ["part", "edge"])
+    at_cuts = at_cuts.select(
+        "doc", "at", F.least("r", "r2").alias("r"), F.least("s", "s2").alias("s"), F.col("other2").alias("other")
+    ).where(F.col("r") >= MATCH)
     spans = matched.unionByName(at_cuts).select(
         "doc", (F.col("at") - F.col("s")).alias("begin"), (F.col("at") + F.col("r")).alias("stop"), "other"
     )

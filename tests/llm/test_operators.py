@@ -176,6 +176,13 @@ def test_suffixes(docs, rows, none, monkeypatch, per_range):
     assert suffixes.repeated_passages(none).count() == 0
 
 
+def test_suffixes_that_one_document_repeats_over_whole_ranges(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "ROWS_PER_RANGE", 50)
+    texts = [(1, "x " * 300), (2, "x " * 400), (3, "y " * 90)]
+    got = suffixes.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted(tuple(r)[:4] for r in got) == [(1, 0, 300, 2), (2, 0, 400, 1)]
+
+
 # ---- 4 ---------------------------------------------------------------------------------------------------------
 
 
