@@ -119,21 +119,30 @@ def locate(rows: DataFrame, live: DataFrame, recurring: DataFrame, n: int) -> Da
         return (mix(anchors.astype(U) + U(1)) % U(shards)).astype(np.int64)
 
     def stretches(batches):
-        names = ["shard", "salt", "doc", "text_id", "at", "ids", "windows"]
+        names, sent = ["shard", "salt", "doc", "text_id", "at", "ids", "windows"], set()
         for part in slices(batches):
             p = Passages(part.column("text"), n)
             begin = np.flatnonzero(p.first)
             stop = np.append(begin[1:], len(p.at))
             may = maybe_in(table.value, p.anchors[begin])
+            docs, text_id = _places(part), text_ids(p.words, p.hashes).astype(np.int64)
+            new = np.ones(part.num_rows, bool)  # hits are joined by (doc, text_id): equal rows are sent once a task
+            for i, one in enumerate(zip(docs.tolist(), text_id.tolist(), strict=True)):
+                new[i] = one not in sent
+                sent.add(one)
+            may &= new[p.owner[begin]]
             begin, stop = begin[may], stop[may]
             owner, anchor = p.owner[begin], p.anchors[begin].astype(np.int64)
-            doc, text_id = _places(part)[owner], text_ids(p.words, p.hashes).astype(np.int64)[owner]
+            doc, text_id = docs[owner], text_id[owner]
             ids, window = (p.hashes & U(0xFFFFFFFF)).astype(np.uint32), sequence_hashes(p.hashes, n)
             first, last = p.at[begin], p.at[stop - 1]
-            salt = (mix(text_id.astype(U)) % salts_of(anchor).astype(U)).astype(np.int64)
+            # by document and place: neither copies of a text nor one text full of the anchor share a salt
+            at = first - p.words.row[owner]
+            own = mix(mix(doc.astype(U)) ^ text_id.astype(U)) + at.astype(U)
+            salt = (mix(own) % salts_of(anchor).astype(U)).astype(np.int64)
             columns = [
                 pa.array(shard_of(anchor)), pa.array(salt), pa.array(doc), pa.array(text_id),
-                pa.array(first - p.words.row[owner]),
+                pa.array(at),
                 pa.array([ids[a : b + n].tobytes() for a, b in zip(first, last, strict=True)], pa.binary()),
                 pa.array([window[a : b + 1].tobytes() for a, b in zip(first, last, strict=True)], pa.binary()),
             ]
@@ -222,7 +231,7 @@ def remove_repeats(docs: DataFrame, n: int = 13, digest: bool = False) -> DataFr
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     rows = docs.select(place.alias("__place"), "text")
     live, recurring = recurring_windows(rows, n)
-    found = locate(rows, live, recurring, n).groupBy("doc", "text_id").agg(F.collect_list("hits").alias("__hits"))
+    found = locate(rows, live, recurring, n).groupBy("doc", "text_id").agg(F.collect_set("hits").alias("__hits"))
     found = cut_lineage(found.select(F.col("doc").alias("__doc"), F.col("text_id").alias("__text"), "__hits"))
     table = docs.sparkSession.sparkContext.broadcast(bitmap(found, "__doc", FILTER_BITS))
 

@@ -356,6 +356,35 @@ def test_substrings(docs, rows, none, monkeypatch, small):
         assert substrings.remove_repeats(none, digest=True).count() == 0
 
 
+def test_copies_at_a_hot_anchor_are_spread(spark, monkeypatch):
+    for name, value in (("SHARD", 1000), ("HOT", 8)):
+        monkeypatch.setattr(substrings, name, value)
+    text = " ".join(f"w{i}" for i in range(40))
+    same = [(i, text) for i in range(200)] + [(None, text)] * 200
+    part = spark.createDataFrame(same, "doc_id long, text string").repartition(4)
+    place = F.coalesce("doc_id", F.lit(substrings.LAST)).alias("__place")
+    live, recurring = substrings.recurring_windows(part.select(place, "text"), 13)
+    groups = []
+
+    class Stop(Exception):
+        pass
+
+    def cogroup(self, other):
+        groups.append(self._df.groupBy("shard", "salt").agg(F.count("*").alias("n")).collect())
+        raise Stop
+
+    from pyspark.sql.group import GroupedData
+
+    with monkeypatch.context() as patch:
+        patch.setattr(GroupedData, "cogroup", cogroup)
+        with pytest.raises(Stop):
+            substrings.locate(part.select(place, "text"), live, recurring, 13)
+    sizes = [r["n"] for r in groups[0]]
+    assert max(sizes) * 5 < sum(sizes)  # one salt held the stretches of all copies at an anchor
+    got = Counter(r["n_removed"] for r in substrings.remove_repeats(part, digest=True).collect())
+    assert got == {0: 1, 40: 399}
+
+
 # ---- 8 ---------------------------------------------------------------------------------------------------------
 
 
