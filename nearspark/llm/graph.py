@@ -14,9 +14,9 @@ def bitmap(keys: DataFrame, column: str, bits: int) -> np.ndarray:
     """A Bloom filter with one hash: bit (key mod 2**bits) of each 64-bit key, as 2**bits / 64 words.
 
     Its size is fixed by ``bits`` alone. It only spares work: where it is full, later steps get rows that an exact join
-    then drops.
+    then drops. NULL keys have no bit.
     """
-    at = keys.select(F.col(column).bitwiseAND(F.lit((1 << bits) - 1)).alias("at"))
+    at = keys.where(F.col(column).isNotNull()).select(F.col(column).bitwiseAND(F.lit((1 << bits) - 1)).alias("at"))
     words = at.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 AS int))").alias("bit"))
     found = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(1 << (bits - 6), U)

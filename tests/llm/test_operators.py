@@ -431,6 +431,15 @@ def test_jaccard(docs, rows, none):
     assert jaccard.near_duplicate_classes(none).count() == 0
 
 
+def test_jaccard_near_copy_without_an_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [(1, " ".join(words)), (None, " ".join([*words, "end"])), (None, " ".join([*words, "end"])), (2, "other text")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted(map(str, (tuple(r) for r in jaccard.near_duplicate_classes(docs).collect())))
+    assert got == sorted(map(str, [(1, 56, 1), (None, 57, 1), (None, 57, 1), (2, 1, 2)]))
+    assert jaccard.drop_near_duplicates(docs).count() == 4  # rows without an id stay
+
+
 # ---- 9 ---------------------------------------------------------------------------------------------------------
 
 
