@@ -1,9 +1,10 @@
 """Quality rules with adaptive thresholds per language and source.
 
 Each document gets counts (words, repeated words and lines, symbols). A few ratios of these counts are summarised, per
-language and source, by histograms over fixed integer grids: quantile sketches that merge by addition, exactly and in
-any order, and whose size does not depend on the data (``GRID`` cells a rule and group). Thresholds are quantiles of these
-sketches, joined back to the documents by group. A small group leans on the sketch of its language: its own counts are
+language and source, by histograms over fixed cells: quantile sketches that merge by addition, exactly and in any order.
+Values up to ``GRID`` have a cell each; larger ones, which only mean word lengths reach, share cells that are less than
+1/512 of their values wide, 512 for each doubling. So every value has a cell, and a sketch has some thousand at most.
+Thresholds are quantiles of these sketches, joined back to the documents by group. A small group leans on the sketch of its language: its own counts are
 added to ``prior`` documents' worth of the language's.
 
 Defined cases. NULL text: no words, so the base rules reject it. NULL language or source: a group of its own. Repeated
@@ -22,6 +23,7 @@ from nearspark.llm.words import Words, mix, sequence_hashes, slices, starts_with
 
 SYMBOLS = b"#*$%&|<>"
 GRID = 1000
+CELL_BITS = 10
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -132,7 +134,10 @@ def sketch(counted: DataFrame, by: list[str], ratios: dict[str, Column]) -> Data
 
 
 def _cell(value: Column) -> Column:
-    return F.least(value, F.lit(GRID)).cast("int")
+    """The largest value of the cell: the value itself, but for its first CELL_BITS bits all ones."""
+    value = value.cast("long")
+    rest = F.greatest(F.length(F.bin(value)) - CELL_BITS, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", value, rest) + 1, rest) - 1
 
 
 def merge(*sketches: DataFrame, by: list[str]) -> DataFrame:
@@ -190,8 +195,8 @@ def apply_quality_rules(docs: DataFrame, prior: int = 500, by: tuple[str, str] =
     held = F.lit(True)
     for rule, (_, _, slack) in RULES.items():
         bound = F.greatest(F.col(f"max_{rule}"), F.lit(LEAST_BOUND))
-        # a rule without a bound, or whose bound is the end of the grid, rejects nothing
-        held &= F.coalesce((2 * ratios[rule] <= round(2 * slack) * bound) | (bound >= GRID), F.lit(True))
+        # a rule without a bound rejects nothing
+        held &= F.coalesce(2 * ratios[rule] <= round(2 * slack) * bound, F.lit(True))
     joined = _same_join(counted, wide, by, "left")
     failed = base_failed()
     return joined.select("doc_id", *COUNTS, failed.alias("base_failed"), (~failed & held).alias("kept"))

@@ -504,3 +504,15 @@ def test_sketches_merge(docs):
     parts = [quality.sketch(counted.where(F.abs(F.coalesce("doc_id", F.lit(0))) % 2 == i), by, ratios) for i in (0, 1)]
     whole = quality.sketch(counted, by, ratios)
     assert sorted(map(str, quality.merge(*parts, by=by).collect())) == sorted(map(str, whole.collect()))
+
+
+def test_long_words_have_bounds(spark):
+    draw = random.Random(4)
+    text = lambda k: " ".join("".join(draw.choice("abcdefgh") for _ in range(k)) for _ in range(60))
+    rows = [(i, "zh", "s", text(11 + i % 2)) for i in range(300)] + [(300, "zh", "s", text(76)), (301, "zh", "s", text(17))]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    got = {r["doc_id"]: r["kept"] for r in quality.apply_quality_rules(docs).collect()}
+    assert [i for i, kept in got.items() if not kept] == [300]
+    values = [0, 5, 999, 1000, 1023, 1024, 1025, 7600, 123_456, 2**40 + 1]
+    cells = spark.createDataFrame([(v,) for v in values], "v long").select("v", quality._cell(F.col("v")).alias("c")).collect()
+    assert all(r["v"] <= r["c"] < r["v"] * (1 + 1 / 512) + 1 and (r["c"] == r["v"] or r["v"] > 1000) for r in cells)
