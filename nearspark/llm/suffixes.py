@@ -9,9 +9,10 @@
    match to the left. Where neighbours are of the same document, the nearest of another one counts. Ranges may cut anywhere, also between equal suffixes, so a passage
    that a third of all documents share is spread over tasks; the documents at both sides of each cut are compared in a
    second, small step.
-4. The matches of a document are joined into passages; those of MIN_WORDS words are reported.
+4. Matches of MIN_WORDS words with one document are sure. Where shorter ones join to as much, the windows of MIN_WORDS words
+   there are looked up in all documents, by hash. What is sure or found there is joined into passages and reported.
 
-Every passage of MIN_WORDS words that two documents share is found, whole.
+Every passage of MIN_WORDS words that two documents share is found, whole, and no other word is reported.
 
 Defined cases. NULL text or one under MATCH words: nothing. NULL doc_id: one document without an id. Rows with equal
 doc_id are one document; passages that recur only within a document are not reported. Extra columns are ignored.
@@ -142,9 +143,11 @@ def _compare_range(batches):
     to_first = _through(r[1:head], s[1:head])
     to_last = _through(r[:tail:-1], s[:tail:-1])
     rows = []
-    for i, both in enumerate(zip(before, after, strict=True)):
-        if found := [x for x in both if x[0] >= MATCH]:  # true matches around the same word: each side may take the longer one
-            rows.append((HIT, i, max(x[0] for x in found), max(x[1] for x in found), min(x[2] for x in found)))
+    for i, (x, y) in enumerate(zip(before, after, strict=True)):  # each is a true match with one document; once if one has both
+        if x[0] >= MATCH and not (y[0] >= x[0] and y[1] >= x[1]):
+            rows.append((HIT, i, *x))
+        if y[0] >= MATCH and not (x[0] >= y[0] and x[1] >= y[1] and x[:2] != y[:2]):
+            rows.append((HIT, i, *y))
     rows += [(HEAD, i, *x, -1) for i, x in enumerate(to_first) if x[0] >= MATCH]
     rows += [(TAIL, n - 1 - i, *x, -1) for i, x in enumerate(to_last) if x[0] >= MATCH]
     rows += [(FIRST, 0, *(after[0] if head < n else (*to_first[-1], -1)))]
@@ -189,7 +192,7 @@ def carry(firsts: list, lasts: list) -> list[tuple[int, int, int, int, int]]:
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> one row per passage of a document that another one has: doc_id, ``first_word`` (from 0),
-    ``n_words``, ``copy_doc_id`` (the smallest doc_id among the neighbours it matched), ``n_suffixes`` that matched."""
+    ``n_words``, ``copy_doc_id`` (the smallest doc_id among those it was matched with), ``n_suffixes`` that matched MIN_WORDS words around them."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("__place"), "text")
 
     def prefixes(batches):
@@ -223,17 +226,82 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     spans = matched.unionByName(at_cuts).select(
         "doc", (F.col("at") - F.col("s")).alias("begin"), (F.col("at") + F.col("r")).alias("stop"), "other"
     )
+    spans = spans.withColumn("suffix", F.lit(1))
+    long_enough = F.col("stop") - F.col("begin") >= MIN_WORDS
+    sure = spans.where(long_enough)
+    confirmed = _shared_windows(rows, _joined(spans).where(long_enough), _joined(sure))
+    return _joined(sure.unionByName(confirmed)).select(
+        F.when(F.col("doc") < LAST, F.col("doc")).alias("doc_id"), F.col("begin").alias("first_word"),
+        (F.col("stop") - F.col("begin")).alias("n_words"),
+        F.when(F.col("copy") < LAST, F.col("copy")).alias("copy_doc_id"), "n_suffixes",
+    )
+
+
+def _joined(spans: DataFrame) -> DataFrame:
+    """Spans of a document that overlap or touch as one."""
     by = Window.partitionBy("doc").orderBy("begin", "stop", "other")
     before = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(before.isNull() | (F.col("begin") > before), 1).otherwise(0)
     numbered = spans.withColumn("new", new).withColumn(
         "passage", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
-    joined = numbered.groupBy("doc", "passage").agg(
-        F.min("begin").alias("first_word"), F.max("stop").alias("stop"), F.min("other").alias("copy"), F.count("*").alias("n_suffixes")
+    return numbered.groupBy("doc", "passage").agg(
+        F.min("begin").alias("begin"), F.max("stop").alias("stop"), F.min("other").alias("copy"), F.sum("suffix").alias("n_suffixes")
+    )
+
+
+def _open_places(n: int, areas: list[dict], sure: list[dict]) -> np.ndarray:
+    """Where windows of MIN_WORDS words start that lie in an area, with a word that is not in a sure one, in a text of ``n``."""
+    unsure = np.ones(n, bool)
+    for x in sure:
+        unsure[x["begin"] : x["stop"]] = False
+    total = np.concatenate([[0], np.cumsum(unsure)])
+    at = [np.arange(x["begin"], min(x["stop"], n) - MIN_WORDS + 1) for x in areas]
+    at = np.concatenate([np.zeros(0, np.int64), *at]).astype(np.int64)
+    return at[total[at + MIN_WORDS] > total[at]]
+
+
+def _shared_windows(rows: DataFrame, areas: DataFrame, sure: DataFrame) -> DataFrame:
+    """The windows of MIN_WORDS words in ``areas``, beyond what is ``sure``, that two documents have, as spans."""
+
+    def listed(passages: DataFrame, name: str) -> DataFrame:
+        return passages.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("begin", "stop"))).alias(name))
+
+    known = listed(areas, "areas").join(listed(sure, "sure"), "doc", "left")
+    known = cut_lineage(known.where(~F.col("areas").eqNullSafe(F.col("sure"))))
+    docs = rows.sparkSession.sparkContext.broadcast(bitmap(known, "doc", FILTER_BITS))
+
+    def some(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(maybe_in(docs.value, batch.column("__place").to_numpy())))
+
+    def unsure(batches):
+        for part in slices(batches):
+            words = Words(*text_bytes(part.column("text")))
+            window = sequence_hashes(words.hashes(), MIN_WORDS)
+            areas, sure = part.column("areas").to_pylist(), part.column("sure").to_pylist()
+            at = [_open_places(n, a, b or []) for n, a, b in zip(words.counts.tolist(), areas, sure, strict=True)]
+            row = np.repeat(np.arange(len(at)), [len(x) for x in at])
+            at = np.concatenate([np.zeros(0, np.int64), *at])
+            columns = [window[words.row[row] + at].astype(np.int64), part.column("doc").to_numpy()[row], at]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["window", "doc", "begin"])
+
+    own = rows.mapInArrow(some, "__place long, text string").withColumnRenamed("__place", "doc").join(known, "doc")
+    asked = cut_lineage(own.mapInArrow(unsure, "window long, doc long, begin long"))
+    table = rows.sparkSession.sparkContext.broadcast(bitmap(asked, "window", FILTER_BITS))
+
+    def occurrences(batches):
+        for part in slices(batches):
+            words = Words(*text_bytes(part.column("text")))
+            at = starts_within(words.row, MIN_WORDS)
+            window = sequence_hashes(words.hashes(), MIN_WORDS)[at] if len(at) else np.zeros(0, U)
+            may = maybe_in(table.value, window)
+            doc = part.column("__place").to_numpy()[words.owner()[at[may]]]
+            yield pa.RecordBatch.from_arrays([pa.array(window[may].astype(np.int64)), pa.array(doc)], names=["window", "doc"])
+
+    seen = rows.mapInArrow(occurrences, "window long, doc long").groupBy("window")
+    seen = seen.agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+    other = F.when(F.col("low") < F.col("doc"), F.col("low")).otherwise(F.col("high"))
+    return asked.join(seen, "window").select(
+        "doc", "begin", (F.col("begin") + MIN_WORDS).alias("stop"), other.alias("other"), F.lit(0).alias("suffix")
     )
-    return joined.where(F.col("stop") - F.col("first_word") >= MIN_WORDS).select(
-        F.when(F.col("doc") < LAST, F.col("doc")).alias("doc_id"), "first_word",
-        (F.col("stop") - F.col("first_word")).alias("n_words"),
-        F.when(F.col("copy") < LAST, F.col("copy")).alias("copy_doc_id"), "n_suffixes",
-    )

@@ -183,6 +183,35 @@ def test_suffixes_that_one_document_repeats_over_whole_ranges(spark, monkeypatch
     assert sorted(tuple(r)[:4] for r in got) == [(1, 0, 300, 2), (2, 0, 400, 1)]
 
 
+@pytest.mark.parametrize("per_range", [40_000, 50])
+def test_suffixes_report_only_words_of_shared_windows(spark, docs, rows, monkeypatch, per_range):
+    monkeypatch.setattr(suffixes, "ROWS_PER_RANGE", per_range)
+    draw = random.Random(8)
+    fresh = lambda k: " ".join(f"v{draw.randrange(10**9)}" for _ in range(k))
+    one, two, three, whole = fresh(48), fresh(48), fresh(48), fresh(60)
+    half = " ".join(whole.split()[:50])
+    texts = [f"{fresh(5)} {one} {two} {fresh(9)}", f"{one} {fresh(60)} {three}", f"{fresh(40)} {two}", f"{whole} {three} {one}",
+             f"{fresh(7)} {half} {one}"]
+    texts = [(1000 + i, t) for i, t in enumerate(texts)]
+    # all rows of a doc_id are one document, judged by the places in any of them
+    part = docs.select("doc_id", "text").unionByName(spark.createDataFrame(texts, "doc_id long, text string"))
+    words, windows, found, want = defaultdict(list), defaultdict(set), defaultdict(set), defaultdict(set)
+    for d, text in [(r[0], r[1]) for r in rows] + texts:
+        words[d].append(split(text))
+    for d, own in words.items():
+        for w in own:
+            for i in range(len(w) - 49):
+                windows[tuple(w[i : i + 50])].add(d)
+    for d, own in words.items():
+        for w in own:
+            want[d] |= {j for i in range(len(w) - 49) if len(windows[tuple(w[i : i + 50])]) > 1 for j in range(i, i + 50)}
+    for r in suffixes.repeated_passages(part).collect():
+        found[r["doc_id"]].update(range(r["first_word"], r["first_word"] + r["n_words"]))
+        assert r["copy_doc_id"] != r["doc_id"]
+    assert found == {d: x for d, x in want.items() if x}
+    assert found.keys() & {1000 + i for i in range(5)} == {1003, 1004}
+
+
 # ---- 4 ---------------------------------------------------------------------------------------------------------
 
 
