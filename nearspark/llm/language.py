@@ -5,7 +5,7 @@ after training, so the exact code length of a byte depends on the byte and the `
 trees of all languages become one table that tasks look bytes up in. A text belongs to the language with the shortest code.
 
 Bytes are folded to ``SYMBOLS`` symbols first: letters without case, blanks, other ASCII, and the bytes above 0x7F
-that are the most frequent in training, the rest of them together. The fold costs each language the same.
+that are the most frequent in training, the rest of them together. Code lengths are those of the folded stream.
 
 Defined cases. NULL text, or one without a letter: ``und``, score 0. Equal code lengths: the language that sorts first.
 No training rows: every text is ``und``. Rows without an id or a language take no part in training. Repeated rows are
