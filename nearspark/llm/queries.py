@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearspark.llm import chat, fingerprint, jaccard, language, mixing, packing, quality, substrings, suffixes, toxicity
+from nearspark.llm import align, chat, fingerprint, jaccard, language, merkle, mixing, packing, quality, substrings, suffixes
+from nearspark.llm import toxicity, urls
 from nearspark.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -231,3 +232,125 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage of 50 words or more that two documents share, per document."""
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query(f"""
+WITH RECURSIVE hashed AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('1' || lang, '0') AS tree,
+    (SELECT list_reduce([4294967295::BIGINT] || [ascii(x)::BIGINT FOR x IN string_split(doc_id::VARCHAR, '')],
+       lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384)))) AS crc,
+    concat_ws('', coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+      coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+    text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered
+  FROM documents
+), leaves AS (
+  SELECT r, doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN sha256(head || coalesce(strlen(lowered) || ':' || lowered, '-'))
+      ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS changed
+  FROM hashed
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+), nodes AS (
+  SELECT tree, 0 AS level, idx, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT tree, level + 1, idx // {merkle.FANOUT}, (n + {merkle.FANOUT - 1}) // {merkle.FANOUT}, sha256(string_agg(digest, '' ORDER BY idx)) FROM nodes WHERE n > 1
+  GROUP BY tree, level, idx // {merkle.FANOUT}, n
+), subroots AS (
+  SELECT tree, level, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS spot, count(*) OVER () AS trees FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS level, spot AS idx, trees AS n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // {merkle.FANOUT}, (n + {merkle.FANOUT - 1}) // {merkle.FANOUT}, sha256(string_agg(digest, '' ORDER BY idx)) FROM tops WHERE n > 1
+  GROUP BY level, idx // {merkle.FANOUT}, n
+), every AS (
+  SELECT tree, level, idx, n, digest FROM nodes WHERE n > 1
+  UNION ALL SELECT '2', level, idx, n, digest FROM tops
+), members AS (
+  SELECT tree, level, idx // {merkle.FANOUT} AS run, array_agg(digest ORDER BY idx) AS digests FROM every WHERE n > 1 GROUP BY tree, level, idx // {merkle.FANOUT}
+), climb AS (
+  SELECT r, tree, 0::BIGINT AS level, idx, n, changed AS fold, '' AS proof FROM placed
+  UNION ALL
+  SELECT c.r, CASE WHEN c.n = 1 THEN '2' ELSE c.tree END, CASE WHEN c.n = 1 THEN 0 ELSE c.level + 1 END,
+    CASE WHEN c.n = 1 THEN s.spot ELSE c.idx // {merkle.FANOUT} END, CASE WHEN c.n = 1 THEN s.trees ELSE (c.n + {merkle.FANOUT - 1}) // {merkle.FANOUT} END,
+    CASE WHEN c.n = 1 THEN c.fold ELSE sha256(array_to_string(m.digests[1 : c.idx % {merkle.FANOUT}], '') || c.fold || array_to_string(m.digests[c.idx % {merkle.FANOUT} + 2 :], '')) END,
+    CASE WHEN c.n = 1 THEN c.proof ELSE c.proof || array_to_string(m.digests[1 : c.idx % {merkle.FANOUT}], '') || array_to_string(m.digests[c.idx % {merkle.FANOUT} + 2 :], '') END
+  FROM climb c LEFT JOIN members m ON m.tree = c.tree AND m.level = c.level AND m.run = c.idx // {merkle.FANOUT}
+  LEFT JOIN subroots s ON s.tree = c.tree WHERE c.n > 1 OR c.tree <> '2'
+)
+SELECT p.doc_id, p.leaf, s.subroot, t.digest AS root, sha256(c.proof) AS proof_sha256, c.fold AS folded_root,
+  c.fold = t.digest AS verified
+FROM climb c JOIN placed p USING (r) JOIN subroots s ON s.tree = p.tree JOIN tops t ON t.n = 1
+WHERE c.tree = '2' AND c.n = 1
+""")
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root, proof and the root folded from a tampered copy, of every document."""
+    return merkle.verify_documents(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of tokens of two tokenizers that cover the same bytes, and how their links fare in the corpus."""
+    return align.align_documents(table(spark, sf_dir, "documents"))
+
+
+_URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+_RULE_VALUES = ", ".join(map(str, _URL_RULES))
+_LINK = urls.LINK.replace("'", "''")
+
+
+@query(f"""
+WITH RECURSIVE parts AS (
+  SELECT row_number() OVER () AS r, page_id, html,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), rules(rhost, rpath, verdict) AS (VALUES {_RULE_VALUES}
+), fitting AS (
+  SELECT r, rhost || rpath AS rule, verdict,
+    row_number() OVER (PARTITION BY r ORDER BY length(rhost) + length(rpath) DESC, length(rhost) DESC, verdict DESC) AS place
+  FROM parts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+), ruled AS (
+  SELECT parts.*, rule, verdict FROM parts LEFT JOIN (FROM fitting WHERE place = 1) USING (r)
+), links AS (
+  SELECT DISTINCT r, host AS from_host, translate(regexp_extract(u, '^[^/]*//([^/?#]*)', 1),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS to_host
+  FROM (SELECT r, host, unnest(regexp_extract_all(html, '{_LINK}', 1)) AS u FROM parts)
+  WHERE regexp_matches(u, '^([A-Za-z][A-Za-z0-9+.-]*:)?//')
+), pairs AS (
+  SELECT from_host, to_host, count(*) AS n FROM links
+  WHERE from_host <> '' AND to_host <> '' AND from_host <> to_host GROUP BY ALL
+), directed AS (
+  SELECT 'trust' AS kind, from_host AS host, to_host AS next, n FROM pairs
+  UNION ALL SELECT 'distrust', to_host, from_host, n FROM pairs
+), ways AS (
+  SELECT kind, host, next, {urls.DAMPING}::DOUBLE * n / sum(n) OVER (PARTITION BY kind, host) AS share FROM directed
+), seeds AS (
+  SELECT CASE verdict WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host,
+    floor({urls.UNIT}::DOUBLE * ({1.0 - urls.DAMPING}::DOUBLE * count(*) / (sum(count(*)) OVER ())::DOUBLE))::BIGINT AS mass
+  FROM ruled WHERE verdict IS NOT NULL GROUP BY ALL
+), masses AS (
+  SELECT 0 AS step, kind, host, mass FROM seeds
+  UNION ALL
+  SELECT step, kind, host, sum(mass)::BIGINT FROM (
+    SELECT step + 1 AS step, m.kind, w.next AS host, floor(m.mass * w.share)::BIGINT AS mass
+    FROM masses m JOIN ways w USING (kind, host) WHERE step < {urls.ITERATIONS}
+    UNION ALL SELECT (SELECT max(step) + 1 FROM masses), kind, host, mass FROM seeds
+    WHERE (SELECT max(step) FROM masses) < {urls.ITERATIONS}
+  ) GROUP BY ALL
+), judged AS (
+  SELECT host, coalesce(sum(mass) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(mass) FILTER (kind = 'distrust'), 0) AS distrust
+  FROM masses WHERE step = (SELECT max(step) FROM masses) GROUP BY host
+)
+SELECT page_id, host, path, rule, CASE WHEN verdict IS NOT NULL THEN verdict
+  WHEN distrust::DOUBLE > {urls.THRESHOLD}::DOUBLE * (trust + distrust)::DOUBLE THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled LEFT JOIN judged USING (host)
+""")
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    return urls.judge_pages(table(spark, sf_dir, "pages"), urls.rule_table(spark, _URL_RULES))
