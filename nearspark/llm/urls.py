@@ -79,7 +79,8 @@ def _host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
 def by_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(page_id, url) -> page_id, host, path, rule, verdict; the last two NULL where no rule fits."""
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    found = parts.join(_host_rules(parts.select("host").distinct(), rules), "host", "left")
+    # written, so that Spark knows its size and, where it is large, can split the host that most pages have
+    found = parts.join(cut_lineage(_host_rules(parts.select("host").distinct(), rules)), "host", "left")
     first = F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])), F.lit(0))
     return found.select("page_id", "host", "path", first.alias("r")).select(
         "page_id", "host", "path", F.concat("r.domain", "r.path").alias("rule"), F.col("r.verdict").alias("verdict")
@@ -141,6 +142,6 @@ def judge_pages(
     links = cut_lineage(host_links(pages.select("url", "html")))
     masses = propagate(cut_lineage(seeds), links, damping, iterations)
     suspect = F.col("distrust") > F.lit(float(threshold)) * (F.col("trust") + F.col("distrust"))
-    blocked = masses.where(suspect).select("host", F.lit(BLOCK).alias("by_links"))
+    blocked = cut_lineage(masses.where(suspect).select("host", F.lit(BLOCK).alias("by_links")))
     judged = ruled.join(blocked, "host", "left")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", "by_links", F.lit(ALLOW)).alias("verdict"))
