@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearspark.llm.words import SPACE, slices, text_bytes
+from nearspark.session import cut_lineage
 
 ORDER, SYMBOLS = 3, 40
 _BLANK, _OTHER, _HIGH = 26, 27, 28
@@ -34,6 +35,7 @@ def held_out(column: str = "doc_id"):
 def bounded_sample(rows: DataFrame, by: str, most: int) -> DataFrame:
     """About ``most`` rows of each value of ``by`` (all, if there are fewer), chosen by a hash of doc_id."""
     counts = rows.groupBy(by).count().select(F.col(by).alias("__by"), F.col("count").alias("__n"))
+    counts = cut_lineage(counts)  # written, so that Spark knows that it is small and moves no texts to meet it
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.join(counts, F.col(by) == F.col("__by")).where(draw * F.col("__n") < most).drop("__by", "__n")
 
@@ -69,6 +71,7 @@ def train(rows: DataFrame, docs_per_language: int = 3000) -> tuple[list[str], li
     alphabet: 128 byte counts, and one count per (context, symbol) and language.
     """
     sample = bounded_sample(rows.where("lang IS NOT NULL AND text IS NOT NULL"), "lang", docs_per_language)
+    sample = cut_lineage(sample.select("lang", "text"))
 
     def bytes_of(batches):
         total = np.zeros(256, np.int64)

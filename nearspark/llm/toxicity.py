@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from nearspark.llm.language import bounded_sample
 from nearspark.llm.words import NOT_ALNUM, U, Words, mix, slices, text_bytes
+from nearspark.session import cut_lineage
 
 KINDS = (0, 1, 2)  # single words, neighbours, pairs with one word between
 _SALT = mix(np.arange(1, 4, dtype=U))
@@ -98,10 +99,10 @@ def train(
     learns holds the bounded sample alone. Coordinates that occur in under ``least_docs`` sampled texts are left out.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
-    known = known.agg(F.max(label).cast("int").alias(label))
-    chosen = bounded_sample(known, label, rows_per_label)
+    known = cut_lineage(known.agg(F.max(label).cast("int").alias(label)))
+    chosen = cut_lineage(bounded_sample(known, label, rows_per_label))  # written: Spark sees that it fits a broadcast
     shares = {r[label]: r["count"] for r in known.groupBy(label).count().collect()}  # two rows
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi").join(chosen, "doc_id")
+    texts = docs.select("doc_id", "text").join(chosen, "doc_id")
     sample = features(texts, label)
 
     def learn(key, table):
