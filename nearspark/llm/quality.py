@@ -2,8 +2,8 @@
 
 Each document gets counts (words, repeated words and lines, symbols). A few ratios of these counts are summarised, per
 language and source, by histograms over fixed cells: quantile sketches that merge by addition, exactly and in any order.
-Values up to ``GRID`` have a cell each; larger ones, which only mean word lengths reach, share cells that are less than
-1/512 of their values wide, 512 for each doubling. So every value has a cell, and a sketch has some thousand at most.
+Values below ``2 ** CELL_BITS`` have a cell each; larger ones, which only mean word lengths reach, share cells that are less
+than 1/512 of their values wide, 512 for each doubling. So every value has a cell, and a sketch has some thousand at most.
 Thresholds are quantiles of these sketches, joined back to the documents by group. A small group leans on the sketch of its language: its own counts are
 added to ``prior`` documents' worth of the language's.
 
@@ -22,7 +22,6 @@ from pyspark.sql.window import Window
 from nearspark.llm.words import Words, mix, sequence_hashes, slices, starts_within, text_bytes
 
 SYMBOLS = b"#*$%&|<>"
-GRID = 1000
 CELL_BITS = 10
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -157,10 +156,13 @@ def thresholds(sketches: DataFrame, by: list[str], prior: int) -> DataFrame:
     language = by[:1]
     whole = sketches.groupBy(*language, "rule", "cell").agg(F.sum("docs").alias("lang_docs"))
     whole = whole.withColumn("lang_total", F.sum("lang_docs").over(Window.partitionBy(*language, "rule")))
+    count = "decimal(18,0)"  # products of two counts, times a hundred, may exceed a long
     grid = _same_join(sketches.select(*by).distinct(), whole, language, "inner")
     joined = _same_join(grid, sketches, [*by, "rule", "cell"], "left").select(
         *by, "rule", "cell",
-        (F.coalesce("docs", F.lit(0)) * F.col("lang_total") + prior * F.col("lang_docs")).alias("weight"),
+        (
+            F.coalesce("docs", F.lit(0)).cast(count) * F.col("lang_total").cast(count) + prior * F.col("lang_docs").cast(count)
+        ).cast("decimal(36,0)").alias("weight"),
     )
     window = Window.partitionBy(*by, "rule")
     below = F.sum("weight").over(window.orderBy("cell"))
@@ -168,7 +170,7 @@ def thresholds(sketches: DataFrame, by: list[str], prior: int) -> DataFrame:
     share = F.lit(0)
     for rule, (_, q, _) in RULES.items():
         share = F.when(F.col("rule") == rule, round(100 * q)).otherwise(share)
-    reached = joined.select(*by, "rule", "cell", (100 * below >= share * everything).alias("reached"))
+    reached = joined.select(*by, "rule", "cell", (below * F.lit(100).cast("decimal(3,0)") >= everything * share.cast("decimal(2,0)")).alias("reached"))
     return reached.where("reached").groupBy(*by, "rule").agg(F.min("cell").alias("cell"))
 
 

@@ -108,8 +108,8 @@ WITH parts AS (
   FROM parts LEFT JOIN repeated USING (doc_id)
 ), valued AS ({_RULE_ROWS}
 ), own AS (
-  SELECT lang, source, rule, share, slack2, least(value, {quality.GRID}) AS cell, count(*) AS docs
-  FROM valued GROUP BY ALL
+  SELECT lang, source, rule, share, slack2, (((value >> rest) + 1) << rest) - 1 AS cell, count(*) AS docs
+  FROM (SELECT *, greatest(length(bin(value)) - {quality.CELL_BITS}, 0) AS rest FROM valued) GROUP BY ALL
 ), whole AS (
   SELECT lang, rule, cell, sum(docs) AS lang_docs, sum(sum(docs)) OVER (PARTITION BY lang, rule) AS lang_total
   FROM own GROUP BY lang, rule, cell
@@ -128,7 +128,7 @@ WITH parts AS (
 ), failed AS (
   SELECT DISTINCT v.doc_id FROM valued v JOIN bounds b ON v.lang IS NOT DISTINCT FROM b.lang
     AND v.source IS NOT DISTINCT FROM b.source AND v.rule = b.rule
-  WHERE 2 * value > slack2 * bound AND bound < {quality.GRID}
+  WHERE 2 * value > slack2 * bound
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM failed) AS kept

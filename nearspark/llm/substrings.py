@@ -273,7 +273,7 @@ def remove_repeats(docs: DataFrame, n: int = 13, digest: bool = False) -> DataFr
                 out.append(text)
             counts = [part.column("__n_words"), pa.array(removed, pa.int64())]
             last = pa.array(shas, pa.string()) if digest else pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *counts, last], names=[*keep, "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *counts, last], names=[*keep, "__n_words", "__n_removed", "__last"])
 
     sent = docs.select(place.alias("__place"), *docs.columns).mapInArrow(
         prepare, f"__place long, {schema}, __text_id long, __n_words long, text string, __sha string"

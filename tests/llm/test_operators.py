@@ -545,3 +545,38 @@ def test_long_words_have_bounds(spark):
     values = [0, 5, 999, 1000, 1023, 1024, 1025, 7600, 123_456, 2**40 + 1]
     cells = spark.createDataFrame([(v,) for v in values], "v long").select("v", quality._cell(F.col("v")).alias("c")).collect()
     assert all(r["v"] <= r["c"] < r["v"] * (1 + 1 / 512) + 1 and (r["c"] == r["v"] or r["v"] > 1000) for r in cells)
+
+
+def test_quality_bounds_of_many_documents(spark):
+    """Sketches of ten billion documents: products of counts leave the range of long."""
+    many = 10_000_000_000
+    cells = [("en", "a", "symbols", 3, many), ("en", "a", "symbols", 9, many // 20 - 1), ("en", "b", "symbols", 40, many)]
+    sketches = spark.createDataFrame(cells, "lang string, source string, rule string, cell long, docs long")
+    got = {r["source"]: r["cell"] for r in quality.thresholds(sketches, ["lang", "source"], 500).collect()}
+    assert got == {"a": 3, "b": 40}
+
+
+def test_quality_long_words_as_in_sql(spark, tmp_path):
+    """Words of more than 10 characters are the rule here: code and SQL have the same cells above that."""
+    import duckdb
+
+    from nearspark.llm.queries import ORACLES
+
+    draw = random.Random(9)
+    rows = [(i, " ".join("x" * draw.randrange(8, 60) + str(draw.random()) for _ in range(60)), "en", f"s{i % 2}") for i in range(400)]
+    rows += [(400 + i, " ".join(f"{'y' * 900}{j}{i}" for j in range(60)), "en", "s0") for i in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    result = con.execute(f"SELECT doc_id, kept FROM ({ORACLES['op10_quality_rules']})").fetchall()
+    got = quality.apply_quality_rules(spark.read.parquet(str(tmp_path / "d"))).select("doc_id", "kept").collect()
+    assert sorted(map(tuple, got)) == sorted(result)
+    assert {k for _, k in result} == {True, False}
+
+
+def test_substring_extra_columns_of_any_name(spark, rows):
+    plain = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    more = plain.select("*", *[F.lit(1).alias(c) for c in "abcz"])
+    got = substrings.remove_repeats(more)
+    assert got.columns == ["doc_id", "text", *"abcz", "__n_words", "__n_removed"]
+    assert sorted(map(str, got.drop(*"abcz").collect())) == sorted(map(str, substrings.remove_repeats(plain).collect()))
