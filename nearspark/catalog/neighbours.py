@@ -131,6 +131,23 @@ def knn_self_join(spark, sf_dir):
     return join(rows, rows, 3, exclude_self=True).withColumn("dist", F.round("dist", 6))
 
 
+@query("WITH " + VECTORS_SQL + SPLIT_SQL + near_sql(5, WIDE_DIST)
+       + "SELECT qid, rank, tid, label, round(dist, 6) AS dist FROM n")
+def knn_join_pivots(spark, sf_dir):
+    """Wide vectors in a grid of small blocks around pivots."""
+    train, test = split(embedding_vectors(spark, sf_dir))
+    found = join(test, train, 5, plan="pivots", limits=KnnLimits(block_rows=64))
+    return found.withColumn("dist", F.round("dist", 6))
+
+
+@query("WITH " + VECTORS_SQL + near_sql(3, WIDE_DIST, "q.id <> t.id", "v", "v")
+       + "SELECT qid, rank, tid, label, round(dist, 6) AS dist FROM n")
+def knn_self_join_pivots(spark, sf_dir):
+    rows = embedding_vectors(spark, sf_dir)
+    found = join(rows, rows, 3, exclude_self=True, plan="pivots", limits=KnnLimits(block_rows=64))
+    return found.withColumn("dist", F.round("dist", 6))
+
+
 @query("WITH " + PARTS_SQL + f", w AS (SELECT *, {sql_draw(42, 'id')} % 7 AS stratum FROM v)"
        + near_sql(3, PLANE_DIST, "q.stratum = t.stratum AND q.id <> t.id", "w", "w")
        + "SELECT qid, rank, tid, label, dist FROM n")

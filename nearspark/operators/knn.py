@@ -1,12 +1,13 @@
 """Exact k-nearest-neighbour join: k lowest squared Euclidean distances, ties by ascending training id.
 
-Three ways to run it, all with the same rows as result:
+Four ways to run it, all with the same rows as result:
 
 * ``broadcast_train``   - a training table of checked size goes to every task; queries are neither moved nor merged.
 * ``broadcast_queries`` - a query table of checked size goes to every task; each task reads its part of the training
   table once and returns k rows per query, which are merged by a window.
 * ``cells``             - both sides are large: rows are grouped by cell of feature space (and stratum), a query is
   sent only to the cells that can hold its neighbours, and the partial lists are merged by the same window.
+* ``pivots``            - the same for vectors too wide for cells: a grid of blocks around far-apart rows (``grid``).
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from nearspark.operators import cells
-from nearspark.operators.kernel import NO_ID, Best, build_shelf, find_nearest
+from nearspark.operators.kernel import DIRECT_DIMS, NO_ID, Best, build_shelf, find_nearest
 from nearspark.session import cut_lineage, ship_package
 
-PLANS = ("auto", "broadcast_train", "broadcast_queries", "cells")
+PLANS = ("auto", "broadcast_train", "broadcast_queries", "cells", "pivots")
 
 PARTIAL = "qid bigint, tid bigint, label bigint, dist double"
 ENTRIES = "array<struct<dist:double,tid:bigint,label:bigint>>"
@@ -42,6 +43,7 @@ class KnnLimits:
     block_bytes: int = 64 << 20
     sample_bytes: int = 32 << 20  # training rows sampled to place the cut planes
     scan_bytes: int = 128 << 20  # training bytes per task, to estimate the number of tasks
+    pivots: int = 16  # rows that blocks of wide vectors are measured from
 
 
 def knn_join(
@@ -262,12 +264,16 @@ class _Job:
         if plan != "auto":
             if not fits.get(plan, True):
                 raise ValueError(f"{plan}: the table is larger than broadcast_bytes = {limit}")
+            if plan == "pivots" and self.grouped:
+                raise ValueError("pivots: rows are compared across the whole table; use cells with strata")
             return plan
         if fits["broadcast_train"]:
             return "broadcast_train"
         tasks = max(self.context.defaultParallelism, self.train_rows * row_bytes // self.limits.scan_bytes)
         few = self.query_rows * self.k * tasks <= self.train_rows
-        return "broadcast_queries" if fits["broadcast_queries"] and few else "cells"
+        if fits["broadcast_queries"] and few:
+            return "broadcast_queries"
+        return "cells" if self.grouped or self.dims <= DIRECT_DIMS else "pivots"
 
     def over_cores(self, df: DataFrame, rows: int) -> DataFrame:
         """Spread a small table, which may be a single split, over the cores; a large one has splits enough."""
@@ -326,8 +332,15 @@ class _Job:
 
     def partial_lists(self) -> DataFrame:
         """Neighbours found by the separate tasks, at most k per query and task: ``(qid, tid, label, dist)``."""
+        if self.plan == "pivots":
+            from nearspark.operators.grid import PivotGrid  # it builds on this module
+
+            return PivotGrid(self).lists()
         return self.broadcast_queries() if self.plan == "broadcast_queries" else self.cells()
 
+    def no_lists(self) -> DataFrame:
+        return self.spark.createDataFrame([], PARTIAL)
+
     def broadcast_queries(self) -> DataFrame:
         k, dims, skip_self, grouped = self.k, self.dims, self.skip_self, self.grouped
         shared = self.context.broadcast(_side(self.q.toArrow(), dims, grouped))
@@ -349,7 +362,7 @@ class _Job:
         return self.over_cores(self.t, self.train_rows).mapInArrow(search, PARTIAL)
 
     def cells(self) -> DataFrame:
-        k, dims, skip_self, grouped = self.k, self.dims, self.skip_self, self.grouped
+        dims = self.dims
         block = max(1, min(self.limits.block_rows, self.limits.block_bytes // (8 * (dims + 2))))
         split = _CellSplit(self, block)
         t = split.place_train(self.t)
@@ -371,6 +384,11 @@ class _Job:
         load = seen.groupBy(*place).agg((F.count("*") / share).alias("n")).where(F.col("n") > block)
         load = cut_lineage(load.select(*place, F.ceil(F.col("n") / block).cast("int").alias("q_parts")))
         t, q = _spread(t, load, "q_parts"), _pick(q, load, "q_parts")
+        return self.compare_groups(q, t, [*place, "q_part"])
+
+    def compare_groups(self, q: DataFrame, t: DataFrame, place: list[str]) -> DataFrame:
+        """Partial lists of the queries and training rows that meet at the same ``place``."""
+        k, dims, skip_self, grouped = self.k, self.dims, self.skip_self, self.grouped
 
         def search(left: pa.Table, right: pa.Table) -> pa.Table:
             query, train = _side(left, dims, grouped), _side(right, dims, grouped)
@@ -383,7 +401,6 @@ class _Job:
                     best.dist[rows], best.ids[rows], best.codes[rows] = part.dist, part.ids, part.codes
             return pa.Table.from_batches([_partial_batch(query["ids"], best)])
 
-        place = [*place, "q_part"]
         return q.groupBy(*place).cogroup(t.groupBy(*place)).applyInArrow(search, PARTIAL)
 
 

@@ -178,3 +178,77 @@ def test_a_broadcast_classification_has_no_shuffle(spark):
     big = q.union(q.withColumn("id", q["id"] + 1000)).union(q.withColumn("id", q["id"] + 2000)).union(q)
     lists = nearest_lists(big, t, 3, qid="id", tid="id", label="label", limits=limits)
     assert "Exchange" not in lists._jdf.queryExecution().toString()
+
+
+# ---- pivots ----------------------------------------------------------------------------------------------------
+
+
+def clustered(seed, n, dims=12, clusters=9):
+    """Far-apart bunches; some rows are copies, some are mirrored around a centre, so that distances tie."""
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(clusters, dims)) * 40
+    x = middle[rng.integers(0, clusters, n)] + np.round(rng.normal(size=(n, dims)) * 2) / 2
+    x[: n // 5] = x[0]
+    x[n // 5 : n // 4] = 2 * middle[0] - x[n // 4 : n // 4 + n // 4 - n // 5]
+    return x, rng.permutation(n), rng.integers(0, 4, n)
+
+
+@pytest.mark.parametrize("limits", [SMALL, KnnLimits(block_rows=20, pivots=3), KnnLimits(block_rows=64, broadcast_bytes=600)])
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_pivots_match_brute_force(spark, limits, exclude_self):
+    t = make(spark, *clustered(21, 500))
+    q = t if exclude_self else make(spark, *clustered(22, 120))
+    got = result(join(q, t, 4, "pivots", exclude_self=exclude_self, limits=limits))
+    assert got == brute(rows(q), rows(t), 4, exclude_self)
+
+
+def test_pivots_with_odd_rows(spark):
+    """Rows with a gap take no part; fewer candidates than k; one vector only; nothing at all."""
+    x, ids, labels = clustered(23, 60)
+    x[7, 3], x[9, 0] = np.nan, np.inf
+    t = make(spark, x, ids, labels)
+    whole = [r for r in rows(t) if np.isfinite(r[1]).all()]
+    assert result(join(t, t, 70, "pivots", exclude_self=True, limits=SMALL)) == brute(whole, whole, 70, True)
+    same = make(spark, np.ones((50, 12)), range(50), [0] * 50)
+    assert result(join(same, same, 2, "pivots", limits=KnnLimits(block_rows=8))) == brute(rows(same), rows(same), 2)
+    none = t.limit(0)
+    assert join(t, none, 2, "pivots", limits=SMALL).count() == 0
+    assert join(none, t, 2, "pivots", limits=SMALL).count() == 0
+
+
+def test_pivots_leave_out_pairs_and_bound_repeats(spark):
+    from nearspark.operators.grid import pivot_report
+    from nearspark.operators.knn import _Job
+
+    t = make(spark, *clustered(24, 4000, clusters=16))
+    job = _Job(t, t, 3, "id", "id", "features", "label", None, True, [], "pivots", KnnLimits(block_rows=40))
+    report = pivot_report(job)
+    visits = sum(r["visits"] for r in report["rounds"])
+    assert report["blocks"] > 60 and report["skipped"] > 0.8
+    assert visits <= 4000 * 2 * report["blocks"] ** 0.5  # a query is sent to about a root of the blocks
+
+
+def test_auto_takes_pivots_for_wide_vectors(spark):
+    from nearspark.operators.knn import _Job
+
+    tight = KnnLimits(broadcast_bytes=1000)
+    for dims, want in ((12, "pivots"), (4, "cells")):
+        t = make(spark, *sample(25, 300, dims)[:3])
+        assert _Job(t, t, 3, "id", "id", "features", "label", None, False, [], "auto", tight).plan == want
+    with pytest.raises(ValueError, match="strata"):
+        knn_join(t, t, 1, qid="id", tid="id", by="stratum", plan="pivots")
+
+
+def test_lower_bounds_never_exceed_distances():
+    from nearspark.operators.grid import distances, far_apart, lower_bounds
+    from nearspark.operators.kernel import squared_sum
+
+    rng = np.random.default_rng(5)
+    for scale in (1e-8, 1.0, 1e8):
+        x = rng.normal(size=(300, 20)) * scale + scale * 1e3
+        pivots = far_apart(x, 6)
+        d = distances(x, pivots)
+        bound = lower_bounds(d, d, d, 20)  # every row a block of its own
+        true = np.stack([squared_sum(x - y) for y in x], axis=1)
+        assert (bound <= true).all()
+        assert len(np.unique(pivots, axis=0)) == 6
