@@ -201,7 +201,7 @@ class PivotGrid:
             visits = self.visits(queries, first, last)
             found = self.compare(visits, self.sampled(queries, first, last), t)
             if best is not None:
-                found = best.drop("rank").unionByName(found)
+                found = best.unionByName(found)
             if i + 1 < len(self.steps):
                 best = cut_lineage(merge_top_k(found, job.k))
             yield visits, found

@@ -29,7 +29,7 @@ from nearspark.session import cut_lineage, ship_package
 
 PLANS = ("auto", "broadcast_train", "broadcast_queries", "cells", "pivots")
 
-PARTIAL = "qid bigint, tid bigint, label bigint, dist double"
+PARTIAL = "qid bigint, rank int, tid bigint, label bigint, dist double"
 ENTRIES = "array<struct<dist:double,tid:bigint,label:bigint>>"
 VISITS = "array<struct<cell:int,within:double>>"
 
@@ -71,7 +71,7 @@ def knn_join(
         entries = job.broadcast_train().select("qid", F.posexplode("neighbors").alias("rank", "e"))
         found = entries.select("qid", (F.col("rank") + 1).alias("rank"), "e.*")
     else:
-        found = merge_top_k(job.partial_lists(), k)
+        found = job.merged_lists()
     carried = [F.col("label").cast(train.schema[label].dataType).alias(label)] if label else []
     return found.select("qid", "rank", "tid", *carried, "dist")
 
@@ -97,7 +97,13 @@ def nearest_lists(
     job = _Job(queries, train, k, qid, tid, features, label, by, exclude_self, list(carry), plan, limits)
     if job.plan == "broadcast_train":
         return job.broadcast_train()
-    lists = neighbor_lists(merge_top_k(job.partial_lists(), k), "label")
+    if job.plan == "cells":
+        found = job.cells(as_lists=True)
+        if job.whole:
+            return found
+        lists = neighbor_lists(merge_top_k(found, k), "label")
+    else:
+        lists = neighbor_lists(job.merged_lists(), "label")
     rows = queries.select(F.col(qid).cast("bigint").alias("qid"), *carry).join(lists, "qid", "left")
     none = F.array().cast(ENTRIES)
     return rows.select("qid", *carry, F.coalesce(F.col("neighbors").cast(ENTRIES), none).alias("neighbors"))
@@ -197,14 +203,16 @@ def _shelf(side: dict, value):
         if rows is None:
             shelves[value] = None
         else:
+            if side.get("keep"):
+                rows = rows[cells.lowest_copies(side["x"][rows], side["ids"][rows], side["keep"])]
             shelves[value] = build_shelf(side["x"][rows], side["ids"][rows], None if codes is None else codes[rows])
     return shelves[value]
 
 
 def _partial_batch(qids: np.ndarray, best: Best) -> pa.RecordBatch:
     row, rank = np.nonzero(best.ids != NO_ID)
-    arrays = [qids[row], best.ids[row, rank], best.codes[row, rank], best.dist[row, rank]]
-    return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["qid", "tid", "label", "dist"])
+    arrays = [qids[row], (rank + 1).astype(np.int32), best.ids[row, rank], best.codes[row, rank], best.dist[row, rank]]
+    return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["qid", "rank", "tid", "label", "dist"])
 
 
 def _entries(best: Best) -> pa.ListArray:
@@ -232,6 +240,8 @@ class _Job:
         self.context = self.spark.sparkContext
         ship_package(self.spark)
         self.k, self.skip_self, self.limits, self.carry = k, exclude_self, limits, carry
+        self.keep = k + 1 if exclude_self else k  # copies of one vector that can be neighbours
+        self.whole = False  # whether partial lists are whole
         self.grouped, self.keys = by is not None, ["grp"] if by else []
 
         def side(df, key, *more):
@@ -240,8 +250,9 @@ class _Job:
 
         code = F.col(label).cast("bigint") if label else F.lit(0).cast("bigint")
         self.all_queries = side(queries, qid, *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)])
+        self.present = " AND ".join(f"{c} IS NOT NULL" for c in ["x", *self.keys])
         self.q, self.t = (
-            s.where(" AND ".join(f"{c} IS NOT NULL" for c in ["x", *self.keys]))
+            s.where(self.present)
             for s in (side(queries, qid), side(train, tid, code.alias("code")))
         )
         # sizes of the inputs as they are: an upper bound that needs no vectors, only file footers for a plain scan
@@ -292,7 +303,7 @@ class _Job:
         The rank limit runs before the shuffle too, so a group of copies never travels whole. Spark leaves that step out
         for large k; then the copies are first ranked in parts, by a hash of their id.
         """
-        keep = self.k + 1 if self.skip_self else self.k
+        keep = self.keep
         vector = [F.xxhash64("x"), "x", *self.keys]
 
         def lowest(rows: DataFrame, *part) -> DataFrame:
@@ -330,8 +341,13 @@ class _Job:
         carried = [F.col(f"carried_{i}").alias(c) for i, c in enumerate(self.carry)]
         return found.select(F.col("id").alias("qid"), *carried, "neighbors")
 
+    def merged_lists(self) -> DataFrame:
+        """The k nearest of every query: ``(qid, rank, tid, label, dist)``; partial lists are merged where there are several."""
+        found = self.partial_lists()
+        return found if self.whole else merge_top_k(found, self.k)
+
     def partial_lists(self) -> DataFrame:
-        """Neighbours found by the separate tasks, at most k per query and task: ``(qid, tid, label, dist)``."""
+        """Neighbours found by the separate tasks, at most k per query and task: ``(qid, rank, tid, label, dist)``."""
         if self.plan == "pivots":
             from nearspark.operators.grid import PivotGrid  # it builds on this module
 
@@ -361,37 +377,47 @@ class _Job:
 
         return self.over_cores(self.t, self.train_rows).mapInArrow(search, PARTIAL)
 
-    def cells(self) -> DataFrame:
+    def cells(self, as_lists: bool = False) -> DataFrame:
+        """Partial lists; with ``as_lists`` and ``whole`` set by this call, the finished lists of all query rows instead."""
         dims = self.dims
         block = max(1, min(self.limits.block_rows, self.limits.block_bytes // (8 * (dims + 2))))
         split = _CellSplit(self, block)
         t = split.place_train(self.t)
-
-        # Cells that stay larger than a block are split; there are at most train_rows / block of them. Both sides must
-        # agree on the parts, so the counts are written once and read by both.
-        t_cells = F.broadcast(cut_lineage(split.oversized(t)) if split.any_large else split.oversized(t))
-
-        t = split.with_home(_pick(self.without_copies(t), t_cells, "t_parts"))
-        q = split.with_home(_spread(split.route(self.over_cores(self.q, self.query_rows)), t_cells, "t_parts"))
+        # Cells that stay larger than a block hold equal vectors mostly; there are at most train_rows / block of them.
+        t_cells = F.broadcast(split.parts)
+        if split.any_large:
+            t = self.without_copies(t)
+        else:
+            self.whole = True  # each query meets all of its stratum in one group; copies are left out there
+        t = split.with_home(_pick(t, t_cells, "t_parts"))
+        as_lists &= self.whole
+        queries = self.all_queries.where(self.present) if as_lists else self.q
+        q = split.with_home(_spread(split.route(self.over_cores(queries, self.query_rows)), t_cells, "t_parts"))
 
         # Groups that attract more queries than a block are split on the query side and their training rows repeated.
         # The counts come from a sample: they balance the work and have no influence on the result. They are written
-        # once as well, and joined without a broadcast hint, so Spark decides by the measured size.
+        # once, and joined without a broadcast hint, so Spark decides by the measured size.
         place = ["home", "cell", "t_part"]
-        share = min(1.0, max(0.001, 200_000 / max(1, self.query_rows)))
-        seen = _spread(split.route(self.q.sample(share, seed=29) if share < 1 else self.q), t_cells, "t_parts")
-        seen = split.with_home(seen)
-        load = seen.groupBy(*place).agg((F.count("*") / share).alias("n")).where(F.col("n") > block)
-        load = cut_lineage(load.select(*place, F.ceil(F.col("n") / block).cast("int").alias("q_parts")))
-        t, q = _spread(t, load, "q_parts"), _pick(q, load, "q_parts")
-        return self.compare_groups(q, t, [*place, "q_part"])
-
-    def compare_groups(self, q: DataFrame, t: DataFrame, place: list[str]) -> DataFrame:
-        """Partial lists of the queries and training rows that meet at the same ``place``."""
+        if self.query_rows > block:
+            share = min(1.0, max(0.001, 200_000 / self.query_rows))
+            seen = _spread(split.route(self.q.sample(share, seed=29) if share < 1 else self.q), t_cells, "t_parts")
+            seen = split.with_home(seen)
+            load = seen.groupBy(*place).agg((F.count("*") / share).alias("n")).where(F.col("n") > block)
+            load = cut_lineage(load.select(*place, F.ceil(F.col("n") / block).cast("int").alias("q_parts")))
+            t, q = _spread(t, load, "q_parts"), _pick(q, load, "q_parts")
+            place = [*place, "q_part"]
+        if as_lists:
+            return self.list_groups(q, t, place)
+        return self.compare_groups(q, t, place, self.keep if self.whole else None)
+
+    def compare_groups(self, q: DataFrame, t: DataFrame, place: list[str], keep: int | None = None) -> DataFrame:
+        """Partial lists of the queries and training rows that meet at the same ``place``; with ``keep``, copies beyond the
+        first of that many ids are left out there."""
         k, dims, skip_self, grouped = self.k, self.dims, self.skip_self, self.grouped
 
         def search(left: pa.Table, right: pa.Table) -> pa.Table:
             query, train = _side(left, dims, grouped), _side(right, dims, grouped)
+            train["keep"] = keep
             best = Best.empty(len(query["ids"]), k)
             for value, rows in query["groups"].items():  # the strata that share this home
                 shelf = _shelf(train, value)
@@ -404,118 +430,164 @@ class _Job:
         return q.groupBy(*place).cogroup(t.groupBy(*place)).applyInArrow(search, PARTIAL)
 
 
-class _CellSplit:
-    """Where the cells of one join are, and how many levels of cuts each stratum gets.
+    def list_groups(self, q: DataFrame, t: DataFrame, place: list[str]) -> DataFrame:
+        """``(qid, *carry, neighbors)`` of every query row, where each query meets all its candidates in one group."""
+        k, dims, skip_self, grouped, keep = self.k, self.dims, self.skip_self, self.grouped, self.keep
+        kept = [c for c in self.all_queries.columns if c not in ("x", "grp")]
 
-    Only strata above one block are cut: there are at most train_rows / block of them.
-    """
+        def search(left: pa.Table, right: pa.Table) -> pa.Table:
+            query, train = _side(left, dims, grouped), _side(right, dims, grouped)
+            train["keep"] = keep
+            best = Best.empty(len(left), k)
+            for value, rows in query["groups"].items():
+                shelf = _shelf(train, value)
+                if shelf is not None:
+                    part = find_nearest(query["x"][rows], query["ids"][rows], shelf, k, skip_self)
+                    at = query["rows"][rows]
+                    best.dist[at], best.ids[at], best.codes[at] = part.dist, part.ids, part.codes
+            return left.select(kept).append_column("neighbors", _entries(best))
+
+        schema = T.StructType([self.all_queries.schema[c] for c in kept]).add("neighbors", T._parse_datatype_string(ENTRIES))
+        found = q.groupBy(*place).cogroup(t.groupBy(*place)).applyInArrow(search, schema)
+        others = self.all_queries.where(f"NOT ({self.present})").select(*kept, F.array().cast(ENTRIES).alias("neighbors"))
+        carried = [F.col(f"carried_{i}").alias(c) for i, c in enumerate(self.carry)]
+        return found.unionByName(others).select(F.col("id").alias("qid"), *carried, "neighbors")
+
+
+class _CellSplit:
+    """Where the cells of one join are: a tree for each stratum above one block, of which there are at most
+    train_rows / block. Other strata are not cut; their rows are at cell -1."""
 
     def __init__(self, job: _Job, block: int):
         self.job, self.block = job, block
-        self.keep = job.k + 1 if job.skip_self else job.k
-        if job.grouped:
+        if job.train_rows <= block:
+            large = {}
+        elif job.grouped:
             sizes = job.t.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > block).collect()
             large = {row["grp"]: row["n"] for row in sizes}
         else:
-            large = {None: job.train_rows} if job.train_rows > block else {}
+            large = {None: job.train_rows}
         self.any_large = bool(large)
-        sample_rows = job.limits.sample_bytes // (8 * (job.dims + 2))
-        deepest = int(math.log2(max(1, sample_rows // 8)))
-        self.levels = {g: min(deepest, math.ceil(math.log2(4 * n / block))) for g, n in large.items()}
-        self.depth = max(self.levels.values(), default=0)
-        if self.depth:
-            self.sample_and_cut(sample_rows, sum(large.values()))
-
-    def sample_and_cut(self, sample_rows: int, rows: int) -> None:
+        self.roots = {g: i for i, g in enumerate(large)}
+        self.parts = job.spark.createDataFrame([], "cell int, t_parts int")
+        if large:
+            self.sample_and_cut(sum(large.values()))
+
+    def sample_and_cut(self, rows: int) -> None:
+        """Trees from a sample of each large stratum, then cells that hold too much are cut again from samples of their own."""
         job = self.job
-        wanted = sum(32 << n for n in self.levels.values())  # for every cell of every large stratum
-        share = min(1.0, min(sample_rows, wanted) / rows)
-        sample = self.with_level(job.t).where("level > 0").sample(share, seed=17).drop("level", "code").toArrow()
+        sample_rows = max(1, job.limits.sample_bytes // (8 * (job.dims + 2)))
+        share = min(1.0, sample_rows / rows, 128 / self.block)  # 32 sample rows for a quarter of a block
+        sample = self.with_root(job.t).where("root >= 0").sample(share, seed=17).drop("root", "code").toArrow()
         side = _side(sample, job.dims, job.grouped)
-        planes = cells.cut_planes(np.unique(side["x"], axis=0), self.depth)
-        if not self.cuts_pay(side, planes):
+        rows_of = {self.roots[g]: side["x"][at] for g, at in side["groups"].items()}
+        fill = self.block / 4
+        self.forest = cells.Forest(len(self.roots))
+        self.forest.grow(rows_of, max(8, math.ceil(share * fill)))
+        if not self.cuts_pay(side):
             # in many dimensions a query has to visit most cells anyway: then as few cells as blocks are enough
-            self.levels = {g: max(0, n - 2) for g, n in self.levels.items()}
-        self.shared = job.context.broadcast({"planes": planes, "sample": side})
-
-    def cuts_pay(self, side: dict, planes) -> bool:
-        probes = np.arange(0, len(side["ids"]), max(1, len(side["ids"]) // 256))
-        shelf = build_shelf(side["x"], side["ids"])
-        within = find_nearest(side["x"][probes], side["ids"][probes], shelf, self.job.k, True).dist[:, -1]
-        lo, hi = cells.regions(planes, self.job.dims)
-        rows, _ = cells.cells_within(side["x"][probes], within, planes.depth, lo, hi)
-        return len(rows) <= len(probes) * 2**planes.depth / 2
-
-    def with_level(self, df: DataFrame) -> DataFrame:
-        """Add the number of levels of the row's stratum."""
+            fill = self.block
+            self.forest = cells.Forest(len(self.roots))
+            self.forest.grow(rows_of, max(8, math.ceil(share * fill)))
+        self.share_forest(side)
+        done: set[int] = set()
+        while True:
+            sizes = self.oversized()
+            wide = {c: n for c, n in sizes.items() if c not in done}
+            if not wide:
+                break
+            # as many at once as the sample has rows enough to cut
+            wide = dict(sorted(wide.items(), key=lambda c: -c[1])[: max(1, sample_rows // 32)])
+            done |= set(wide)
+            share = min(1.0, sample_rows / sum(wide.values()), 128 / self.block)
+            again = self.place_train(job.t).where(F.col("cell").isin(list(wide))).sample(share, seed=31)
+            found = _side(again.select("id", "x", F.col("cell").alias("grp")).toArrow(), job.dims, True)
+            self.forest.grow({c: found["x"][at] for c, at in found["groups"].items()}, max(8, math.ceil(share * fill)))
+            self.share_forest(side)
+        parts = [(int(c), -(-int(n) // self.block)) for c, n in sizes.items()]
+        if parts:
+            self.parts = job.spark.createDataFrame(parts, "cell int, t_parts int")
+
+    def share_forest(self, side: dict) -> None:
+        self.shared = self.job.context.broadcast({"forest": self.forest, "sample": side, "roots": self.roots})
+
+    def cuts_pay(self, side: dict) -> bool:
+        """Whether queries next to sample rows visit less than half of the cells of their trees."""
+        lo, hi = self.forest.regions(self.job.dims)
+        met = every = 0
+        for g, at in side["groups"].items():
+            probes = at[:: max(1, len(at) * len(side["groups"]) // 256)]
+            shelf = build_shelf(side["x"][at], side["ids"][at])
+            within = find_nearest(side["x"][probes], side["ids"][probes], shelf, self.job.k, True).dist[:, -1]
+            rows, _ = self.forest.leaves_within(np.full(len(probes), self.roots[g]), side["x"][probes], within, lo, hi)
+            met += len(rows)
+            every += len(probes) * self.forest.leaves_of(self.roots[g])
+        return met <= every / 2
+
+    def with_root(self, df: DataFrame) -> DataFrame:
+        """Add the root of the tree of the row's stratum, -1 if it has none."""
         if not self.job.grouped:
-            return df.withColumn("level", F.lit(self.levels.get(None, 0)))
-        schema = T.StructType([df.schema["grp"], T.StructField("level", T.IntegerType())])
-        listed = self.job.spark.createDataFrame(list(self.levels.items()), schema)
-        return df.join(F.broadcast(listed), "grp", "left").fillna(0, ["level"])
+            return df.withColumn("root", F.lit(self.roots.get(None, -1)))
+        if not self.roots:
+            return df.withColumn("root", F.lit(-1))
+        schema = T.StructType([df.schema["grp"], T.StructField("root", T.IntegerType())])
+        listed = self.job.spark.createDataFrame(list(self.roots.items()), schema)
+        return df.join(F.broadcast(listed), "grp", "left").fillna(-1, ["root"])
 
     def with_home(self, df: DataFrame) -> DataFrame:
         """Add the group of strata that a row is sent to.
 
-        A stratum with cells has a home of its own. The others, none of which fills a block, share homes by hash, about a
-        quarter of a block in each, so that the number of groups follows the rows and not the strata.
+        A stratum with cells has a home of its own. The others, none of which fills a block, share homes by hash, at most about
+        a quarter of a block in each, so that the number of groups follows the rows and not the strata.
         """
         if not self.job.grouped:
             return df.withColumn("home", F.lit(0).cast("bigint"))
-        few = max(self.job.context.defaultParallelism, -(-4 * self.job.train_rows // self.block))
+        # several homes a core as well, so that cores are kept alike
+        few = max(8 * self.job.context.defaultParallelism, -(-4 * self.job.train_rows // self.block))
         own = F.xxhash64("grp")
-        return self.with_level(df).withColumn("home", F.when(F.col("level") > 0, own).otherwise(F.pmod(own, F.lit(few)))).drop("level")
+        return df.withColumn("home", F.when(F.col("cell") >= 0, own).otherwise(F.pmod(own, F.lit(few))))
 
     def place_train(self, t: DataFrame) -> DataFrame:
         """Add the cell of each training row."""
-        if not self.depth:
-            return t.withColumn("cell", F.lit(0))
+        if not self.any_large:
+            return t.withColumn("cell", F.lit(-1))
         shared, dims = self.shared, self.job.dims
 
         @F.arrow_udf("int")
-        def leaf(x: pa.Array) -> pa.Array:
-            return pa.array(cells.leaf_of(shared.value["planes"], vectors(x, dims)).astype(np.int32))
+        def leaf(root: pa.Array, x: pa.Array) -> pa.Array:
+            return pa.array(shared.value["forest"].leaf_of(root.to_numpy(), vectors(x, dims)).astype(np.int32))
 
-        # a stratum with fewer levels uses the leading bits of the leaf number
-        cell = F.expr(f"shiftright(leaf, {self.depth} - level)")
-        return self.with_level(t).withColumn("leaf", leaf("x")).withColumn("cell", cell).drop("leaf", "level")
+        return self.with_root(t).withColumn("cell", leaf("root", "x")).drop("root")
 
-    def oversized(self, placed: DataFrame) -> DataFrame:
-        """Cells with more distinct rows than a block, and the number of parts they need."""
-        keys = [*self.job.keys, "cell"]
-        if not self.any_large:
-            return placed.select(*keys, F.lit(1).alias("t_parts")).limit(0)
-        distinct = F.approx_count_distinct(F.xxhash64("x")) * self.keep
-        sizes = placed.groupBy(*keys).agg(F.least(F.count("*"), distinct).alias("n")).where(F.col("n") > self.block)
-        return sizes.select(*keys, F.ceil(F.col("n") / self.block).cast("int").alias("t_parts"))
+    def oversized(self) -> dict[int, int]:
+        """Cells with more distinct rows than a block, and how many."""
+        distinct = F.approx_count_distinct(F.xxhash64("x")) * self.job.keep
+        sizes = self.place_train(self.job.t).where("cell >= 0").groupBy("cell").agg(F.least(F.count("*"), distinct).alias("n"))
+        return {r["cell"]: r["n"] for r in sizes.where(F.col("n") > self.block).collect()}
 
     def route(self, q: DataFrame) -> DataFrame:
         """One row per query and cell it has to visit, with an upper bound of its k-th distance."""
         keys = self.job.keys
-        if not self.depth:
-            return q.withColumn("cell", F.lit(0)).withColumn("within", F.lit(float("inf")))
+        if not self.any_large:
+            return q.withColumn("cell", F.lit(-1)).withColumn("within", F.lit(float("inf")))
         shared, dims, k, skip_self = self.shared, self.job.dims, self.job.k, self.job.skip_self
 
-        def visits(x, ids, levels, groups=None):
+        def visits(x, ids, roots, groups=None):
             held = shared.value
             if "regions" not in held:
-                held["regions"] = cells.regions(held["planes"], dims)
+                held["regions"] = held["forest"].regions(dims)
             lo, hi = held["regions"]
-            x, ids, levels = vectors(x, dims), ids.to_numpy(), levels.to_numpy()
+            x, ids, roots = vectors(x, dims), ids.to_numpy(), roots.to_numpy()
             within = np.full(len(x), np.inf)
             finite = np.isfinite(x).all(axis=1)
-            found = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))]
             for value, rows in _rows_by_group(groups, len(x)):
                 rows = rows[finite[rows]]
-                if len(rows) == 0:
-                    continue
-                level = int(levels[rows[0]])
-                shelf = _shelf(held["sample"], value) if level else None
+                shelf = _shelf(held["sample"], value) if len(rows) and value in held["roots"] else None
                 if shelf is not None:
                     within[rows] = find_nearest(x[rows], ids[rows], shelf, k, skip_self).dist[:, -1]
-                at, cell = cells.cells_within(x[rows], within[rows], level, lo, hi)
-                found.append((rows[at], cell))
-            row, cell = (np.concatenate(part) for part in zip(*found))
+            whole = np.flatnonzero(finite)
+            row, cell = held["forest"].leaves_within(roots[whole], x[whole], within[whole], lo, hi)
+            row = whole[row]
             order = np.argsort(row, kind="stable")
             ends = np.searchsorted(row[order], np.arange(len(x) + 1)).astype(np.int32)
             arrays = [pa.array(cell[order].astype(np.int32)), pa.array(within[row[order]])]
@@ -524,15 +596,15 @@ class _CellSplit:
         if keys:
 
             @F.arrow_udf(VISITS)
-            def cells_of(x: pa.Array, ids: pa.Array, levels: pa.Array, groups: pa.Array) -> pa.Array:
-                return visits(x, ids, levels, groups)
+            def cells_of(x: pa.Array, ids: pa.Array, roots: pa.Array, groups: pa.Array) -> pa.Array:
+                return visits(x, ids, roots, groups)
         else:
 
             @F.arrow_udf(VISITS)
-            def cells_of(x: pa.Array, ids: pa.Array, levels: pa.Array) -> pa.Array:
-                return visits(x, ids, levels)
+            def cells_of(x: pa.Array, ids: pa.Array, roots: pa.Array) -> pa.Array:
+                return visits(x, ids, roots)
 
-        return self.with_level(q).select("id", *keys, "x", F.inline(cells_of("x", "id", "level", *keys)))
+        return self.with_root(q).select("id", *keys, "x", F.inline(cells_of("x", "id", "root", *keys)))
 
 
 def _parts(df: DataFrame, parts: DataFrame, name: str, part: Column) -> DataFrame:

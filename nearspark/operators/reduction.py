@@ -63,6 +63,7 @@ def edit_nearest(
         keys = [by, label] if by else [label]
         few = df.groupBy(*keys).agg(F.count("*").alias("n"), F.min("pid").alias("a"), F.max("pid").alias("b"))
         few = few.where(F.col("n") < ENN_NEIGHBORS).select(F.explode(F.array("a", "b")).alias("pid")).distinct()
+        few = cut_lineage(few)  # mostly a few rows: written, Spark sees whether they fit a broadcast
         rows = rows.join(few.withColumn("__few", F.lit(True)), "pid", "left")
         keep = keep | F.col("__few").isNotNull()
     return rows.where(keep).select(df.columns)

@@ -180,6 +180,58 @@ def test_a_broadcast_classification_has_no_shuffle(spark):
     assert "Exchange" not in lists._jdf.queryExecution().toString()
 
 
+# ---- trees of strata -------------------------------------------------------------------------------------------
+
+
+def visits_a_query(t, limits):
+    from nearspark.operators.knn import _CellSplit, _Job
+
+    split = _CellSplit(_Job(t, t, 3, "id", "id", "features", "label", "stratum", True, [], "cells", limits), limits.block_rows)
+    split.job.t.cache()
+    return split, split.route(split.job.q).count() / split.job.query_rows
+
+
+def test_each_large_stratum_has_a_tree_of_its_own(spark):
+    """Strata far from each other: cuts made for all of them together would leave every stratum in a cell or two."""
+    limits = KnnLimits(block_rows=60)
+    x, ids, labels, _ = sample(31, 200 * 150, 2)
+    strata = np.arange(200 * 150) % 200
+    spread = make(spark, x + strata[:, None] * 1000.0, ids, labels, strata)
+    many, met = visits_a_query(spread, limits)
+    one, met_by_one = visits_a_query(make(spark, x[:150], ids[:150], labels[:150], np.zeros(150, int)), limits)
+    assert len(many.roots) == 200 and len(one.roots) == 1
+    assert met <= 2 * met_by_one
+    some = spread.where("stratum < 4")
+    assert result(join(some, some, 3, "cells", exclude_self=True, by="stratum", limits=limits)) == brute(
+        rows(some), rows(some), 3, exclude_self=True, by=True
+    )
+
+
+def test_cells_are_cut_again_until_they_fit(spark):
+    """A sample too small for all cells: the first cuts leave cells above a block, which samples of their own cut further."""
+    limits = KnnLimits(block_rows=40, sample_bytes=8 * 4 * 300)
+    x, ids, labels, _ = sample(32, 6000, 2)
+    strata = np.where(np.arange(6000) < 5000, 1, 2)
+    x[5000:5400] = [3.0, 3.0]  # copies can't be cut
+    t = make(spark, x, ids, labels, strata)
+    split, _ = visits_a_query(t, limits)
+    placed = split.place_train(split.job.t).groupBy("cell").agg(F.countDistinct("x").alias("d")).collect()
+    assert max(r["d"] for r in placed) <= 50  # of distinct rows; their number is an estimate
+    assert len(split.forest.axis) > 2 * 2 * 300 / 8  # more nodes than one sample allows
+    some = t.where("id % 10 = 0")
+    assert result(join(some, t, 3, "cells", by="stratum", limits=limits)) == brute(rows(some), rows(t), 3, by=True)
+
+
+def test_lists_of_small_strata_need_no_merge(spark):
+    x, ids, labels, strata = sample(33, 300, 2, True)
+    x[:120] = [1.0, 1.0]
+    t = make(spark, x, ids, labels, strata)
+    for limits in (KnnLimits(), KnnLimits(block_rows=250)):  # above a block of queries, but no stratum above it
+        found = join(t, t, 3, "cells", exclude_self=True, by="stratum", limits=limits)
+        assert "Window" not in found._jdf.queryExecution().analyzed().toString()
+        assert result(found) == brute(rows(t), rows(t), 3, exclude_self=True, by=True)
+
+
 # ---- pivots ----------------------------------------------------------------------------------------------------
 
 
