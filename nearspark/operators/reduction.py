@@ -76,15 +76,35 @@ def fusion_round(
 
     A merged prototype has the weighted mean of the vectors, the sum of the weights and the smaller id.
     """
+    single = cut_lineage(_collapsed(df, by))  # read several times below
+    return _merged(_nearest(single, single, by, plan, limits), by)
+
+
+def _columns(by: str | None) -> list[str]:
+    return ["pid", *([by] if by else []), "features", "label", "weight"]
+
+
+def _collapsed(df: DataFrame, by: str | None) -> DataFrame:
+    """Equal prototypes of a class as one, with the lowest id and the sum of the weights."""
     keys = [by] if by else []
     single = df.groupBy(*keys, "label", "features").agg(F.min("pid").alias("pid"), F.sum("weight").alias("weight"))
-    single = cut_lineage(single)  # read several times below
-    pairs = nearest_lists(
-        single, single, 1, qid="pid", tid="pid", by=by, exclude_self=True, carry=[*keys, "label", "features", "weight"],
-        plan=plan, limits=limits,
-    ).withColumnRenamed("qid", "pid")
-    other = F.coalesce(F.try_element_at("neighbors", F.lit(1))["tid"], F.col("pid"))
-    pairs = pairs.withColumn("lo", F.least("pid", other)).withColumn("hi", F.greatest("pid", other))
+    return single.select(_columns(by))
+
+
+def _nearest(df: DataFrame, others: DataFrame, by: str | None, plan: str, limits: KnnLimits, carry: tuple = ()) -> DataFrame:
+    """Add the nearest of ``others`` but itself, as ``near`` and ``near_dist`` (NULL if there is none)."""
+    found = nearest_lists(
+        df, others, 1, qid="pid", tid="pid", by=by, exclude_self=True, carry=[*_columns(by)[1:], *carry], plan=plan, limits=limits
+    ).withColumnRenamed("qid", "pid")
+    first = F.try_element_at("neighbors", F.lit(1))
+    return found.select(*_columns(by), *carry, first["tid"].alias("near"), first["dist"].alias("near_dist"))
+
+
+def _merged(nearest: DataFrame, by: str | None) -> DataFrame:
+    """Prototypes with their nearest, ``near`` -> those left when mutual pairs of a class are merged."""
+    keys = [by] if by else []
+    other = F.coalesce("near", "pid")
+    pairs = nearest.withColumn("lo", F.least("pid", other)).withColumn("hi", F.greatest("pid", other))
     # both ends of a mutual pair have the same (lo, hi), so a group holds one or two prototypes
     merged = pairs.groupBy(*keys, "label", "lo", "hi").agg(
         F.array_sort(F.collect_list(F.struct("pid", "weight", "features"))).alias("m")
@@ -103,6 +123,36 @@ def fusion_round(
     )
 
 
+def _nearest_again(
+    old: DataFrame, df: DataFrame, by: str | None, plan: str, limits: KnnLimits, progress: list | None
+) -> DataFrame:
+    """The nearest of every prototype of ``df``, from the nearest that were known for ``old``, the table before its merges.
+
+    A prototype that is new or was moved, or whose nearest is gone or was moved, searches the whole table. Any other
+    still has its nearest, unless a new or moved prototype is nearer: it searches only among those.
+    """
+    before = old.select("pid", F.col("features").alias("was"), "near", "near_dist")
+    now = df.join(before, "pid", "left").withColumn("moved", ~F.col("was").eqNullSafe(F.col("features"))).drop("was")
+    now = cut_lineage(now)
+    stays = now.where("NOT moved").select(F.col("pid").alias("near"), F.lit(True).alias("stays"))
+    again = F.col("moved") | (F.col("near").isNotNull() & F.col("stays").isNull())
+    now = cut_lineage(now.join(stays, "near", "left").withColumn("again", again))
+
+    moved = now.where("moved").select(_columns(by))
+    searched = _nearest(now.where("again").select(_columns(by)), now.select(_columns(by)), by, plan, limits)
+    rest = now.where("NOT again")
+    known = rest.select(*_columns(by), F.struct(F.col("near_dist").alias("d"), F.col("near").alias("n")).alias("known"))
+    met = _nearest(known, moved, by, plan, limits, ("known",))
+    nearer = F.struct(F.col("near_dist").alias("d"), F.col("near").alias("n"))
+    best = F.array_min(F.filter(F.array("known", nearer), lambda e: e["n"].isNotNull()))
+    met = met.select(*_columns(by), best["n"].alias("near"), best["d"].alias("near_dist"))
+    if progress is not None:
+        count = lambda c: F.count(F.when(c, 1))
+        rows, full, new = now.agg(F.count("*"), count(F.col("again")), count(F.col("moved"))).first()
+        progress.append({"rows": rows, "searched": full, "moved": new, "pairs": full * rows + (rows - full) * new})
+    return cut_lineage(searched.unionByName(met))
+
+
 def fuse(
     df: DataFrame,
     by: str | None = None,
@@ -110,14 +160,17 @@ def fuse(
     min_rows: int | None = None,
     plan: str = "auto",
     limits: KnnLimits = KnnLimits(),
+    progress: list | None = None,
 ) -> DataFrame:
     """Fuse prototypes until nothing merges, or for ``max_rounds`` rounds if given; strata of ``min_rows`` or fewer stay.
 
-    It ends by itself: a round that merges nothing leaves as many rows, all others fewer.
+    Rounds are those of ``fusion_round``, but each prototype keeps its nearest: after the first round only those search the
+    whole table that were merged, or whose nearest was; the others look among the merged ones. It ends by itself: a round
+    that merges nothing leaves as many rows, all others fewer. ``progress`` gets the sizes of every search after the first.
 
     Every round is written to the shared folder, which keeps the plan short and survives the loss of executors.
     """
-    columns = ["pid", *([by] if by else []), "features", "label", "weight"]
+    columns = _columns(by)
     df = df.select(columns)
     untouched = None
     if min_rows is not None:
@@ -127,9 +180,14 @@ def fuse(
             untouched, df = df.join(small, by, "left_semi").select(columns), df.join(small, by, "left_anti").select(columns)
         elif df.count() <= min_rows:
             return df
-    rows, rounds = None, 0
+    rows, rounds, known = None, 0, None
     while max_rounds is None or rounds < max_rounds:
-        df = cut_lineage(fusion_round(df, by, plan, limits).select(columns))
+        single = cut_lineage(_collapsed(df, by))
+        if known is None:
+            known = cut_lineage(_nearest(single, single, by, plan, limits))
+        else:
+            known = _nearest_again(known, single, by, plan, limits, progress)
+        df = cut_lineage(_merged(known, by).select(columns))
         left, rounds = df.count(), rounds + 1
         if left == rows:
             break

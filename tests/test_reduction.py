@@ -111,3 +111,35 @@ def test_strata_and_keys(spark):
     assert tuple(row.select("k", *R.split_stratum_key(F.col("k"))).first()) == (1200345, 12, 345)
     members = R.class_members(prototypes(spark, 6, 50), by="stratum")
     assert members.agg(F.sum("n")).first()[0] == 50
+
+
+@pytest.mark.parametrize("by,plan", [(None, "auto"), ("stratum", "auto"), (None, "cells")])
+def test_fusion_keeps_nearest_and_gives_the_same(spark, by, plan):
+    """Searching again only what a merge has touched gives what searching everything in every round gives."""
+    df = prototypes(spark, 7, 260, copies=60)
+    limits = R.KnnLimits(block_rows=64) if plan == "cells" else R.KnnLimits()
+    whole = df.select(R._columns(by))
+    rounds = 0
+    while True:
+        after = R.cut_lineage(R.fusion_round(whole, by).select(R._columns(by)))
+        rounds += 1
+        done, whole = after.count() == whole.count(), after
+        if done:
+            break
+    progress = []
+    got = R.fuse(df, by, plan=plan, limits=limits, progress=progress)
+    assert sorted(map(str, got.select(R._columns(by)).collect())) == sorted(map(str, whole.collect()))
+    for step in progress:  # the work follows the merges: each moves one prototype and takes the nearest from a few
+        assert step["pairs"] <= step["rows"] * 8 * max(1, step["moved"])
+        assert step["pairs"] < step["rows"] ** 2 / 2
+    assert len(progress) >= 2 and progress[-1]["pairs"] < progress[0]["pairs"]
+
+
+def test_fusion_of_a_chain_searches_little_again(spark):
+    """Gaps that double: one pair merges in a round, so all but a few prototypes keep their nearest."""
+    rows = [(i, [float(2**i)], 0, 1.0) for i in range(14)]
+    df = spark.createDataFrame(rows, "pid bigint, features array<double>, label int, weight double")
+    progress = []
+    assert R.fuse(df, progress=progress).count() == 1
+    assert len(progress) >= 6
+    assert all(step["moved"] <= 2 and step["searched"] <= 4 for step in progress)
