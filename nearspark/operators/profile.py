@@ -9,6 +9,8 @@ from nearspark.functions.vectors import draw
 from nearspark.operators.encode import attribute_values, build_dictionary
 from nearspark.operators.roles import Attributes
 
+SUMS_AT_ONCE = 64  # positions of a vector that one aggregation sums
+
 
 def profile_table(df: DataFrame, attributes: Attributes) -> DataFrame:
     """Dataset description ``(attr, name, role, value, code, n_rows)``.
@@ -94,14 +96,34 @@ def majority_label(df: DataFrame, label: str, tie_seed: int | None = None) -> Da
     return counts.agg(F.min_by(F.struct("label", "n"), F.struct(*order)).alias("top")).select("top.label", "top.n")
 
 
-def vector_sum(df: DataFrame, by: str, features: str = "features") -> DataFrame:
-    """Element-wise sum of the vectors of each group, which must have the same length."""
-    sizes = df.groupBy(F.col(by).alias("__by")).agg(F.min(F.size(features)).alias("lo"), F.max(F.size(features)).alias("hi"))
-    checked = F.when(F.col("lo") != F.col("hi"), F.raise_error(F.lit("vectors of different lengths")).cast("boolean"))
-    parts = df.select(by, F.posexplode(features).alias("pos", "v")).groupBy(by, "pos").agg(F.sum("v").alias("v"))
-    summed = parts.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("p"))  # one per dimension
-    summed = summed.join(sizes.where(F.coalesce(checked, F.lit(True))), F.col(by).eqNullSafe(F.col("__by")))
-    return summed.select(by, F.transform("p", lambda e: e["v"]).alias("vector_sum"))
+def vector_sum(df: DataFrame, by: str, features: str = "features", dims: int | None = None) -> DataFrame:
+    """Element-wise sum of the vectors of each group, which must have the same length; NULL vectors take no part.
+
+    One sum for each position, all in one aggregation that combines before the shuffle; wider vectors than
+    ``SUMS_AT_ONCE`` as several such blocks of positions. Without ``dims`` the length is read from the table first.
+    """
+    vectors = df.where(F.col(features).isNotNull()).select(F.col(by).alias("__by"), F.col(features).alias("__x"))
+    if dims is None:
+        dims = vectors.agg(F.max(F.size("__x"))).first()[0] or 0
+    blocks = -(-dims // SUMS_AT_ONCE)
+    keys, first = ["__by"], F.lit(0)
+    if blocks > 1:
+        vectors = vectors.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        keys, first = ["__by", "__block"], F.col("__block") * SUMS_AT_ONCE
+    size = F.size("__x")
+    sums = [F.sum(F.get("__x", first + i)).alias(f"__{i}") for i in range(min(dims, SUMS_AT_ONCE))]
+    found = vectors.groupBy(*keys).agg(F.min(size).alias("__lo"), F.max(size).alias("__hi"), *sums).where("__hi > 0")
+    whole = F.array(*[f"__{i}" for i in range(len(sums))]) if sums else F.array().cast("array<double>")
+    if blocks > 1:
+        part = F.struct("__block", whole.alias("sums"))
+        found = found.groupBy("__by").agg(
+            F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"), F.array_sort(F.collect_list(part)).alias("__p")
+        )
+        whole = F.slice(F.flatten(F.transform("__p", lambda e: e["sums"])), 1, dims)
+    # a group of shorter vectors than another group's: their sums end where they end
+    uneven = F.raise_error(F.lit("vectors of different lengths")).cast("array<double>")
+    summed = F.when(F.col("__lo") == F.col("__hi"), F.slice(whole, F.lit(1), F.col("__hi"))).otherwise(uneven)
+    return found.select(F.col("__by").alias(by), summed.alias("vector_sum"))
 
 
 def validate(df: DataFrame, attributes: Attributes, dictionary: DataFrame) -> None:

@@ -92,3 +92,29 @@ def test_majority_ties(spark):
     assert {R.majority_label(df, "l", tie_seed=s).first()["label"] for s in range(8)} == {"a", "b"}
     labels = spark.createDataFrame([("a",), ("z",)], "label string")
     assert {r["label"]: r["n"] for r in R.label_counts(df, "l", labels).collect()} == {"a": 2, "z": 0}
+
+
+def test_vector_sum_in_one_aggregation(spark, monkeypatch):
+    from nearspark.operators import profile
+
+    rows = [("a", [1.0, 2.0, 3.0]), ("a", [0.5, None, 1.0]), ("b", [7.0, 8.0]), ("c", None), (None, [1.0, 1.0, 1.0]), ("d", [])]
+    df = spark.createDataFrame(rows, "l string, features array<double>")
+    want = {"a": [1.5, 2.0, 4.0], "b": [7.0, 8.0], None: [1.0, 1.0, 1.0]}
+    assert {r["l"]: r["vector_sum"] for r in profile.vector_sum(df, "l").collect()} == want
+    plan = profile.vector_sum(df, "l", dims=3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Generate" not in plan and "Join" not in plan
+    monkeypatch.setattr(profile, "SUMS_AT_ONCE", 2)
+    assert {r["l"]: r["vector_sum"] for r in profile.vector_sum(df, "l").collect()} == want
+    with pytest.raises(Exception, match="different lengths"):
+        profile.vector_sum(df.union(df.where("l = 'b'").withColumn("l", F.lit("a"))), "l").collect()
+    assert profile.vector_sum(df.limit(0), "l").collect() == []
+
+
+def test_confusion_of_many_classes_is_not_listed_at_the_driver(spark):
+    from nearspark.operators.evaluate import confusion_long
+
+    predictions = spark.createDataFrame([(1, 1), (4999, 3), (None, 2), (7000, 0)], "predicted int, actual int")
+    cells = confusion_long(predictions, list(range(5000)))
+    total = cells.agg(F.count("*"), F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
+    assert tuple(total) == (5001 * 5001, 4, 4)
+    assert sorted(map(str, confusion_long(predictions, []).collect())) == ["Row(predicted=None, actual=None, n=4)"]
