@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from nearspark.catalog import tables
@@ -19,7 +20,7 @@ from nearspark.operators.rowid import with_row_id
 from nearspark.operators.sampling import random_split
 from nearspark.operators.vote import majority_vote
 from nearspark.plans.jobs import classify_1nn as score_1nn
-from nearspark.plans.jobs import classify_knn, classify_text, classify_text_1nn, instances
+from nearspark.plans.jobs import classify_knn, classify_text, classify_text_1nn, instances, run_scoring
 from nearspark.session import cut_lineage, scratch_root
 from nearspark.sources import store
 from nearspark.sources.text import parse_lines, read_header, read_lines
@@ -469,3 +470,40 @@ def predictions_by_file(spark, sf_dir):
     predictions = customer_predictions(spark, sf_dir).select("qid", "predicted")
     store.save_predictions_by_file(predictions.join(files, "qid"), path)
     return store.load_table(spark, path).select("input_file", "qid", "predicted")
+
+
+@query(CUSTOMER_PREDICTIONS_SQL + GAPS_SQL
+       + f"""SELECT code AS predicted, {", ".join(f'count(*) FILTER (actual = {i})::int AS "{i}"' for i in range(4))},
+count(*) FILTER (found AND actual IS NULL)::int AS "none", (SELECT count(*) FROM m) AS n,
+(SELECT count(*) FILTER (predicted = actual) FROM m) AS correct
+FROM l LEFT JOIN (SELECT *, true AS found FROM m) m ON predicted IS NOT DISTINCT FROM code GROUP BY code""")
+def report_files(spark, sf_dir):
+    """The report of a run, written and read back: confusion matrix and accuracy."""
+    predictions, codes = predictions_with_gaps(spark, sf_dir)
+    known = F.when(F.col("predicted").isin(codes), F.col("predicted"))
+    path = f"{scratch_root(spark)}/report-{uuid.uuid4().hex}"
+    store.save_report(predictions.withColumn("predicted", known), codes, path)
+    matrix = spark.read.csv(f"{path}/confusion", header=True, schema="predicted int, `0` int, `1` int, `2` int, `3` int, none int")
+    shares = spark.read.json(f"{path}/accuracy", schema="n bigint, correct bigint, accuracy double").first()  # one row
+    return matrix.withColumns({"n": F.lit(shares["n"]), "correct": F.lit(shares["correct"])})
+
+
+@query("WITH " + PARTS_SQL + SPLIT_SQL + near_sql(1, PLANE_DIST)
+       + """, s1 AS (SELECT id AS qid, q.label AS actual, n.label AS predicted FROM q LEFT JOIN n ON q.id = n.qid)
+SELECT 'part-' || qid % 4 AS input_file, qid, actual, predicted, (SELECT count(*) FILTER (predicted = actual) FROM s1) AS correct,
+true AS refused FROM s1""")
+def scoring_run(spark, sf_dir):
+    """A scoring job: predictions per input file and a report; a second run into the same output is refused."""
+    reduced, rows = split(parts(spark, sf_dir))
+    reduced = cut_lineage(reduced.withColumnRenamed("id", "pid"))
+    rows = rows.withColumn("input_file", F.concat(F.lit("part-"), F.col("id") % 4))
+    codes = [r["label"] for r in reduced.select("label").distinct().collect()]
+    path = f"{scratch_root(spark)}/scoring-{uuid.uuid4().hex}"
+    found = run_scoring(rows, reduced, sorted(codes), path)
+    try:
+        run_scoring(rows, reduced, sorted(codes), path)
+        refused = False
+    except AnalysisException:
+        refused = True
+    correct = spark.read.json(f"{path}/report/accuracy").first()["correct"]
+    return found.select("input_file", "qid", "actual", "predicted", F.lit(correct).alias("correct"), F.lit(refused).alias("refused"))

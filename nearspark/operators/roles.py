@@ -20,7 +20,7 @@ def expand_roles(description: str | list[str]) -> list[str]:
     for token in tokens:
         if token.lstrip("+-").isdigit():
             if repeat is not None:
-                raise ValueError("a repeat count cannot follow another repeat count")
+                raise ValueError(f"{token} directly after {repeat}: no role between two numbers")
             repeat = int(token)
             if repeat <= 0:
                 raise ValueError(f"repeat count {repeat} must be positive")

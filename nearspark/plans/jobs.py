@@ -14,7 +14,7 @@ from nearspark.operators.reduction import reduce_training
 from nearspark.operators.roles import Attributes
 from nearspark.operators.vote import majority_of
 from nearspark.session import cut_lineage
-from nearspark.sources.store import save_predictions, save_report, save_table
+from nearspark.sources.store import save_predictions, save_predictions_by_file, save_report, save_table
 from nearspark.sources.text import parse_lines
 
 
@@ -178,3 +178,16 @@ def run_classification(train: DataFrame, test: DataFrame, k: int, codes: list[in
     save_predictions(predictions, f"{output}/predictions_text")
     save_report(predictions, codes, f"{output}/report")
     return predictions
+
+
+def run_scoring(
+    test: DataFrame, reduced: DataFrame, codes: list[int], output: str, *, file_col: str = "input_file", order_col: str | None = None, **options
+) -> DataFrame:
+    """Score on a saved reduced set, write predictions per input file, confusion matrix and accuracy below ``output``, and
+    return the predictions with their file. ``order_col`` numbers the records of a file (default: the id)."""
+    carry = [file_col, *([order_col] if order_col else [])]
+    found = classify_1nn(test, reduced, carry=carry, **options).withColumnRenamed(file_col, "input_file")
+    save_predictions_by_file(found, f"{output}/predictions", order_col or "qid")
+    predictions = test.sparkSession.read.parquet(f"{output}/predictions")
+    save_report(predictions, codes, f"{output}/report")
+    return predictions

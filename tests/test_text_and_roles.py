@@ -21,7 +21,7 @@ def parsed(df):
 
 
 def test_role_descriptions():
-    assert A.expand_roles("3 N I N N 2 C L 5 I") == list("NNNINNCCLIIIII")
+    assert A.expand_roles("L 2 C N 4 I C 3 n") == list("LCCNIIIICNNN")
     assert A.expand_roles("n i l") == ["N", "I", "L"]
     for bad in ("N X L", "2 3 N", "0 N", "-1 N"):
         with pytest.raises(ValueError):
