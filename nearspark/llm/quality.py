@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nearspark.llm.words import Words, mix, sequence_hashes, slices, starts_within, text_bytes
+from nearspark.session import cut_lineage
 
 SYMBOLS = b"#*$%&|<>"
 CELL_BITS = 10
@@ -188,7 +189,7 @@ def apply_quality_rules(docs: DataFrame, prior: int = 500, by: tuple[str, str] =
     rules. The bounds (at most one row a group and rule) are joined, not collected.
     """
     by = list(by)
-    counted = count_document_parts(docs, ["doc_id", *by])
+    counted = cut_lineage(count_document_parts(docs, ["doc_id", *by]))  # texts are read once; three steps read the counts
     ratios = {r: make() for r, (make, _, _) in RULES.items()}
     bounds = thresholds(sketch(counted.where(~base_failed()), by, ratios), by, prior)
     wide = bounds.groupBy(*by).agg(
