@@ -7,13 +7,15 @@ threshold. A document that links with a set of n shingles shares at least T = ce
   size), then by hash. A document's n - T + 1 first shingles are its short lists: any partner occurs in one of them. All
   its other lists are long in this sense and are never formed over the corpus.
 * **Copies.** Documents with equal sets are one class and are searched once.
-* **Long lists.** A list that thousands of near copies share is not multiplied out. Every document is first compared
-  with one other of its lists (the smallest class there); what links is one component. Then only pairs of a list
-  that are still in different components are compared, all that share as many short lists as linked ones must: so no link
-  between components is lost.
-* **Search.** A query and a block of its candidates are one group. DivideSkip: the longest of the query's lists over
-  the block are put aside, the others are merged on a heap, and candidates that are found often enough are looked up in
-  the long lists by binary search. The exact similarity of what is left decides.
+* **Near copies.** Every class is first compared with one other of its lists (the smallest class there); what links is one
+  component. Only lists that then still hold two components are searched.
+* **Search.** The classes of those lists are dealt into blocks of bounded size, near copies together: each goes with the longest
+  of its short lists. A block is an inverted index of its classes' whole sets. A query class is sent once to every block
+  that one of its short lists reaches, so no pair of a list is ever a row. DivideSkip finds the candidates in the block: the
+  longest of the query's lists there are put aside, the others are merged on a heap, and what is found often enough is looked up
+  in the long lists by binary search. The exact similarity decides. Classes already in one component are passed over,
+  and a task returns the links that join two components, no others: so rows grow with the classes, and no link between
+  components is lost.
 
 Defined cases. NULL or empty text, or one without a word: no shingles, links with nothing, a class of its own. Fewer
 words than the shingle has: the whole sequence is the one shingle. Repeated rows, and rows with the same doc_id: equal
@@ -23,6 +25,7 @@ ids are one node. Extra columns are ignored. Shingles are 64-bit hashes.
 from __future__ import annotations
 
 import heapq
+import zlib
 from itertools import groupby
 
 import numpy as np
@@ -35,9 +38,11 @@ from nearspark.llm.graph import bitmap, components, maybe_in
 from nearspark.llm.words import U, Words, mix, sequence_hashes, slices, starts_within, text_bytes
 from nearspark.session import cut_lineage
 
-COUNTER_BITS = 18
+COUNTER_BITS = 22
+COUNTER_CHUNK = 1 << 14
 FILTER_BITS = 26
 BLOCK = 256
+BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 1 << 20
 
 
 def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -69,38 +74,72 @@ def linked(common, size_a, size_b, threshold: tuple[int, int]):
     return threshold[1] * common >= threshold[0] * (size_a + size_b - common)
 
 
-def divide_skip(
-    query: np.ndarray, sets: list[np.ndarray], threshold: tuple[int, int], mu: float = 0.01
-) -> list[int]:
-    """Which of ``sets`` link with ``query`` (sorted distinct hashes both), by T-occurrence search."""
-    sizes = np.array([len(s) for s in sets])
-    ids = np.repeat(np.arange(len(sets)), sizes)
-    values = np.concatenate(sets)
-    at = np.searchsorted(query, values)
-    at[at == len(query)] = 0
-    found = query[at] == values
-    at, ids = at[found], ids[found]
-    order = np.argsort(at, kind="stable")  # ids stay in order inside a list
-    at, ids = at[order], ids[order]
-    cut = np.searchsorted(at, np.arange(len(query) + 1))
-    lists = sorted((ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True) if b > a), key=len)
-
-    least = needed(len(query), threshold)
-    if len(lists) < least:
-        return []
-    longest = len(lists[-1])
-    aside = min(least - 1, int(least / (mu * np.log2(longest + 1) + 1)))
-    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-    merged = ((i, sum(1 for _ in same)) for i, same in groupby(heapq.merge(*(x.tolist() for x in short))))
-    kept = [(i, count) for i, count in merged if count >= least - aside]
-    if not kept:
-        return []
-    ids, counts = (np.array(x) for x in zip(*kept, strict=True))
-    for x in long:
-        place = np.searchsorted(x, ids)
-        place[place == len(x)] = 0
-        counts += x[place] == ids
-    return ids[linked(counts, len(query), sizes[ids], threshold)].tolist()
+class InvertedIndex:
+    """The lists of a block of sets (sorted distinct hashes): which of them hold each hash."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        values = np.concatenate(sets)
+        order = np.argsort(values, kind="stable")  # ids stay in order inside a list
+        self.values, self.ids = values[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def divide_skip(
+        self, query: np.ndarray, threshold: tuple[int, int], wanted: np.ndarray | None = None, mu: float = 0.01
+    ) -> list[int]:
+        """Which sets link with ``query`` by T-occurrence search; ``wanted`` marks the sets to look at."""
+        large, small = np.maximum(self.sizes, len(query)), np.minimum(self.sizes, len(query))
+        fits = threshold[1] * small >= threshold[0] * large
+        wanted = fits if wanted is None else fits & wanted
+        if not wanted.any():
+            return []
+        begin, end = (np.searchsorted(self.values, query, side) for side in ("left", "right"))
+        found = np.flatnonzero(end > begin)
+        least = needed(len(query), threshold)
+        if len(found) < least:
+            return []
+        lists = [self.ids[a:b] for a, b in zip(begin[found].tolist(), end[found].tolist(), strict=True)]
+        if not wanted.all():
+            lists = [x for x in (x[wanted[x]] for x in lists) if len(x)]
+            if len(lists) < least:
+                return []
+        lists.sort(key=len)
+        aside = min(least - 1, int(least / (mu * np.log2(len(lists[-1]) + 1) + 1)))
+        short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+        merged = ((i, sum(1 for _ in same)) for i, same in groupby(heapq.merge(*(x.tolist() for x in short))))
+        kept = [(i, count) for i, count in merged if count >= least - aside]
+        if not kept:
+            return []
+        ids, counts = (np.array(x) for x in zip(*kept, strict=True))
+        for x in long:
+            place = np.searchsorted(x, ids)
+            place[place == len(x)] = 0
+            counts += x[place] == ids
+        return ids[linked(counts, len(query), self.sizes[ids], threshold)].tolist()
+
+
+def divide_skip(query: np.ndarray, sets: list[np.ndarray], threshold: tuple[int, int]) -> list[int]:
+    """Which of ``sets`` link with ``query`` (sorted distinct hashes both)."""
+    return InvertedIndex(sets).divide_skip(query, threshold)
+
+
+def joining_links(queries: pa.Table, members: pa.Table, threshold: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links between query classes and a block's classes that join two components; later ones see earlier ones."""
+    sets = [np.frombuffer(x, U) for x in members.column("shingles").to_pylist()]
+    index, names = InvertedIndex(sets), members.column("cls").to_numpy()
+    mine, theirs = queries.column("comp").to_numpy().copy(), members.column("comp").to_numpy().copy()
+    own = queries.column("own").to_numpy(zero_copy_only=False)
+    out = []
+    for i, (q, query) in enumerate(zip(queries.column("cls").to_pylist(), queries.column("shingles").to_pylist(), strict=True)):
+        wanted = theirs != mine[i]
+        if own[i]:
+            wanted &= names > q  # the block's own classes meet each other once
+        for at in index.divide_skip(np.frombuffer(query, U), threshold, wanted):
+            joined = theirs[at]
+            if joined != mine[i]:
+                out.append((q, int(names[at])))
+                theirs[theirs == joined] = mine[i]
+                mine[mine == joined] = mine[i]
+    return out
 
 
 def near_duplicate_classes(
@@ -112,23 +151,36 @@ def near_duplicate_classes(
     slots = 1 << COUNTER_BITS
 
     def survey(batches):
-        counts, fields = np.zeros(slots, np.int64), ["doc_id", "n", "cls", "slot", "docs"]
+        counts, fields = np.zeros(slots, np.int64), ["doc_id", "n", "cls", "chunk", "docs"]
         for part in slices(batches):
             sets = shingle_sets(part.column("text"), n)
             counts += np.bincount((np.concatenate(sets) & U(slots - 1)).astype(np.int64), minlength=slots)
             size = pa.array([len(s) for s in sets], pa.int64())
-            empty = pa.nulls(len(sets), pa.int64())
             cls = pa.array([class_of(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), size, cls, empty, empty], names=fields)
-        at = np.flatnonzero(counts)
-        empty = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.array(at), pa.array(counts[at])], names=fields)
-
-    surveyed = cut_lineage(texts.mapInArrow(survey, "doc_id long, n long, cls long, slot long, docs long"))
+            none = [pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), size, cls, *none], names=fields)
+        packed = np.minimum(counts, np.iinfo(np.uint16).max).astype(np.uint16).reshape(-1, COUNTER_CHUNK)
+        used = np.flatnonzero(packed.any(axis=1))
+        none = [pa.nulls(len(used), pa.int64())] * 3
+        blobs = pa.array([zlib.compress(packed[i].tobytes(), 1) for i in used], pa.binary())
+        yield pa.RecordBatch.from_arrays([*none, pa.array(used, pa.int64()), blobs], names=fields)
+
+    def add_up(batches):
+        total = {}
+        for batch in batches:
+            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("docs").to_pylist(), strict=True):
+                counts = np.frombuffer(zlib.decompress(blob), np.uint16)
+                total[chunk] = total.get(chunk, 0) + counts.astype(np.int64)
+        blobs = [np.minimum(x, np.iinfo(np.uint32).max).astype(np.uint32).tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "docs"])
+
+    surveyed = cut_lineage(texts.mapInArrow(survey, "doc_id long, n long, cls long, chunk long, docs binary"))
     members = surveyed.where("n IS NOT NULL").select("doc_id", "n", "cls")
-    seen = surveyed.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("docs").alias("docs")).toArrow()
-    often = np.zeros(slots, np.int64)
-    often[seen.column("slot").to_numpy()] = seen.column("docs").to_numpy()
+    chunks = surveyed.where("chunk IS NOT NULL").select("chunk", "docs").repartition(64, "chunk")
+    often = np.zeros((slots // COUNTER_CHUNK, COUNTER_CHUNK), np.uint32)
+    for row in chunks.mapInArrow(add_up, "chunk long, docs binary").toArrow().to_pylist():
+        often[row["chunk"]] = np.frombuffer(row["docs"], np.uint32)
+    often = often.reshape(-1)
     often = spark.sparkContext.broadcast(often)  # of fixed size
 
     def short_lists(live):
@@ -164,8 +216,11 @@ def near_duplicate_classes(
     labels = entries.select("cls").distinct().withColumn("comp", F.col("cls"))
     for last in (False, True):
         own = entries.join(labels, "cls")
-        pairs = _all_pairs(own, threshold) if last else _one_each(own, threshold)
-        found = cut_lineage(_verify(texts, members, cut_lineage(pairs), n, threshold))
+        if last:
+            found = _search(texts, members, cut_lineage(_mixed(own)), n, threshold)
+        else:
+            found = _verify(texts, members, cut_lineage(_one_each(own, threshold)), n, threshold)
+        found = cut_lineage(found)
         links = found if links is None else cut_lineage(links.unionByName(found))
         reached = components(links).select(F.col("node").alias("cls"), F.col("component").alias("comp"))
         labels = cut_lineage(
@@ -219,23 +274,16 @@ def _one_each(entries: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     return best.select(F.col("best.q").alias("q"), "c")
 
 
-def _all_pairs(entries: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Every pair of classes in different components, of fitting sizes, that share as many short lists as they must."""
+def _mixed(entries: DataFrame) -> DataFrame:
+    """The lists that hold classes of two components."""
     mixed = entries.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    left = entries.join(mixed.select("shingle"), "shingle").select("shingle", "cls", "n", "comp")
-    right = left.select("shingle", F.col("cls").alias("c"), F.col("n").alias("m"), F.col("comp").alias("other"))
-    fits = _sizes_fit("n", "m", threshold) & (F.col("comp") < F.col("other"))
-    shared = left.join(right, "shingle").where(fits).groupBy("cls", "n", "c", "m").agg(F.count("*").alias("shared"))
-    return shared.where(F.col("shared") >= _least_shared("n", "m", threshold)).select(F.col("cls").alias("q"), "c")
+    return entries.join(mixed.select("shingle"), "shingle").select("shingle", "cls", "n", "comp")
 
 
-def _verify(texts: DataFrame, members: DataFrame, pairs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs (q, c) of classes that link, as (a, b): each query searched against blocks of its candidates."""
-    spark = texts.sparkSession
-    wanted = pairs.select(F.col("q").alias("cls")).union(pairs.select("c")).distinct()
-    reps = members.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    reps = cut_lineage(reps)
-    table = spark.sparkContext.broadcast(bitmap(reps, "doc_id", FILTER_BITS))
+def _sets(texts: DataFrame, members: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(cls, shingles) of the wanted classes, from one document of each, as a written table."""
+    reps = cut_lineage(members.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
+    table = texts.sparkSession.sparkContext.broadcast(bitmap(reps, "doc_id", FILTER_BITS))
 
     def sets(batches):
         for part in slices(batches):
@@ -252,7 +300,12 @@ def _verify(texts: DataFrame, members: DataFrame, pairs: DataFrame, n: int, thre
 
     # a class is a set, so which of its documents is read does not matter
     own = texts.mapInArrow(sets, "cls long, shingles binary").join(reps.select("cls"), "cls").dropDuplicates(["cls"])
-    own = cut_lineage(own)
+    return cut_lineage(own)
+
+
+def _verify(texts: DataFrame, members: DataFrame, pairs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (q, c) of classes that link, as (a, b): each query searched against blocks of its candidates."""
+    own = _sets(texts, members, pairs.select(F.col("q").alias("cls")).union(pairs.select("c")).distinct(), n)
     blocks = pairs.groupBy("q").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     salted = pairs.join(blocks, "q").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     candidates = salted.join(own.select(F.col("cls").alias("c"), "shingles"), "c").select("q", "block", "c", "shingles")
@@ -269,3 +322,52 @@ def _verify(texts: DataFrame, members: DataFrame, pairs: DataFrame, n: int, thre
         return pa.table({"a": pa.array([key[0].as_py()] * len(hits), pa.int64()), "b": pa.array(hits, pa.int64())})
 
     return queries.groupBy("q", "block").cogroup(candidates.groupBy("q", "block")).applyInArrow(search, "a long, b long")
+
+
+def _blocks(entries: DataFrame) -> DataFrame:
+    """(cls, comp, block): classes in blocks of bounded size, those with the same longest list together.
+
+    Lists above half a block have blocks of their own, by hash of the class; the others share blocks by hash.
+    """
+    longest = entries.groupBy("shingle").agg(F.count("*").alias("length"))
+    homes = entries.join(longest, "shingle").groupBy("cls", "n", "comp")
+    homes = cut_lineage(homes.agg(F.max(F.struct("length", "shingle"))["shingle"].alias("home")))
+    load = F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)
+    packs = max(1, int(np.ceil(2 * (homes.agg(load).first()[0] or 0))))
+    large = homes.groupBy("home").agg(F.ceil(2 * load).cast("long").alias("parts")).where("parts > 1")
+    part = F.xxhash64("home", F.pmod(F.xxhash64("cls"), "parts"))
+    pack = F.pmod(F.xxhash64("home"), F.lit(packs))
+    return homes.join(large, "home", "left").select("cls", "comp", F.when(F.col("parts") > 1, part).otherwise(pack).alias("block"))
+
+
+def _search(texts: DataFrame, members: DataFrame, entries: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
+    """Links (a, b) between components: every class searched in the blocks that its short lists reach."""
+    blocks = cut_lineage(_blocks(entries))
+    own = blocks.join(_sets(texts, members, blocks.select("cls"), n), "cls")
+    placed = entries.join(blocks.select("cls", "block"), "cls")
+    reach = placed.groupBy("shingle", F.col("block").alias("there")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    # of two blocks the classes of one are the queries, by the parity of both, so that no block has all queries
+    odd = F.xxhash64("block").bitwiseXOR(F.xxhash64("there")).bitwiseAND(F.lit(1)) == 1
+    asks = F.when(odd, F.col("block") <= F.col("there")).otherwise(F.col("block") >= F.col("there"))
+    met = placed.join(reach, "shingle").where(asks & ((F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp"))))
+    met = cut_lineage(met.select("cls", "there").distinct())
+
+    # a block is repeated for parts of its queries, each at most about a block
+    asked = met.groupBy("there").agg(F.ceil(F.count("*") / BLOCK_CLASSES).cast("int").alias("parts"))
+    asked = cut_lineage(asked)
+    queries = met.join(asked, "there").join(own, "cls").select(
+        F.col("there").alias("to"), F.pmod(F.xxhash64("cls"), "parts").cast("int").alias("part"), "cls", "comp",
+        (F.col("block") == F.col("there")).alias("own"), "shingles",
+    )
+    index = own.join(asked, F.col("block") == F.col("there")).select(
+        F.col("block").alias("to"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cls", "comp", "shingles"
+    )
+
+    index = index.select(*[F.col(c).alias(c) for c in index.columns])  # names of its own, for the cogroup
+
+    def search(key, queries, index):
+        links = joining_links(queries, index, threshold) if queries.num_rows and index.num_rows else []
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return queries.groupBy("to", "part").cogroup(index.groupBy("to", "part")).applyInArrow(search, "a long, b long")

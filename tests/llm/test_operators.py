@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from nearspark.llm import chat, fingerprint, jaccard, language, mixing, packing, quality, substrings, suffixes, toxicity
 from nearspark.llm.graph import components
 from nearspark.llm.words import Words, sequence_hashes, starts_within, text_bytes
+from nearspark.session import cut_lineage
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, score double, predicted string, cls string"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -460,6 +461,72 @@ def test_jaccard(docs, rows, none):
     assert jaccard.near_duplicate_classes(none).count() == 0
 
 
+def _near_copies(draw, n, words=80):
+    """One group of near copies, of which many pairs do not link, and texts that share one passage alone."""
+    base = [f"b{i}" for i in range(words)]
+    for _ in range(n):
+        own = list(base)
+        for _ in range(draw.randint(0, 5)):
+            own[draw.randrange(words)] = f"x{draw.randrange(10**6)}"
+        yield own
+    for i in range(n // 2):
+        yield [f"s{j}" for j in range(30)] + [f"own{i}_{j}" for j in range(20)]
+
+
+def _components(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if group[i] != group[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    return group
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_jaccard_large_group_is_searched_in_blocks(spark, monkeypatch, block):
+    texts = list(_near_copies(random.Random(8), 240))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", block)
+    rows = []
+    monkeypatch.setattr(jaccard, "cut_lineage", lambda df: rows.append(cut_lineage(df)) or rows[-1])
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicate_classes(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == _components(texts)
+    met = next(x for x in rows if x.columns == ["cls", "there"])
+    blocks = met.select("there").distinct().count()
+    assert blocks > 1 if block == 16 else blocks <= 3
+    # a class goes once to each block, not to each of the classes that share a list with it
+    assert met.count() <= len(texts) * blocks
+    links = [x for x in rows if x.columns == ["a", "b"]]
+    assert all(x.count() < len(texts) * blocks for x in links)
+
+
+def test_joining_links_returns_a_forest():
+    draw = random.Random(5)
+    sets = [np.array(sorted(draw.sample(range(40), 34)), np.uint64) for _ in range(60)]
+    own = [True] * 30 + [False] * 30
+
+    def rows(which):
+        return pa.table({"cls": pa.array(which, pa.int64()), "comp": pa.array([i // 2 for i in which], pa.int64()),
+                         "shingles": pa.array([sets[i].tobytes() for i in which], pa.binary())})
+
+    queries = rows(range(60)).append_column("own", pa.array(own))
+    got = jaccard.joining_links(queries, rows(range(30)), (80, 100))
+    edges = [(i, j) for i in range(60) for j in range(30) if i // 2 != j // 2 and (not own[i] or j > i)
+             and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+
+    def reach(pairs):
+        group = [i // 2 for i in range(60)]
+        for a, b in pairs:
+            old, new = max(group[a], group[b]), min(group[a], group[b])
+            group = [new if g == old else g for g in group]
+        return group
+
+    assert set(got) <= set(edges) and reach(got) == reach(edges)
+    assert 0 < len(got) < 30 + 15  # each joins two components
+
+
 def test_jaccard_near_copy_without_an_id(spark):
     words = [f"w{i}" for i in range(60)]
     texts = [(1, " ".join(words)), (None, " ".join([*words, "end"])), (None, " ".join([*words, "end"])), (2, "other text")]
