@@ -9,9 +9,9 @@ threshold. A document that links with a set of n shingles shares at least T = ce
 * **Copies.** Documents with equal sets are one class and are searched once.
 * **Near copies.** Every class is first compared with one other of its lists (the smallest class there); what links is one
   component. Only lists that then still hold two components are searched.
-* **Search.** The classes of those lists are dealt into blocks of bounded size, near copies together: each goes with the longest
-  of its short lists. A block is an inverted index of its classes' whole sets. A query class is sent once to every block
-  that one of its short lists reaches, so no pair of a list is ever a row. DivideSkip finds the candidates in the block: the
+* **Search.** The classes of those lists are dealt into blocks of bounded size and sets of like size, near copies together: each
+  goes with the longest of its short lists. A block is an inverted index of its classes' whole sets. A query class is sent
+  once to every block with which it shares as many short lists as linked sets must, so no pair of a list is ever a row. DivideSkip finds the candidates in the block: the
   longest of the query's lists there are put aside, the others are merged on a heap, and what is found often enough is looked up
   in the long lists by binary search. The exact similarity decides. Classes already in one component are passed over,
   and a task returns the links that join two components, no others: so rows grow with the classes, and no link between
@@ -43,6 +43,7 @@ COUNTER_CHUNK = 1 << 14
 FILTER_BITS = 26
 BLOCK = 256
 BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 1 << 20
+SIZE_STEP = 1.05
 
 
 def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -325,32 +326,60 @@ def _verify(texts: DataFrame, members: DataFrame, pairs: DataFrame, n: int, thre
 
 
 def _blocks(entries: DataFrame) -> DataFrame:
-    """(cls, comp, block): classes in blocks of bounded size, those with the same longest list together.
+    """(cls, n, comp, block): classes in blocks of bounded size and of sets within 5 % in size, near copies together.
 
-    Lists above half a block have blocks of their own, by hash of the class; the others share blocks by hash.
+    Classes of a size with the same longest list share a block; more than half a block of them have blocks of their own, by
+    hash of the class. The others share the blocks of their size by hash.
     """
     longest = entries.groupBy("shingle").agg(F.count("*").alias("length"))
     homes = entries.join(longest, "shingle").groupBy("cls", "n", "comp")
-    homes = cut_lineage(homes.agg(F.max(F.struct("length", "shingle"))["shingle"].alias("home")))
+    homes = homes.agg(F.max(F.struct("length", "shingle"))["shingle"].alias("home"))
+    homes = cut_lineage(homes.withColumn("size", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP)))))
     load = F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)
-    packs = max(1, int(np.ceil(2 * (homes.agg(load).first()[0] or 0))))
-    large = homes.groupBy("home").agg(F.ceil(2 * load).cast("long").alias("parts")).where("parts > 1")
-    part = F.xxhash64("home", F.pmod(F.xxhash64("cls"), "parts"))
-    pack = F.pmod(F.xxhash64("home"), F.lit(packs))
-    return homes.join(large, "home", "left").select("cls", "comp", F.when(F.col("parts") > 1, part).otherwise(pack).alias("block"))
+    halves = F.ceil(2 * load).cast("long")
+    packs = homes.groupBy("size").agg(halves.alias("packs"))  # some hundred sizes at most
+    large = homes.groupBy("size", "home").agg(halves.alias("parts")).where("parts > 1")
+    part = F.xxhash64("size", "home", F.pmod(F.xxhash64("cls"), "parts"))
+    pack = F.xxhash64("size", F.pmod(F.xxhash64("home"), "packs"))
+    placed = homes.join(packs, "size").join(large, ["size", "home"], "left")
+    return placed.select("cls", "n", "comp", F.when(F.col("parts") > 1, part).otherwise(pack).alias("block"))
+
+
+def _meetings(entries: DataFrame, blocks: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(cls, block, there): the blocks in which a class shares as many short lists as it must with a link's other end.
+
+    A link is seen from both ends, so what only one end asks for is left out.
+    """
+    hit, whole = threshold
+    placed = entries.select("shingle", "cls").join(blocks, "cls")
+    reach = placed.groupBy("shingle", F.col("block").alias("there")).agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most")
+    )
+    fits = (whole * F.col("most") >= hit * F.col("n")) & (whole * F.col("n") >= hit * F.col("least"))
+    other = (F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp"))
+    met = placed.join(reach, "shingle").where(fits & other).groupBy("cls", "n", "block", "there").agg(
+        F.count("*").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most")
+    )
+    # between the smallest and the largest size that fits, the lists needed are fewest at one of the ends; beyond n both
+    # terms are rounded up and fall at different sizes, so one less may do just before the upper end
+    met = met.withColumn("least", F.expr(f"greatest(least, ({hit} * n + {whole - 1}) div {whole})"))
+    met = met.withColumn("most", F.expr(f"least(most, {whole} * n div {hit})"))
+    enough = F.least(_least_shared("n", "least", threshold), _least_shared("n", "most", threshold) - 1)
+    met = cut_lineage(met.where(F.col("shared") >= enough).select("cls", "block", "there"))
+    back = met.select(F.col("there").alias("block"), F.col("block").alias("there")).distinct()
+    return met.join(back, ["block", "there"], "left_semi").select("cls", "block", "there")
 
 
 def _search(texts: DataFrame, members: DataFrame, entries: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     """Links (a, b) between components: every class searched in the blocks that its short lists reach."""
     blocks = cut_lineage(_blocks(entries))
-    own = blocks.join(_sets(texts, members, blocks.select("cls"), n), "cls")
-    placed = entries.join(blocks.select("cls", "block"), "cls")
-    reach = placed.groupBy("shingle", F.col("block").alias("there")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    both = cut_lineage(_meetings(entries, blocks, threshold))
+    used = both.select("cls").distinct()
+    own = blocks.join(_sets(texts, members, used, n), "cls").select("cls", "comp", "block", "shingles")
     # of two blocks the classes of one are the queries, by the parity of both, so that no block has all queries
     odd = F.xxhash64("block").bitwiseXOR(F.xxhash64("there")).bitwiseAND(F.lit(1)) == 1
     asks = F.when(odd, F.col("block") <= F.col("there")).otherwise(F.col("block") >= F.col("there"))
-    met = placed.join(reach, "shingle").where(asks & ((F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp"))))
-    met = cut_lineage(met.select("cls", "there").distinct())
+    met = both.where(asks).select("cls", "there")
 
     # a block is repeated for parts of its queries, each at most about a block
     asked = met.groupBy("there").agg(F.ceil(F.count("*") / BLOCK_CLASSES).cast("int").alias("parts"))
