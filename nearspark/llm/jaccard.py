@@ -11,11 +11,11 @@ threshold. A document that links with a set of n shingles shares at least T = ce
   component. Only lists that then still hold two components are searched.
 * **Search.** The classes of those lists are dealt into blocks of bounded size and sets of like size, near copies together: each
   goes with the longest of its short lists. A block is an inverted index of its classes' whole sets. A query class is sent
-  once to every block with which it shares as many short lists as linked sets must, so no pair of a list is ever a row. DivideSkip finds the candidates in the block: the
-  longest of the query's lists there are put aside, the others are merged on a heap, and what is found often enough is looked up
-  in the long lists by binary search. The exact similarity decides. Classes already in one component are passed over,
-  and a task returns the links that join two components, no others: so rows grow with the classes, and no link between
-  components is lost.
+  once to every block with which it shares as many short lists as linked sets must, so no pair of a list is ever a row.
+  DivideSkip finds the candidates in the block: the longest of the query's lists there are put aside, the others are merged on
+  a heap, and what is found often enough is looked up in the long lists by binary search. The exact similarity decides.
+  Classes already in one component are passed over, and a task returns the links that join two components, no others: so
+  no link between components is lost.
 
 Defined cases. NULL or empty text, or one without a word: no shingles, links with nothing, a class of its own. Fewer
 words than the shingle has: the whole sequence is the one shingle. Repeated rows, and rows with the same doc_id: equal
