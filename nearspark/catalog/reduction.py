@@ -23,7 +23,7 @@ from nearspark.catalog.registry import query, sql_draw, table
 from nearspark.functions.vectors import features_of
 from nearspark.operators import reduction as R
 from nearspark.plans.jobs import classify_1nn, reduce_then_classify
-from nearspark.session import scratch_root
+from nearspark.session import cut_lineage, scratch_root
 from nearspark.sources import store
 
 # Parts with five size classes, a tenth of them mislabelled: the case that editing is made for.
@@ -177,6 +177,37 @@ def fusion_strata(spark, sf_dir):
     return shown(R.fuse(signal(spark, sf_dir), by="stratum", max_rounds=1, min_rows=R.FUSION_MIN_ROWS))
 
 
+def associates_sql(rows: str, where: str, keys: str) -> str:
+    """CTE ``left_over``: one round of taking out what no other row of ``rows`` needs."""
+    place = f"{{'s': -same, 'd': {sql_draw(R.RT2_SEED, 'pid')}, 'p': pid}}"
+    return (
+        near_sql(4, PLANE_DIST, where, rows, rows, "l")
+        + f""", c AS (SELECT a.id AS pid, count(*) FILTER (l.label = a.label AND l.rank <= 3) AS now,
+count(*) FILTER (l.label = a.label) AS same FROM {rows} a LEFT JOIN l ON l.qid = a.id GROUP BY a.id),
+loss AS (SELECT l.tid AS pid, sum((now >= 2)::int - (same - (l.label = a.label)::int >= 2)::int) AS loss
+FROM l JOIN c ON c.pid = l.qid JOIN {rows} a ON a.id = l.qid WHERE l.rank <= 3 GROUP BY l.tid),
+able AS (SELECT pid, {place} AS place FROM c LEFT JOIN loss USING (pid) WHERE coalesce(loss, 0) <= 0 AND pid NOT IN
+(SELECT id FROM {rows} QUALIFY row_number() OVER (PARTITION BY {keys} label ORDER BY id) <= 3)),
+holds AS (SELECT qid, pid, place = min(place) OVER (PARTITION BY qid) AS is_first FROM l JOIN able ON pid = tid),
+left_over AS (SELECT * FROM {rows} WHERE id NOT IN
+(SELECT pid FROM able WHERE pid NOT IN (SELECT pid FROM holds WHERE NOT is_first))) """
+    )
+
+
+@query(SIGNAL_SQL + V0V + fused_sql("q.id <> t.id", "") + associates_sql("fused", "q.id <> t.id", "")
+       + SHOWN_SQL.format(w="w", t="left_over"))
+def reduce_rt2(spark, sf_dir):
+    """A round of fusion, then a round of taking out prototypes that no other needs."""
+    fused = cut_lineage(R.fusion_round(signal(spark, sf_dir)))
+    return shown(R.edit_associates(fused, max_rounds=1))
+
+
+@query(SIGNAL_SQL + associates_sql("v", "q.id <> t.id AND q.stratum = t.stratum", "stratum,")
+       + SHOWN_SQL.format(w="1.0::double", t="left_over"))
+def reduce_rt2_strata(spark, sf_dir):
+    return shown(R.edit_associates(cut_lineage(signal(spark, sf_dir)), by="stratum", max_rounds=1))
+
+
 @query(SIGNAL_SQL + SHOWN_SQL.format(w="1.0::double", t="v"))
 def reduce_join_only(spark, sf_dir):
     return shown(R.reduce_training(signal(spark, sf_dir), "join", by="stratum"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from nearspark.functions.vectors import draw
 from nearspark.operators.knn import KnnLimits, nearest_lists
@@ -16,7 +17,8 @@ STRATUM_BASE = 100_000  # fixed value: a stratum key is partition * 100000 + num
 ENN_NEIGHBORS = 3  # fixed value
 ENN_MIN_SAME = 2  # fixed value: half of the neighbours, rounded down, plus one
 FUSION_MIN_ROWS = 15  # fixed value: only strata with more prototypes are fused
-METHODS = ("join", "enn", "fusion")
+RT2_SEED = 42
+METHODS = ("join", "enn", "fusion", "fusion_rt2")
 
 
 def stratify(df: DataFrame, id_col: str, strata: int, seed: int, name: str = "stratum") -> DataFrame:
@@ -195,6 +197,86 @@ def fuse(
     return df if untouched is None else union_reduced(untouched, df)
 
 
+def edit_associates(
+    df: DataFrame,
+    by: str | None = None,
+    max_rounds: int | None = None,
+    plan: str = "auto",
+    limits: KnnLimits = KnnLimits(),
+    progress: list | None = None,
+) -> DataFrame:
+    """Take out the prototypes that no other needs, in rounds, until a round takes out none.
+
+    All prototypes of ``df``, those already taken out too, are looked up among the ones left: a prototype is right if at
+    least 2 of its 3 nearest others share its class. The associates of p are those that have p among these 3. p can go if
+    no fewer of them are right without it, when their fourth neighbour moves up. The three lowest ids of a class (in the
+    stratum, with ``by``) always stay.
+
+    A round takes out an independent set, in a written order: most neighbours of its own class among its four first, then by
+    the hash draw of the id, then by id. Of those that can go, p goes if it comes first in every list of four that holds it.
+    So no list loses two members in a round, every decision of the round holds for all of them together, and the number of
+    prototypes of ``df`` that are right never falls. A round that takes out none has no prototype that can go.
+
+    Only lists that lost a member are searched again. Reverse lists are sums over (prototype, neighbour) rows, four a
+    prototype; no reverse list is gathered, so one that is near to everything costs a partial sum a task. ``progress`` gets
+    how many of a round were left, searched and taken out. Keeps the columns of ``df``.
+    """
+    keys = [by] if by else []
+    lowest = Window.partitionBy(*keys, "label").orderBy("pid")
+    guarded = df.select("pid", *keys, "label").withColumn("place", F.row_number().over(lowest))
+    guarded = cut_lineage(guarded.where(F.col("place") <= ENN_NEIGHBORS).select("pid", F.lit(True).alias("guarded")))
+    everyone = df.select("pid", "features", "label", *keys)
+
+    def look_up(queries: DataFrame, kept: DataFrame) -> DataFrame:
+        found = nearest_lists(
+            queries, kept, ENN_NEIGHBORS + 1, qid="pid", tid="pid", label="label", by=by, exclude_self=True, carry=["label"],
+            plan=plan, limits=limits,
+        )
+        near = F.transform("neighbors", lambda e: F.struct(e["tid"].alias("tid"), (e["label"] == F.col("label")).alias("same")))
+        return found.select(F.col("qid").alias("pid"), "label", near.alias("near"))
+
+    kept, lists, rounds, searched = df, cut_lineage(look_up(everyone, everyone)), 0, None
+    while max_rounds is None or rounds < max_rounds:
+        gone, hit = _independent(lists, kept, guarded)
+        taken, rounds = gone.count(), rounds + 1
+        if progress is not None:
+            progress.append({"kept": kept.count(), "searched": searched, "taken": taken})
+        if taken == 0:
+            break
+        kept = cut_lineage(kept.join(gone, "pid", "left_anti").select(df.columns))
+        if rounds == max_rounds:
+            break
+        again = cut_lineage(everyone.join(hit, "pid", "left_semi"))
+        searched = again.count() if progress is not None else None
+        found = look_up(again, kept.select("pid", "features", "label", *keys))
+        lists = cut_lineage(lists.join(hit, "pid", "left_anti").unionByName(found))
+    return kept
+
+
+def _independent(lists: DataFrame, kept: DataFrame, guarded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round on ``(pid, label, near)``: the prototypes that go, ``(pid)``, and those whose lists hold one, ``(pid)``."""
+    count = lambda a: F.size(F.filter(a, lambda e: e["same"]))
+    counted = lists.select(
+        "pid", "near", count(F.slice("near", 1, ENN_NEIGHBORS)).alias("now"), count(F.col("near")).alias("same")
+    )
+    seen = counted.select("pid", "now", "same", F.posexplode("near").alias("at", "e"))
+    right = (F.col("now") >= ENN_MIN_SAME).cast("int")
+    without = (F.col("same") - F.col("e")["same"].cast("int") >= ENN_MIN_SAME).cast("int")
+    losses = seen.where(F.col("at") < ENN_NEIGHBORS).groupBy(F.col("e")["tid"].alias("pid"))
+    losses = losses.agg(F.sum(right - without).alias("loss"))
+    order = F.struct((-F.col("same")).alias("s"), draw(RT2_SEED, "pid").alias("d"), F.col("pid").alias("p"))
+    able = counted.select("pid", "same").join(kept.select("pid"), "pid", "left_semi")
+    able = able.join(guarded, "pid", "left_anti").join(losses, "pid", "left").where("coalesce(loss, 0) <= 0")
+    able = cut_lineage(able.select("pid", order.alias("place")))
+
+    holds = seen.select(F.col("pid").alias("holder"), F.col("e")["tid"].alias("pid")).join(able, "pid")
+    first = F.min("place").over(Window.partitionBy("holder"))  # four rows at most
+    holds = cut_lineage(holds.withColumn("first", first).select("holder", "pid", (F.col("place") == F.col("first")).alias("first")))
+    gone = cut_lineage(able.select("pid").join(holds.where("NOT first"), "pid", "left_anti"))
+    hit = cut_lineage(holds.join(gone, "pid", "left_semi").select(F.col("holder").alias("pid")).distinct())
+    return gone, hit
+
+
 def union_reduced(*parts: DataFrame) -> DataFrame:
     """All prototypes of several reduced sets, copies included."""
     out = parts[0]
@@ -212,11 +294,13 @@ def reduce_training(
     plan: str = "auto",
     limits: KnnLimits = KnnLimits(),
 ) -> DataFrame:
-    """Reduce per stratum (``by``) or over the union: ``join`` keeps everything, ``enn`` edits, ``fusion`` merges."""
+    """Reduce per stratum (``by``) or over the union: ``join`` keeps everything, ``enn`` edits, ``fusion`` merges,
+    ``fusion_rt2`` merges and then takes out what no other needs."""
     if method == "join":
         return df
     if method == "enn":
         return edit_nearest(df, by, guarded, plan=plan, limits=limits)
-    if method == "fusion":
-        return fuse(df, by, max_rounds, FUSION_MIN_ROWS if by else None, plan, limits)
+    if method in ("fusion", "fusion_rt2"):
+        fused = fuse(df, by, max_rounds, FUSION_MIN_ROWS if by else None, plan, limits)
+        return fused if method == "fusion" else edit_associates(cut_lineage(fused), by, plan=plan, limits=limits)
     raise ValueError(f"unknown method {method!r}, expected one of {METHODS}")

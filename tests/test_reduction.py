@@ -1,5 +1,7 @@
 """Reduction against plain Python loops, and the invariants of fusion."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -143,3 +145,88 @@ def test_fusion_of_a_chain_searches_little_again(spark):
     assert R.fuse(df, progress=progress).count() == 1
     assert len(progress) >= 6
     assert all(step["moved"] <= 2 and step["searched"] <= 4 for step in progress)
+
+
+def looked_up(rows, kept, by):
+    """For each row, its four nearest others among ``kept`` as (id, same class)."""
+    lists = {}
+    for pid, f, label, _, s in rows:
+        inside = [r for r in rows if r[0] in kept and r[0] != pid and (not by or r[4] == s)]
+        near = sorted((sum((a - b) ** 2 for a, b in zip(f, r[1])), r[0], r[2]) for r in inside)[:4]
+        lists[pid] = [(i, c == label) for _, i, c in near]
+    return lists
+
+
+def is_right(near):
+    return sum(same for _, same in near[:3]) >= 2
+
+
+def needed_only(rows, by, max_rounds=None):
+    """Rounds of taking out, row by row; also how many rows were right before each round."""
+    classes = {}
+    for pid, _, label, _, s in rows:
+        classes.setdefault((s if by else None, label), []).append(pid)
+    guarded = {i for ids in classes.values() for i in sorted(ids)[:3]}
+    kept, right, rounds = {r[0] for r in rows}, [], 0
+    while max_rounds is None or rounds < max_rounds:
+        lists, rounds = looked_up(rows, kept, by), rounds + 1
+        right.append(sum(map(is_right, lists.values())))
+        able = {}
+        for p in kept - guarded:
+            associates = [near for near in lists.values() if p in [i for i, _ in near[:3]]]
+            before = sum(map(is_right, associates))
+            after = sum(is_right([e for e in near if e[0] != p]) for near in associates)
+            if after >= before:
+                digest = hashlib.md5(f"{R.RT2_SEED}:{p}".encode()).hexdigest()
+                able[p] = (-sum(same for _, same in lists[p]), int(digest[:15], 16), p)
+        beaten = set()
+        for near in lists.values():
+            held = sorted(able[i] for i, _ in near if i in able)
+            beaten |= {place[2] for place in held[1:]}
+        if not able.keys() - beaten:
+            break
+        kept -= able.keys() - beaten
+    return kept, right
+
+
+def test_taking_out_matches_a_plain_loop(spark):
+    df = prototypes(spark, 5, 60, copies=15)
+    rows, progress = [tuple(r) for r in df.collect()], []
+    got = {r["pid"] for r in R.edit_associates(df, "stratum", progress=progress).collect()}
+    kept, right = needed_only(rows, "stratum")
+    assert got == kept
+    assert right == sorted(right)  # the number of right rows never falls
+    assert progress[-1]["taken"] == 0 and len(progress) == len(right)
+    assert progress[-1]["searched"] < len(rows)
+
+
+@pytest.mark.parametrize("by", [None, "stratum"])
+def test_taking_out_in_cells_matches_a_plain_loop(spark, by):
+    df = prototypes(spark, 9, 300, copies=100)
+    got = R.edit_associates(df, by, max_rounds=2, plan="cells", limits=SMALL)
+    assert {r["pid"] for r in got.collect()} == needed_only([tuple(r) for r in df.collect()], by, 2)[0]
+
+
+def test_taking_out_empties_the_inside_of_classes(spark):
+    rng = np.random.default_rng(6)
+    x = rng.uniform(0, 10, size=(240, 2))
+    rows = [(i, [float(a), float(b)], int(a > 5), 1.0) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "pid bigint, features array<double>, label int, weight double")
+    kept = R.edit_associates(df, max_rounds=2)
+    assert kept.columns == df.columns and kept.count() < 220
+    assert {r["pid"] for r in kept.collect()} == needed_only([(*r, 0) for r in rows], None, 2)[0]
+
+
+def test_taking_out_of_small_and_empty_tables(spark):
+    df = prototypes(spark, 7, 60, strata=1)
+    assert R.edit_associates(df.limit(0)).count() == 0
+    few = df.where("label = 0").orderBy("pid").limit(3)
+    assert sorted(few.collect()) == sorted(R.edit_associates(few).collect())
+
+
+def test_fusion_and_taking_out(spark):
+    df = prototypes(spark, 8, 30)
+    fused = R.fuse(df.drop("stratum"))
+    got = R.reduce_training(df.drop("stratum"), "fusion_rt2")
+    rows = [(*tuple(r), 0) for r in fused.select("pid", "features", "label", "weight").collect()]
+    assert {r["pid"] for r in got.collect()} == needed_only(rows, None)[0]
