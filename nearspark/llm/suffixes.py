@@ -27,13 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nearspark.llm.graph import bitmap, maybe_in
-from nearspark.llm.words import U, Words, minimisers, sequence_hashes, slices, starts_within, text_bytes
+from nearspark.llm.words import U, Words, minimisers, offsets_of, sequence_hashes, slices, starts_within, text_bytes
 from nearspark.session import cut_lineage
 
 MIN_WORDS, MATCH, ANCHOR = 50, 25, 8
 LEFT = MIN_WORDS - MATCH
 FILTER_BITS = 26
 ROWS_PER_RANGE = 40_000
+LINK_ROWS = 4_096
 LAST = 2**63 - 1
 
 
@@ -106,8 +107,23 @@ def _reach(r: list[int], s: list[int], doc: list[int], after: bool) -> list[tupl
     return out
 
 
-def _links(right: list[bytes], left: list[bytes]) -> tuple[list[int], list[int]]:
-    return tuple([0, *common_words(x[:-1], x[1:]).tolist()] for x in (right, left))
+def _links(column: pa.Array) -> list[int]:
+    """Leading words that each row of a binary column has in common with the row before it (0 for the first).
+
+    Rows are compared as one matrix of words, ``LINK_ROWS`` at a time, and none becomes a Python object.
+    """
+    out = [0]
+    ends, data = offsets_of(column).astype(np.int64), column.buffers()[2]
+    data = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)
+    for a in range(0, len(column) - 1, LINK_ROWS):
+        at = ends[a : min(len(column), a + LINK_ROWS + 1) + 1]
+        sizes = np.diff(at) // 4
+        words = np.zeros((len(sizes), max(1, int(sizes.max()))), "<u4")
+        held = np.arange(words.shape[1]) < sizes[:, None]
+        words[held] = np.frombuffer(data[at[0] : at[-1]].tobytes(), "<u4")
+        same = (words[1:] == words[:-1]) & held[1:] & held[:-1]
+        out += np.where(same.all(axis=1), words.shape[1], (~same).argmax(axis=1)).tolist()
+    return out
 
 
 def _through(r: list[int], s: list[int]) -> list[tuple[int, int]]:
@@ -134,9 +150,12 @@ def _compare_range(batches):
     if not batches:
         return
     table = pa.Table.from_batches(batches)
-    right, left, doc, at = (table.column(c).to_pylist() for c in ("right", "left", "doc", "at"))
+    del batches
+    table = table.combine_chunks()
+    right, left = (table.column(c).chunk(0) for c in ("right", "left"))
+    doc, at = (table.column(c).to_pylist() for c in ("doc", "at"))
     n, part = len(doc), TaskContext.get().partitionId()
-    r, s = _links(right, left)
+    r, s = _links(right), _links(left)
     before, after = _reach(r, s, doc, False), _reach(r, s, doc, True)
     head = next((i for i in range(n) if doc[i] != doc[0]), n)
     tail = next((i + 1 for i in range(n - 1, -1, -1) if doc[i] != doc[-1]), 0)
@@ -158,8 +177,8 @@ def _compare_range(batches):
         pa.array([doc[x[1]] for x in rows], pa.int64()), pa.array([at[x[1]] for x in rows], pa.int64()),
         pa.array([x[2] for x in rows], pa.int32()), pa.array([x[3] for x in rows], pa.int32()),
         pa.array([x[4] for x in rows], pa.int64()),
-        pa.array([right[x[1]] if x[0] in ends else b"" for x in rows], pa.binary()),
-        pa.array([left[x[1]] if x[0] in ends else b"" for x in rows], pa.binary()),
+        pa.array([right[x[1]].as_py() if x[0] in ends else b"" for x in rows], pa.binary()),
+        pa.array([left[x[1]].as_py() if x[0] in ends else b"" for x in rows], pa.binary()),
     ]
     yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _FOUND.split(", ")])
 

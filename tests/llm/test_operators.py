@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -177,6 +178,28 @@ def test_suffixes(docs, rows, none, monkeypatch, per_range):
     assert suffixes.repeated_passages(none).count() == 0
 
 
+def test_ranges_and_word_hashes_take_little_memory():
+    """op3: a range's rows are compared as numbers, and words are hashed a part at a time."""
+    draw = np.random.default_rng(3)
+
+    def peak(work):
+        tracemalloc.start()
+        out = work()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most
+
+    column = [draw.integers(0, 2, draw.integers(0, 51)).astype(">u4").tobytes() for _ in range(40_000)]
+    column[-3:] = [b"", b"", column[0]]
+    links, most = peak(lambda: suffixes._links(pa.array(column, pa.binary())))
+    assert links == [0, *suffixes.common_words(column[:-1], column[1:]).tolist()]
+    assert most < 12 << 20
+    assert suffixes._links(pa.array(column[5:9], pa.binary()).slice(2)) == [0, *suffixes.common_words(column[7:8], column[8:9]).tolist()]
+    words = Words(*text_bytes(pa.array(["some words of a text " * 100_000])))
+    hashes, most = peak(words.hashes)
+    assert len(np.unique(hashes)) == 5 and most < 24 << 20
+
+
 def test_suffixes_that_one_document_repeats_over_whole_ranges(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "ROWS_PER_RANGE", 50)
     texts = [(1, "x " * 300), (2, "x " * 400), (3, "y " * 90)]
