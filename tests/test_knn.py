@@ -280,6 +280,24 @@ def test_pivots_leave_out_pairs_and_bound_repeats(spark):
     assert visits <= 4000 * 2 * report["blocks"] ** 0.5  # a query is sent to about a root of the blocks
 
 
+def test_pivots_send_a_query_once_to_a_place(spark, monkeypatch):
+    """What moves grows with the places, not with the blocks, and blocks above a place are split."""
+    from nearspark.operators import grid
+    from nearspark.operators.knn import _Job
+
+    rng = np.random.default_rng(26)
+    x = rng.normal(size=(600, 24))  # no structure: nearly every block is visited
+    x[:150] = np.sign(x[:150])  # one ring
+    t = make(spark, x, range(600), [0] * 600)
+    job = _Job(t, t, 3, "id", "id", "features", "label", None, True, [], "pivots", KnnLimits(block_rows=8))
+    assert len((plan := grid.PivotGrid(job)).sizes) > 60
+    assert all(visits.count() <= 600 for visits, _ in plan.rounds())
+    want = brute(rows(t), rows(t), 3, True)
+    monkeypatch.setattr(grid, "GROUP_BYTES", 8 * 26 * 40)
+    assert result(join(t, t, 3, "pivots", exclude_self=True, limits=KnnLimits(block_rows=8))) == want
+    assert result(join(t, t, 3, "pivots", exclude_self=True, limits=KnnLimits(block_rows=100, pivots=1))) == want
+
+
 def test_auto_takes_pivots_for_wide_vectors(spark):
     from nearspark.operators.knn import _Job
 
