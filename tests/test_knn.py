@@ -232,6 +232,20 @@ def test_lists_of_small_strata_need_no_merge(spark):
         assert result(found) == brute(rows(t), rows(t), 3, exclude_self=True, by=True)
 
 
+def test_tables_in_a_task_are_large_where_rows_are_small(spark):
+    """Queries of few dimensions are searched in large tables, whose size counts their lists as well."""
+    from nearspark.operators.knn import _Job
+
+    def at_once(dims, k):
+        t = make(spark, *sample(34, 20, dims)[:3])
+        return _Job(t, t, k, "id", "id", "features", "label", None, False, [], "broadcast_train", KnnLimits()).rows_at_once()
+
+    assert at_once(4, 1) > 200_000
+    assert at_once(64, 1) <= 50_000
+    for dims, k in ((4, 1), (4, 500), (64, 500)):
+        assert 8 * at_once(dims, k) * (dims + 2 + 3 * k) <= KnnLimits().block_bytes
+
+
 # ---- pivots ----------------------------------------------------------------------------------------------------
 
 
