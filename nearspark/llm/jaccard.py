@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearspark.llm.graph import bitmap, components, maybe_in
-from nearspark.llm.words import U, Words, mix, sequence_hashes, slices, starts_within, text_bytes
+from nearspark.llm.words import U, Words, give_back, mix, sequence_hashes, slices, starts_within, text_bytes
 from nearspark.session import cut_lineage
 
 COUNTER_BITS = 22
@@ -397,6 +397,7 @@ def _search(texts: DataFrame, members: DataFrame, entries: DataFrame, n: int, th
     def search(key, queries, index):
         links = joining_links(queries, index, threshold) if queries.num_rows and index.num_rows else []
         a, b = zip(*links, strict=True) if links else ((), ())
+        give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return queries.groupBy("to", "part").cogroup(index.groupBy("to", "part")).applyInArrow(search, "a long, b long")

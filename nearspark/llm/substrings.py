@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearspark.llm.graph import bitmap, maybe_in
-from nearspark.llm.words import U, Words, mix, rolling, sequence_hashes, slices, starts_within, text_bytes
+from nearspark.llm.words import U, Words, give_back, mix, rolling, sequence_hashes, slices, starts_within, text_bytes
 from nearspark.session import cut_lineage
 
 ANCHOR = 5
@@ -159,7 +159,7 @@ def locate(rows: DataFrame, live: DataFrame, recurring: DataFrame, n: int) -> Da
                 names=["shard", "salt", "window", "low"],
             )
 
-    def search(key, stretches, phrases):
+    def found_in(stretches, phrases):
         import ahocorasick
 
         hits = {"doc": [], "text_id": [], "hits": []}
@@ -216,6 +216,11 @@ def locate(rows: DataFrame, live: DataFrame, recurring: DataFrame, n: int) -> Da
             names=list(hits),
         )
 
+    def search(key, stretches, phrases):
+        hits = found_in(stretches, phrases)
+        give_back()
+        return hits
+
     kind = "shard long, salt long, doc long, text_id long, at long, ids binary, windows binary"
     left = rows.mapInArrow(stretches, kind).groupBy("shard", "salt")
     right = recurring.mapInArrow(phrases, "shard long, salt long, window long, low long").groupBy("shard", "salt")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from nearspark.llm import chat, fingerprint, jaccard, language, mixing, packing, quality, substrings, suffixes, toxicity
 from nearspark.llm.graph import components
-from nearspark.llm.words import Words, sequence_hashes, starts_within, text_bytes
+from nearspark.llm.words import Words, sequence_hashes, slices, starts_within, text_bytes
 from nearspark.session import cut_lineage
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, score double, predicted string, cls string"
@@ -672,3 +672,20 @@ def test_substring_extra_columns_of_any_name(spark, rows):
     got = substrings.remove_repeats(more)
     assert got.columns == ["doc_id", "text", *"abcz", "__n_words", "__n_removed"]
     assert sorted(map(str, got.drop(*"abcz").collect())) == sorted(map(str, substrings.remove_repeats(plain).collect()))
+
+
+def test_slices_give_back_what_was_freed():
+    def resident():
+        import os
+
+        return int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b c"] * 10)], names=["text"])
+    list(slices([batch]))
+    pieces = [bytes([1]) * 10_000 for _ in range(20_000)]
+    kept = pieces[::100]  # what stays lies between, so the freed pieces are no tail of the heap
+    del pieces
+    before = resident()
+    assert [p.num_rows for p in slices([batch])] == [10]
+    assert before - resident() > 100 << 20
+    assert len(kept) == 200
