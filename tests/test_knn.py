@@ -336,3 +336,60 @@ def test_lower_bounds_never_exceed_distances():
         true = np.stack([squared_sum(x - y) for y in x], axis=1)
         assert (bound <= true).all()
         assert len(np.unique(pivots, axis=0)) == 6
+
+
+@pytest.mark.parametrize("skip_self", [False, True])
+@pytest.mark.parametrize("grid", [False, True])
+def test_strips_find_what_all_pairs_hold(skip_self, grid):
+    from nearspark.operators.kernel import build_shelf, find_nearest
+
+    rng = np.random.default_rng(5)
+    for n, dims, k in [(1, 2, 1), (20, 1, 3), (700, 3, 4), (5_000, 4, 9), (900, 2, 40)]:
+        t = rng.normal(size=(n, dims)) * [1000.0, 1.0, 0.1, 0.1][:dims]
+        t = np.round(t) if grid else t
+        t[: n // 5] = t[0]  # copies: more of them than a strip holds
+        q = np.concatenate([t[:150], rng.normal(size=(50, dims)) * 500])
+        ids, qids = rng.permutation(n), np.concatenate([np.arange(min(n, 150)), 10_000 + np.arange(50)])
+        got = find_nearest(q, qids, build_shelf(t, ids, ids % 3), k, skip_self)
+        for i in range(len(q)):
+            d = np.zeros(n)
+            for j in range(dims):
+                d += (q[i, j] - t[:, j]) * (q[i, j] - t[:, j])
+            order = [a for a in np.lexsort((ids, d)) if not (skip_self and ids[a] == qids[i])][:k]
+            assert got.ids[i, : len(order)].tolist() == ids[order].tolist()
+            assert got.dist[i, : len(order)].tolist() == d[order].tolist()
+            assert got.codes[i, : len(order)].tolist() == (ids[order] % 3).tolist()
+        bound = got.dist[:, -1].copy()
+        again = find_nearest(q, qids, build_shelf(t, ids, ids % 3), k, skip_self, within=bound)
+        assert (again.ids == got.ids).all() and (again.dist == got.dist).all()
+
+
+def test_rows_apart_on_one_axis_need_no_leaves(monkeypatch):
+    from nearspark.operators import kernel
+
+    rng = np.random.default_rng(6)
+    x = np.stack([rng.uniform(0, 1e5, 4_000), rng.uniform(0, 1, 4_000)], axis=1)
+    scanned = []
+    monkeypatch.setattr(kernel, "_scan_tile", lambda *a: scanned.append(len(a[3]) * len(a[4])))
+    kernel.find_nearest(x, np.arange(4_000), kernel.build_shelf(x, np.arange(4_000)), 3, True)
+    assert sum(scanned) == 0  # by leaves: over a hundred pairs a query
+
+
+def test_cells_within_a_block_are_not_counted_by_distinct_rows(spark, monkeypatch):
+    from nearspark.operators import knn
+
+    monkeypatch.setattr(knn.F, "approx_count_distinct", lambda *a: pytest.fail("no cell is above a block"))
+    q, t = make(spark, *sample(23, 50, 2)), make(spark, *sample(24, 600, 2))
+    got = result(join(q, t, 4, "cells", limits=KnnLimits(block_rows=400)))
+    assert got == brute(rows(q), rows(t), 4)
+
+
+def test_line_items_are_split_once(spark):
+    import __spark_entry__  # noqa: F401
+    from nearspark.catalog import neighbours
+
+    rows_ = spark.range(100).select("id")
+    train, test = neighbours.stored_split(rows_)
+    assert (train.count(), test.count(), train.union(test).distinct().count()) == (80, 20, 100)
+    for part in (train, test):  # a plain scan: no draw is made again
+        assert "md5" not in part._jdf.queryExecution().toString()
