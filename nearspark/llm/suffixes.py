@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nearspark.llm.graph import bitmap, maybe_in
-from nearspark.llm.words import U, Words, minimisers, offsets_of, sequence_hashes, slices, starts_within, text_bytes
+from nearspark.llm.words import U, Words, give_back, minimisers, offsets_of, sequence_hashes, slices, starts_within, text_bytes
 from nearspark.session import cut_lineage
 
 MIN_WORDS, MATCH, ANCHOR = 50, 25, 8
@@ -180,7 +180,10 @@ def _compare_range(batches):
         pa.array([right[x[1]].as_py() if x[0] in ends else b"" for x in rows], pa.binary()),
         pa.array([left[x[1]].as_py() if x[0] in ends else b"" for x in rows], pa.binary()),
     ]
+    del rows, before, after, r, s, doc, at, right, left, table
     yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _FOUND.split(", ")])
+    del columns
+    give_back()
 
 
 def carry(firsts: list, lasts: list) -> list[tuple[int, int, int, int, int]]:
