@@ -393,3 +393,51 @@ def test_line_items_are_split_once(spark):
     assert (train.count(), test.count(), train.union(test).distinct().count()) == (80, 20, 100)
     for part in (train, test):  # a plain scan: no draw is made again
         assert "md5" not in part._jdf.queryExecution().toString()
+
+
+# ---- lists of cells --------------------------------------------------------------------------------------------
+
+
+def lists_of(q, t, k, limits):
+    found = nearest_lists(q, t, k, qid="id", tid="id", label="label", carry=["stratum"], plan="cells", limits=limits)
+    return found, {r["qid"]: (r["stratum"], [(e["tid"], e["label"], e["dist"]) for e in r["neighbors"]]) for r in found.collect()}
+
+
+def test_lists_of_cells_are_merged_whole(spark):
+    """A query's lists are merged as lists: no window over a row for every neighbour, no join for the carried columns."""
+    q = make(spark, *sample(41, 120, 2))
+    odd = [(900, [float("nan"), 1.0], 1, 7), (901, None, 2, 8), (902, [float("inf"), 0.0], 3, 9)]
+    q = q.union(spark.createDataFrame(odd, q.schema))
+    t = make(spark, *sample(42, 900, 2))
+    found, got = lists_of(q, t, 5, KnnLimits(block_rows=64))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "Window" not in plan and "Join LeftOuter, (qid" not in plan
+    usual = [r for r in rows(q) if r[0] < 900]
+    want = brute(usual, rows(t), 5)
+    assert {(i, n): e for i, (_, entries) in got.items() for n, e in enumerate(entries, 1)} == want
+    assert {i: s for i, (s, _) in got.items()} == {r[0]: r[3] for r in usual} | {900: 7, 901: 8, 902: 9}
+    assert [got[i][1] for i in (900, 901, 902)] == [[], [], []]
+
+
+def test_copies_are_moved_only_out_of_full_cells(spark, monkeypatch):
+    from nearspark.operators.knn import _Job
+
+    x, ids, labels, _ = sample(43, 600, 2)
+    x[300:] = x[:300]  # copies, but no cell is above a block
+    q, t, limits = make(spark, *sample(44, 40, 2)), make(spark, x, ids, labels), KnnLimits(block_rows=200)
+    with monkeypatch.context() as patch:
+        patch.setattr(_Job, "without_copies", lambda *a: pytest.fail("no cell is above a block"))
+        assert result(join(q, t, 4, "cells", limits=limits)) == brute(rows(q), rows(t), 4)
+    x[:350] = [1.0, 1.0]
+    t, moved, usual = make(spark, x, ids, labels), [], _Job.without_copies
+    monkeypatch.setattr(_Job, "without_copies", lambda job, t: moved.append(t.count()) or usual(job, t))
+    assert result(join(q, t, 4, "cells", limits=limits)) == brute(rows(q), rows(t), 4)
+    assert len(moved) == 1 and 350 <= moved[0] < 600
+
+
+def test_copies_with_negative_zeros_keep_their_lowest_ids():
+    from nearspark.operators.cells import lowest_copies
+
+    x = np.array([[0.0, 0.0]] * 5 + [[-0.0, 0.0]] * 5 + [[0.0, -0.0]] * 5)
+    ids = np.random.default_rng(45).permutation(15)
+    assert sorted(ids[lowest_copies(x, ids, 3)]) == [0, 1, 2]

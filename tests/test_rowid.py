@@ -47,3 +47,18 @@ def test_row_at_position_is_the_row_with_that_number(spark):
         assert [(r["row_id"], r["a"], r["id"]) for r in found] == [(position, *want[position])]
     assert row_at_position(df, 1000, ["a", "id"], rows_per_bucket=90).count() == 0
     assert row_at_position(df.where("false"), 0, ["a", "id"]).count() == 0
+
+
+def test_numbers_are_joined_without_moving_the_table(spark):
+    """The sizes of the buckets, one row each, go to the table; only the wanted columns are written."""
+    df = spark.range(500).selectExpr("id * 7 % 500 AS a", "id AS b", "id + 1 AS c", "'x' AS d")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = with_row_id(df, ["a"], rows_per_bucket=100, keep=["c"])
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert got.columns == ["c", "row_id"]
+    want = {r["a"]: r["c"] for r in df.collect()}
+    assert {r["row_id"]: r["c"] for r in got.collect()} == want

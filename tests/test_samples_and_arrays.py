@@ -29,6 +29,16 @@ def test_split_parts_are_plain_filters(spark):
     assert "Exchange" not in taken._jdf.queryExecution().toString() + rest._jdf.queryExecution().toString()
 
 
+def test_draws_that_are_there_are_not_made_again(spark):
+    from nearspark.functions.vectors import draw
+
+    df = spark.range(1000)
+    want = [sorted(r["id"] for r in part.collect()) for part in S.random_split(df, "id", 100, seed=1)]
+    parts = S.random_split(df.withColumn("d", draw(1, "id")).localCheckpoint(), "id", 100, seed=9, drawn="d")
+    assert [sorted(r["id"] for r in part.collect()) for part in parts] == want
+    assert all("md5" not in part._jdf.queryExecution().toString() for part in parts)
+
+
 def test_string_ids_and_seeds(spark):
     df = spark.range(500).select(F.concat(F.lit("k"), "id").alias("k"))
     a, b = (S.random_split(df, "k", 100, seed=s)[0].orderBy("k").collect() for s in (1, 2))
