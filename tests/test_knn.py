@@ -312,6 +312,53 @@ def test_pivots_send_a_query_once_to_a_place(spark, monkeypatch):
     assert result(join(t, t, 3, "pivots", exclude_self=True, limits=KnnLimits(block_rows=100, pivots=1))) == want
 
 
+def test_pivots_deal_a_group_to_a_partition_and_place_queries_once(spark, monkeypatch):
+    from nearspark.operators import grid
+    from nearspark.operators.knn import _Job
+
+    monkeypatch.setattr(grid, "GROUP_BYTES", 8 * 18 * 40)
+    t = make(spark, *sample(27, 600, 16)[:3])
+    plan = grid.PivotGrid(_Job(t, t, 3, "id", "id", "features", "label", None, True, [], "pivots", KnnLimits(block_rows=8)))
+    groups = len(plan.span) * plan.q_parts
+    assert groups > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for visits, found in plan.rounds():
+        assert visits._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [places_of(") == 1
+        assert found.rdd.getNumPartitions() >= groups
+
+
+@pytest.mark.parametrize("kind", ["unit", "far", "ties", "copies", "huge", "tiny", "mixed"])
+def test_pairs_screened_in_single_precision_lose_no_neighbour(monkeypatch, kind):
+    from nearspark.operators import kernel
+
+    rng = np.random.default_rng(46)
+    x = rng.normal(size=(700, 12))
+    x = {
+        "unit": x / np.linalg.norm(x, axis=1)[:, None],
+        "far": 1e6 + x * 1e-3,  # single precision tells nothing apart without the middle taken off
+        "ties": np.round(x),
+        "copies": np.repeat(x[:7], 100, axis=0),
+        "huge": x * 1e60,
+        "tiny": x * 1e-60,
+        "mixed": x * 10.0 ** rng.integers(-12, 12, size=(700, 1)),
+    }[kind]
+    products, usual = [], kernel.Screen.near
+    monkeypatch.setattr(kernel.Screen, "near", lambda s, *a: products.append(s.t.dtype) or usual(s, *a))
+    q, qids, ids, codes = x[:150], np.arange(150), np.arange(700), np.arange(700) % 5
+    starts = np.append(np.arange(0, 700, 60), 700)
+    bits = np.packbits(np.ones((150, len(starts) - 1), bool), axis=1)
+    shelf = kernel.Shelf(x, ids, codes, starts, x, x, kernel.squared_sum(x))
+    for k, skip_self in ((1, False), (4, True), (90, False)):
+        best = kernel.find_in_blocks(q, qids, shelf, bits, k, skip_self, np.full(150, np.inf))
+        again = kernel.find_in_blocks(q, qids, shelf, bits, k, skip_self, best.dist[:, -1].copy())
+        for i in range(150):
+            d = kernel.squared_sum(x - q[i])
+            order = [a for a in np.lexsort((ids, d)) if not (skip_self and a == i)][:k]
+            for got in (best, again):
+                assert got.ids[i].tolist() == order and got.dist[i].tolist() == d[order].tolist()
+                assert got.codes[i].tolist() == codes[order].tolist()
+    assert set(products) == {np.dtype(np.float32)}
+
+
 def test_auto_takes_pivots_for_wide_vectors(spark):
     from nearspark.operators.knn import _Job
 
