@@ -370,6 +370,19 @@ def test_auto_takes_pivots_for_wide_vectors(spark):
         knn_join(t, t, 1, qid="id", tid="id", by="stratum", plan="pivots")
 
 
+def test_leading_blocks_are_those_of_a_stable_sort():
+    from nearspark.operators.grid import leading
+
+    rng = np.random.default_rng(47)
+    bound, own = rng.integers(0, 3, (60, 50)).astype(float), rng.integers(0, 4, (60, 50)).astype(float)
+    bound[:, ::7] = np.inf
+    order = np.lexsort((own, bound), axis=-1)
+    for count in (0, 1, 8, 49, 50):
+        want = np.zeros(bound.shape, bool)
+        np.put_along_axis(want, order[:, :count], True, axis=1)
+        assert (leading(bound, own, count) == want).all()
+
+
 def test_lower_bounds_never_exceed_distances():
     from nearspark.operators.grid import distances, far_apart, lower_bounds
     from nearspark.operators.kernel import squared_sum
