@@ -455,6 +455,39 @@ def test_line_items_are_split_once(spark):
         assert "md5" not in part._jdf.queryExecution().toString()
 
 
+def test_line_items_have_partners_in_the_whole_table(spark, tmp_path):
+    """Above some 2,000 line items the partners used to be those of a random stratum."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    n, rng = 2_500, np.random.default_rng(46)
+    x = np.stack([rng.integers(1, 6, n), rng.integers(900, 1_500, n), rng.integers(0, 3, n) / 100, rng.integers(0, 3, n) / 100], axis=1)
+    x[-60:] = x[:60]  # copies far apart in the order of the key
+    flags = rng.choice(["A", "N", "R"], n).tolist()
+    items = [(i, i % 7, i % 5, 1, *map(float, v), f) for i, (v, f) in enumerate(zip(x, flags))]
+    df = spark.createDataFrame(
+        items, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string",
+    ).withColumn("l_shipdate", F.lit("1996-09-13").cast("timestamp"))
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = result(entry.queries()["knn_self_join_lineitem"](spark, str(tmp_path)))
+
+    want = {}
+    for i in range(n):
+        dist = np.zeros(n)
+        for j in range(4):
+            dist += (x[:, j] - x[i, j]) * (x[:, j] - x[i, j])
+        dist[i] = np.inf
+        for rank, t in enumerate(np.lexsort((np.arange(n), dist))[:3], 1):
+            want[i, rank] = (t, "ANR".index(flags[t]), dist[t])
+    assert got == want
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    sql = con.sql(f"SELECT qid, rank, tid, label, dist FROM ({entry.oracle_sql()['knn_self_join_lineitem']})")
+    assert {(q, rank): found for q, rank, *found in map(list, sql.fetchall())} == {key: list(found) for key, found in want.items()}
+
+
 # ---- lists of cells --------------------------------------------------------------------------------------------
 
 
